@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import quality_classifier, simhash
+from corpusloom.llm import quality_classifier, quality_rules, secret_scan, simhash, token_counts, url_filter
 from corpusloom.llm.shared import table
 
 
@@ -12,12 +12,25 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {
-    "op2_simhash_near_dedup": op2_simhash_near_dedup,
-    "op5_quality_classifier": op5_quality_classifier,
-}
-ORACLES: dict[str, str] = {}
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_url_filter, op4_quality_rules, op5_quality_classifier, op6_secret_scan, op9_token_counts)}
+ORACLES = {"op3_url_filter": url_filter.oracle(), "op4_quality_rules": quality_rules.oracle(), "op6_secret_scan": secret_scan.oracle()}
