@@ -4,19 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import simhash
+from corpusloom.llm import decontaminate, mixing, quality_classifier, sharding, simhash
 from corpusloom.llm.shared import cut, table
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled ones, rejects go; so do null texts."""
+    return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest doc_id."""
     return simhash.deduplicate(docs)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage, word for word or paraphrased, go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are repeated or dropped by draws from doc_id until each source has its target share of the characters."""
+    return mixing.mix(docs, numbered=False)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are range-partitioned by doc_id into shards of even size, numbered in the new column shard."""
+    return sharding.shard(docs)
+
+
 STAGES = [
+    ("quality classifier", good_quality),
     ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminated),
+    ("mixing to target weights", mixed),
+    ("sharding", sharded),
 ]
-#: No SQL expresses boosted trees or SimHash; tests/llm compares the stages with brute-force versions.
+#: SQL expresses neither boosted trees nor SimHash nor LSA; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -30,13 +30,14 @@ RULES = (
     Rule("too_long", "n_words", high=200_000),
     Rule("word_length", "mean_word_length", low=2, high=15, min_words=10),
     Rule("symbols", "symbol_ratio", high=0.1),
+    Rule("bars", "bar_ratio", high=0.3, min_words=10),
     Rule("bangs", "bang_ratio", high=0.2, min_words=10),
     Rule("shouting", "upper_ratio", high=0.4, min_words=10),
-    Rule("stop_words", "stop_word_ratio", low=0.04, min_words=50),
+    Rule("stop_words", "stop_word_ratio", low=0.04, min_words=20),
     Rule("line_length", "mean_line_words", low=1.2, min_words=50),
-    Rule("copied_lines", "copied_line_ratio", high=0.5, min_words=10),
+    Rule("copied_lines", "copied_line_ratio", high=0.4, min_words=10),
 )
-METRICS = ("n_chars", "n_words", "mean_word_length", "symbol_ratio", "bang_ratio", "upper_ratio", "stop_word_ratio", "mean_line_words", "copied_line_ratio")
+METRICS = ("n_chars", "n_words", "mean_word_length", "symbol_ratio", "bar_ratio", "bang_ratio", "upper_ratio", "stop_word_ratio", "mean_line_words", "copied_line_ratio")
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -67,6 +68,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         "n_words": F.when(text.isNotNull(), n_words.cast("long")),
         "mean_word_length": ratio(_without(text, " \t\r\n"), n_words),
         "symbol_ratio": ratio(F.col("n_chars") - _without(text, SYMBOLS), F.col("n_chars")),
+        "bar_ratio": ratio(F.col("n_chars") - _without(text, "|"), n_words),
         "bang_ratio": ratio(F.col("n_chars") - _without(text, "!"), n_words),
         "upper_ratio": ratio(F.col("n_chars") - _without(text, UPPER), F.col("n_chars")),
         "stop_word_ratio": ratio(stop_count, n_words),
@@ -103,6 +105,7 @@ n AS (SELECT *, len(w)::DOUBLE AS nw, len(x)::DOUBLE AS nx FROM base),
 m AS (SELECT doc_id, n_chars, len(w)::BIGINT AS n_words,
     CASE WHEN nw > 0 THEN length(translate(text, ' ' || chr(9) || chr(13) || chr(10), ''))::DOUBLE / nw ELSE 0 END AS mean_word_length,
     CASE WHEN n_chars > 0 THEN (n_chars - length(translate(text, '{symbols}', '')))::DOUBLE / n_chars ELSE 0 END AS symbol_ratio,
+    CASE WHEN nw > 0 THEN (n_chars - length(replace(text, '|', '')))::DOUBLE / nw ELSE 0 END AS bar_ratio,
     CASE WHEN nw > 0 THEN (n_chars - length(replace(text, '!', '')))::DOUBLE / nw ELSE 0 END AS bang_ratio,
     CASE WHEN n_chars > 0 THEN (n_chars - length(translate(text, '{UPPER}', '')))::DOUBLE / n_chars ELSE 0 END AS upper_ratio,
     CASE WHEN nw > 0 THEN len(list_filter(w, lambda t: lower(t) IN ({words})))::DOUBLE / nw ELSE 0 END AS stop_word_ratio,

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import quality_classifier, quality_rules, secret_scan, simhash, token_counts, url_filter
+from corpusloom.llm import decontaminate, language_id, mixing, quality_classifier, quality_rules, secret_scan, sharding, simhash, token_counts, url_filter
 from corpusloom.llm.shared import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,9 +32,30 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_url_filter, op4_quality_rules, op5_quality_classifier, op6_secret_scan, op9_token_counts)}
-ORACLES = {"op3_url_filter": url_filter.oracle(), "op4_quality_rules": quality_rules.oracle(), "op6_secret_scan": secret_scan.oracle()}
+def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_simhash_near_dedup, op3_url_filter, op4_quality_rules, op5_quality_classifier, op6_secret_scan, op7_mix_sources, op8_decontaminate, op9_token_counts, op10_shard)
+}
+#: The others rest on models, hashes or tries that SQL can't express; tests/llm compares them with brute-force versions.
+ORACLES = {
+    "op3_url_filter": url_filter.oracle(),
+    "op4_quality_rules": quality_rules.oracle(),
+    "op6_secret_scan": secret_scan.oracle(),
+    "op7_mix_sources": mixing.oracle(),
+}

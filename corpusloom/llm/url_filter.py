@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import pick, shared_dir
 
-BLOCKED = ("cheap-pills.example.com", "spam-farm.example.org", "adult-site.example.net", "casino.example.com", "blog.ththan.example.net/es", "therti.example.org/en/328")
+BLOCKED = tuple(f"{name}.example.{end}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org"))
 #: Spark's xxhash64 has this seed.
 SEED = 42
 _HOST = r"^[A-Za-z][0-9A-Za-z+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
