@@ -1 +1,145 @@
-"""placeholder"""
+"""Queries of the positional and reuse families: documents against the benchmark passages, and lines against lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.operators import positional, reuse
+from corpusloom.plans.registry import query
+from corpusloom.tables import WORD, table, words
+
+
+@query("SELECT a.verse_id, a.book_num, a.word_num AS start FROM words a JOIN words b ON a.verse_id = b.verse_id AND b.word_num = a.word_num + 1 WHERE a.lemma = 'of' AND b.lemma = 'the'", "words")
+def pattern_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional.pattern_starts(words(spark, sf_dir), ["of", "the"])
+
+
+SLACK_SQL = """s AS (SELECT DISTINCT a.verse_id, a.book_num, a.word_num AS start FROM words a
+  JOIN words b ON a.verse_id = b.verse_id AND b.word_num BETWEEN a.word_num + 1 AND a.word_num + 4
+  JOIN words c ON b.verse_id = c.verse_id AND c.word_num BETWEEN b.word_num + 1 AND b.word_num + 4
+  WHERE a.lemma = 'the' AND b.lemma = 'of' AND c.lemma = 'and')"""
+
+
+@query(SLACK_SQL + " SELECT verse_id, book_num, start FROM s", "words")
+def pattern_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional.pattern_starts(words(spark, sf_dir), ["the", "of", "and"], slack=3)
+
+
+@query(
+    SLACK_SQL + """, n AS (SELECT book_num, count(*) AS slots FROM (SELECT DISTINCT verse_id, word_num, book_num FROM words) GROUP BY book_num),
+o AS (SELECT book_num, count(*)::BIGINT AS observed FROM s GROUP BY book_num),
+e AS (SELECT book_num, observed, (SELECT sum(observed) FROM o)::DOUBLE * slots / (SELECT sum(slots) FROM n)::DOUBLE AS x FROM o JOIN n USING (book_num))
+SELECT book_num, observed, floor(x * 10 + 0.5) / 10 AS expected, CASE WHEN x > 0 THEN floor(observed / x * 10 + 0.5) / 10 END AS ratio FROM e""",
+    "words",
+)
+def pattern_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = words(spark, sf_dir)
+    return positional.concentration(positional.pattern_starts(w, ["the", "of", "and"], slack=3), w)
+
+
+def units(df: DataFrame, key: str) -> DataFrame:
+    """(unit, pos, w): the lower-cased words of each row's text."""
+    found = df.where("text is not null").select(F.col(key).alias("unit"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("pos", "w"))
+    return found.select("unit", F.col("pos").cast("long").alias("pos"), "w")
+
+
+UNITS_SQL = r"""WITH d AS (SELECT unit, unnest(range(len(k))) AS pos, unnest(k) AS w FROM (SELECT doc_id AS unit, regexp_extract_all(lower(text), '\p{L}+') AS k FROM documents)),
+q AS (SELECT unit, unnest(range(len(k))) AS pos, unnest(k) AS w FROM (SELECT item_id AS unit, regexp_extract_all(lower(text), '\p{L}+') AS k FROM benchmark)),
+freq AS (SELECT w, count(*) AS n FROM (SELECT w FROM d UNION ALL SELECT w FROM q) GROUP BY w)"""
+
+
+def runs_sql(n: int, cap: int) -> str:
+    """The runs of cross_runs as common table expressions ending in `runs` and `best`."""
+    leads = ", ".join(f"lead(w, {k}) OVER l" if k else "w" for k in range(n))
+    gram = lambda t: f"SELECT unit, pos, [{leads}] AS g FROM {t} WINDOW l AS (PARTITION BY unit ORDER BY pos) QUALIFY lead(w, {n - 1}) OVER l IS NOT NULL"
+    return f""", dg AS ({gram("d")}), qg AS ({gram("q")}),
+live AS (SELECT * FROM qg QUALIFY count(*) OVER (PARTITION BY g) <= {cap}),
+hits AS (SELECT dg.unit AS a, live.unit AS b, live.pos - dg.pos AS diag, dg.pos AS pa FROM dg JOIN live USING (g)),
+diags AS (SELECT DISTINCT a, b, diag FROM hits),
+cells AS (SELECT a, b, diag, x.pos AS pa, x.pos - row_number() OVER (PARTITION BY a, b, diag ORDER BY x.pos) AS isle
+  FROM diags JOIN d x ON x.unit = a JOIN q y ON y.unit = b AND y.pos = x.pos + diag AND y.w = x.w),
+isles AS (SELECT a, b, diag, min(pa) AS s, count(*) AS len FROM cells GROUP BY a, b, diag, isle),
+runs AS (SELECT a, b, diag, min(pa) AS start, len - min(pa) + s AS len FROM isles JOIN hits USING (a, b, diag) WHERE pa BETWEEN s AND s + len - {n} GROUP BY a, b, diag, s, len),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY len DESC, start, diag) = 1),
+rare AS (SELECT a, b, min(n) AS least FROM best JOIN d ON d.unit = a AND d.pos BETWEEN start AND start + len - 1 JOIN freq USING (w) GROUP BY a, b)"""
+
+
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return units(table(spark, sf_dir, "documents"), "doc_id"), units(table(spark, sf_dir, "benchmark"), "item_id")
+
+
+@query(UNITS_SQL + runs_sql(4, 40) + " SELECT a, b, start, len::BIGINT AS len FROM best")
+def quotes_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reuse.best_per_pair(reuse.cross_runs(*sides(spark, sf_dir), 4, 40)).select("a", "b", "start", "len")
+
+
+QUOTES_SQL = "SELECT a, b, len::BIGINT AS len, start, CASE WHEN len >= 5 THEN 'quotation' ELSE 'allusion' END AS tier FROM best LEFT JOIN rare USING (a, b) WHERE len >= 5 OR least <= 300"
+
+
+@query(UNITS_SQL + runs_sql(4, 40) + " " + QUOTES_SQL)
+def quotes_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reuse.quotes(*sides(spark, sf_dir))
+
+
+@query(
+    UNITS_SQL + runs_sql(4, 40) + """, f AS (SELECT w FROM freq WHERE n <= 25 AND length(w) >= 4),
+e AS (SELECT d.unit AS a, q.unit AS b, count(DISTINCT w)::BIGINT AS shared FROM f JOIN d USING (w) JOIN q USING (w) GROUP BY ALL HAVING count(DISTINCT w) >= 2)
+SELECT a, b, shared FROM e ANTI JOIN best USING (a, b) QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) <= 5"""
+)
+def quotes_echo_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = sides(spark, sf_dir)
+    return reuse.echoes(left, right, reuse.cross_runs(left, right, 4, 40).select("a", "b").distinct())
+
+
+@query(UNITS_SQL + runs_sql(3, 12) + " SELECT a, b, len::BIGINT AS len, CASE WHEN len >= 4 THEN 'allusion' ELSE 'echo' END AS tier FROM best LEFT JOIN rare USING (a, b) WHERE len >= 4 OR least <= 150")
+def quotes_lemma_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reuse.lemma_links(*sides(spark, sf_dir))
+
+
+@query()
+def quotes_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surface links and lemma links in one table; tests check the replacement rule."""
+    left, right = sides(spark, sf_dir)
+    return reuse.merge_tiers(reuse.quotes(left, right), reuse.lemma_links(left, right))
+
+
+def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = words(spark, sf_dir).where("book_num <= 4")
+    return w.select(F.col("verse_id").alias("unit"), F.col("doc_id").alias("chapter"), F.col("verse").alias("line"), F.col("word_num").alias("pos"), F.col("lemma").alias("w"))
+
+
+PARALLEL_SQL = """u AS (SELECT verse_id AS unit, doc_id AS chapter, verse AS line, word_num AS pos, lemma AS w FROM words WHERE book_num <= 4),
+g AS (SELECT unit, chapter, line, pos, [w, lead(w) OVER l, lead(w, 2) OVER l] AS g FROM u WINDOW l AS (PARTITION BY unit ORDER BY pos) QUALIFY lead(w, 2) OVER l IS NOT NULL),
+gdf AS (SELECT g, count(DISTINCT unit) AS gdf FROM g GROUP BY g), df AS (SELECT w, count(DISTINCT unit) AS df FROM u GROUP BY w),
+live AS (SELECT g.* FROM g JOIN gdf USING (g) WHERE gdf <= 200),
+hits AS (SELECT DISTINCT x.unit AS a, y.unit AS b, y.pos - x.pos AS diag, x.pos AS pa FROM live x JOIN live y ON x.g = y.g AND x.unit < y.unit AND NOT (x.chapter = y.chapter AND abs(x.line - y.line) <= 2)),
+cells AS (SELECT a, b, diag, x.pos AS pa, x.pos - row_number() OVER (PARTITION BY a, b, diag ORDER BY x.pos) AS isle
+  FROM (SELECT DISTINCT a, b, diag FROM hits) JOIN u x ON x.unit = a JOIN u y ON y.unit = b AND y.pos = x.pos + diag AND y.w = x.w),
+isles AS (SELECT a, b, diag, min(pa) AS start, count(*) AS len FROM cells GROUP BY a, b, diag, isle HAVING count(*) >= 3),
+ok AS (SELECT DISTINCT i.* FROM isles i JOIN hits USING (a, b, diag) WHERE pa BETWEEN start AND start + len - 3),
+m AS (SELECT ok.*, (SELECT min(df) FROM u JOIN df USING (w) WHERE unit = ok.a AND pos BETWEEN ok.start AND ok.start + ok.len - 1) AS least,
+  (SELECT max(df) FROM u JOIN df USING (w) WHERE unit = ok.a AND pos BETWEEN ok.start AND ok.start + ok.len - 1) AS most,
+  (SELECT max(least(gdf, 201)) FROM g JOIN gdf USING (g) WHERE unit = ok.a AND pos BETWEEN ok.start AND ok.start + ok.len - 3) AS widest FROM ok),
+best AS (SELECT * FROM m WHERE (len >= 4 AND (least <= 300 OR (least <= 600 AND widest <= 25))) OR (len = 3 AND (most <= 50 OR (least <= 50 AND widest <= 5)))
+  QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY len DESC, start, diag) = 1)"""
+
+
+@query(PARALLEL_SQL + " SELECT a, b, start AS start_a, start + diag AS start_b, len::BIGINT AS len, CASE WHEN len >= 5 THEN 'parallel' WHEN len = 4 THEN 'allusion' ELSE 'echo' END AS tier FROM best", "words")
+def parallels_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reuse.parallels(line_words(spark, sf_dir))
+
+
+@query(PARALLEL_SQL + " SELECT a, b, len::BIGINT AS len FROM best WHERE len >= 8 AND (a BETWEEN 0 AND 200000 OR b BETWEEN 0 AND 200000) ORDER BY len DESC, a, b LIMIT 15", "words")
+def parallels_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The read side: overlap of either side with the scope, long runs first."""
+    p = reuse.parallels(line_words(spark, sf_dir)).where((F.col("len") >= 8) & (F.col("a").between(0, 200_000) | F.col("b").between(0, 200_000)))
+    return p.orderBy(F.desc("len"), "a", "b").limit(15).select("a", "b", "len")
+
+
+@query()
+def parallels_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-dependent merge of neighbouring pairs; tests compare it with hand-made chains."""
+    p = reuse.parallels(line_words(spark, sf_dir))
+    book = lambda c: ((F.floor(F.col(c) / 1000)) % 20 + 1).cast("int")
+    return reuse.chains(p.select(book("a").alias("book_a"), book("b").alias("book_b"), F.col("a").alias("oa"), F.col("b").alias("ob"), "len"))
