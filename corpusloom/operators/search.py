@@ -14,6 +14,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters, digits, apostrophe and hyphen make a token; the curly apostrophe separates.
 TOKEN = r"[\p{L}\p{N}'\-]+"
@@ -188,7 +189,7 @@ def stem(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_arrays(tokens: pd.Series) -> pd.Series:
     """Stems of token arrays; each distinct token of a batch is stemmed once."""
     known: dict[str, str] = {}
