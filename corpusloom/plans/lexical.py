@@ -9,9 +9,6 @@ from corpusloom.operators import lexical
 from corpusloom.plans.registry import query
 from corpusloom.tables import table, tokens, words
 
-HALF = F.when(F.col("book_num") <= 10, "first").otherwise("second")
-
-
 @query("SELECT surface, count(*)::BIGINT AS n, min(verse_id) AS first FROM words WHERE lemma = 'that' GROUP BY surface", "words")
 def lemma_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.forms(words(spark, sf_dir), "that")
@@ -36,7 +33,7 @@ def freq_by_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CASE WHEN book_num <= 10 THEN 'first' ELSE 'second' END AS half, count(*)::BIGINT AS n, count(DISTINCT verse_id)::BIGINT AS verses, min(verse_id) AS first FROM words WHERE lemma = 'and' GROUP BY 1", "words")
 def freq_by_testament_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.frequency(words(spark, sf_dir), "and", HALF, "half")
+    return lexical.frequency(words(spark, sf_dir), "and", F.when(F.col("book_num") <= 10, "first").otherwise("second"), "half")
 
 
 @query("SELECT lemma, count(DISTINCT doc_id)::BIGINT AS docs, count(*)::BIGINT AS n FROM words GROUP BY lemma HAVING count(DISTINCT doc_id) >= 3", "words")
