@@ -75,8 +75,13 @@ def passage_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int]:
         held, n = np.zeros(BUCKETS, np.int64), 0
         for _, words, off in _batches(batches):
             start, first = _blocks(off, PASSAGE)
-            passage = np.repeat(np.arange(len(start) - 1), np.diff(start))
-            held += np.bincount(np.unique(passage * BUCKETS + bucket_of(words)) % BUCKETS, minlength=BUCKETS)
+            rows = np.full((len(start) - 1, PASSAGE), BUCKETS, np.uint16)  # BUCKETS, the largest, fills short passages
+            size = np.diff(start)
+            rows.ravel()[np.arange(len(words)) + np.repeat(PASSAGE * np.arange(len(size)) - start[:-1], size)] = bucket_of(words)
+            rows.sort(axis=1)
+            new = np.ones(rows.shape, bool)
+            new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+            held += np.bincount(rows[new], minlength=BUCKETS + 1)[:BUCKETS]
             n += int(first[-1])
         some = np.flatnonzero(held)
         yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(held[some], n))], ["bucket", "n"])
@@ -192,76 +197,96 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-30)
 
 
-def search(space: Space, pieces: list[Piece], ids: np.ndarray, words: np.ndarray, off: np.ndarray) -> list[tuple]:
-    """Verified matches (doc_id, item_id, lcs, answer, cosine, start) of a block of documents."""
-    out = []
-    halves: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+def _latent_blocks(space: Space, words: np.ndarray, off: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each window size the half-window blocks: starts, each document's first block, latent sums."""
     half = WINDOWS[0] // 2
     start, first = _blocks(off, half)
     sums = np.zeros((len(start) - 1, RANK), np.float32)
     bucket = bucket_of(words)
-    for lo in range(0, len(start) - 1, 4096):  # bounds the gathered rows
-        hi = min(len(start) - 1, lo + 4096)
-        rows = space.fold[bucket[start[lo] : start[hi]]]
-        sums[lo:hi] = np.add.reduceat(rows, start[lo:hi] - start[lo], axis=0)
-    halves[WINDOWS[0]] = (start, first, sums)
+    for lo in range(0, len(start) - 1, 512):  # the gathered rows stay in cache
+        hi = min(len(start) - 1, lo + 512)
+        np.add.reduceat(space.fold.take(bucket[start[lo] : start[hi]], axis=0), start[lo:hi] - start[lo], axis=0, out=sums[lo:hi])
+    out = {WINDOWS[0]: (start, first, sums)}
     for size in WINDOWS[1:]:  # two neighbouring blocks make one of twice the size
-        _, before, small = halves[size // 2]
+        _, before, small = out[size // 2]
         start, first = _blocks(off, size // 2)
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         left = before[doc] + 2 * (np.arange(first[-1]) - first[doc])
         pair = left + 1 < before[doc + 1]
         both = small[left]
         both[pair] += small[left[pair] + 1]
-        halves[size] = (start, first, both)
-    order = np.argsort(words, kind="stable")
-    ordered = words[order]
-    for size in WINDOWS:
-        own = [p for p in pieces if p.window == size]
-        start, first, sums = halves[size]
-        if not own or not len(sums):
-            continue
-        target = _unit(np.stack([space.project(np.array(p.words, np.uint32)) for p in own])).astype(np.float32)
+        out[size] = (start, first, both)
+    return out
+
+
+class Matcher:
+    """The benchmark pieces of one window size, ready for search."""
+
+    def __init__(self, space: Space, pieces: list[Piece], size: int) -> None:
+        self.size, self.pieces = size, [p for p in pieces if p.window == size]
+        if self.pieces:
+            self.target = _unit(np.stack([space.project(np.array(p.words, np.uint32)) for p in self.pieces])).astype(np.float32).T.copy()
+        answers = sorted((w, j) for j, p in enumerate(self.pieces) for w in p.answer)
+        self.word, at = np.unique(np.array([w for w, _ in answers], np.uint32), return_index=True)
+        self.piece, self.cut = np.array([j for _, j in answers], np.int64), np.append(at, len(answers))
+        self.need = np.array([len(p.answer) for p in self.pieces], np.int64)
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[self.word & np.uint32(0xFFFF)] = True
+
+    def answers_held(self, words: np.ndarray, start: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, piece, share): the share of each piece's answer words in the window with half a window around, if any."""
+        where = np.flatnonzero(self.maybe[words & np.uint32(0xFFFF)])
+        w = np.minimum(np.searchsorted(self.word, words[where]), len(self.word) - 1)
+        same = self.word[w] == words[where]
+        where, w = where[same], w[same]
+        mid = np.searchsorted(start, where, "right") - 1
+        # the half-window blocks whose windows, so widened, reach the word
+        block = (mid[:, None] + np.array([-2, -1, 0, 1])).ravel()
+        w, mid = np.repeat(w, 4), np.repeat(mid, 4)
+        ok = (block >= 0) & (block < len(doc))
+        ok[ok] = doc[block[ok]] == doc[mid[ok]]
+        block, w = block[ok], w[ok]
+        seen = np.unique(block * len(self.word) + w)  # a word counts once in a window
+        block, w = seen // len(self.word), seen % len(self.word)
+        each = np.diff(self.cut)[w]
+        piece = self.piece[np.repeat(self.cut[w] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+        pairs, count = np.unique(np.repeat(block, each) * len(self.pieces) + piece, return_counts=True)
+        return pairs // len(self.pieces), pairs % len(self.pieces), count / self.need[pairs % len(self.pieces)]
+
+
+def search(matchers: list[Matcher], space: Space, ids: np.ndarray, words: np.ndarray, off: np.ndarray) -> list[tuple]:
+    """Verified matches (doc_id, item_id, lcs, answer, cosine, start) of a block of documents."""
+    out = []
+    if not len(words):
+        return out
+    blocks = _latent_blocks(space, words, off)
+    for m in matchers:
+        start, first, sums = blocks[m.size]
         last = np.zeros(len(sums), bool)
         last[first[1:][np.diff(first) > 0] - 1] = True
-        window = sums.copy()
-        window[:-1][~last[:-1]] += sums[1:][~last[:-1]]
-        window = _unit(window).astype(np.float32)
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        at, piece, held = answers_held(own, order, ordered, start, doc, size)
-        cut = np.searchsorted(at, np.arange(0, len(window) + 8192, 8192))
-        for lo, a, b in zip(range(0, len(window), 8192), cut, cut[1:]):
-            cos = window[lo : lo + 8192] @ target.T
-            enough = np.zeros(cos.shape, bool)
-            enough[at[a:b] - lo, piece[a:b]] = held[a:b] >= ANSWER
-            share_of = dict(zip(zip(at[a:b].tolist(), piece[a:b].tolist()), held[a:b].tolist()))
-            for i, j in zip(*(x.tolist() for x in np.nonzero((cos >= COSINE) & enough))):
-                d, n = doc[lo + i], len(own[j].words)
-                left, right = max(off[d], start[lo + i] - size // 2), min(off[d + 1], start[lo + i] + size + size // 2)
-                share = lcs_length(own[j].masks, n, words[left:right].tolist()) / n
+        at, piece, held = m.answers_held(words, start, doc)
+        enough = held >= ANSWER
+        at, piece, held = at[enough], piece[enough], held[enough]
+        for lo in range(0, len(sums), 4096):
+            hi = min(len(sums), lo + 4096)
+            window = sums[lo:hi].copy()
+            inner = np.flatnonzero(~last[lo:hi])
+            window[inner] += sums[lo + 1 + inner]
+            norm = np.sqrt(np.einsum("ij,ij->i", window, window))
+            dot = window @ m.target
+            near = (dot >= COSINE * norm[:, None]) & (norm > 0)[:, None]  # every window with every piece
+            a, b = np.searchsorted(at, (lo, hi))
+            for k in (a + np.flatnonzero(near[at[a:b] - lo, piece[a:b]])).tolist():
+                i, p = int(at[k]), m.pieces[piece[k]]
+                d, n = doc[i], len(p.words)
+                left, right = max(off[d], start[i] - m.size // 2), min(off[d + 1], start[i] + m.size + m.size // 2)
+                share = lcs_length(p.masks, n, words[left:right].tolist()) / n
                 if share >= COMMON:
-                    out.append((int(ids[d]), own[j].item_id, share, share_of[lo + i, j], float(cos[i, j]), int(start[lo + i] - off[d])))
+                    out.append((int(ids[d]), p.item_id, share, float(held[k]), float(dot[i - lo, piece[k]] / norm[i - lo]), int(start[i] - off[d])))
     return out
 
 
-def answers_held(pieces: list[Piece], order: np.ndarray, ordered: np.ndarray, start: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, piece, share): the share of each piece's answer words in the window with half a window around, if any."""
-    found = []
-    for j, p in enumerate(pieces):
-        for k, word in enumerate(p.answer):
-            where = order[np.searchsorted(ordered, word, "left") : np.searchsorted(ordered, word, "right")]
-            mid = np.searchsorted(start, where, "right") - 1
-            for step in (-2, -1, 0, 1):  # the half-window blocks whose windows, so widened, reach this word
-                w = mid + step
-                ok = (w >= 0) & (w < len(doc))
-                ok[ok] = doc[w[ok]] == doc[mid[ok]]
-                found.append((w[ok] * len(pieces) + j) * ANSWER_WORDS + k)
-    keys = np.unique(np.concatenate(found)) // ANSWER_WORDS if found else np.zeros(0, np.int64)
-    pairs, count = np.unique(keys, return_counts=True)
-    at, piece = pairs // len(pieces), pairs % len(pieces)
-    return at, piece, count / np.array([len(p.answer) for p in pieces])[piece]
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, lcs, answer, cosine, start): the best match of each document and benchmark passage that match.
 
@@ -280,8 +305,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, pieces = shared.value
+        matchers = [m for m in (Matcher(space, pieces, size) for size in WINDOWS) if m.pieces]
         for ids, words, off in _batches(batches):
-            rows = search(space, pieces, ids, words, off)
+            rows = search(matchers, space, ids, words, off)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((),) * 6, kinds)], ["doc_id", "item_id", "lcs", "answer", "cosine", "start"])
 
