@@ -10,6 +10,8 @@ from corpusloom.llm.shared import seal
 
 #: Passes over a source at most, characters drawn as a share of all characters, and the seed of the draws.
 MAX_EPOCHS, BUDGET, SEED = 4.0, 1.0, 17
+#: Most sources whose rates are broadcast.
+MOST_BROADCAST = 100_000
 
 
 def water_fill(sizes: np.ndarray, weights: np.ndarray, total: float, max_epochs: float) -> np.ndarray:
@@ -56,6 +58,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, max_epo
     weight = np.sqrt(size) if weights is None else np.array([weights.get(n, 0.0) for n in names], np.float64)
     epochs = water_fill(size, weight, budget * size.sum(), max_epochs)
     rates = docs.sparkSession.createDataFrame([(n, float(e)) for n, e in zip(names, epochs)], "name string, epochs double")
+    if len(names) <= MOST_BROADCAST:
+        rates = F.broadcast(rates)  # else a shuffled join, whose hot sources adaptive execution splits
     whole = F.floor("epochs")
     copies = (whole + (draw(F.col("doc_id"), seed) < F.col("epochs") - whole).cast("long")).cast("int")
     drawn = inner.join(rates, F.col("source").cast("string").eqNullSafe(F.col("name")), "inner").withColumn("copies", copies).where("copies > 0")
