@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ def glob(col: str, pattern: str) -> Column:
         c = pattern[i]
         end = pattern.find("]", i + 2) if c == "[" else -1
         if end > 0:
-            body = pattern[i + 1 : end].replace("\\", "\\\\")
+            body = re.sub(r"([\\\[\]&~])", r"\\\1", pattern[i + 1 : end])
             out += "[" + ("^" + body[1:] if body[0] in "^!" else body) + "]"
             i = end
         else:
