@@ -19,7 +19,7 @@ def html_to_text(col: str) -> Column:
 
 
 _NOTES = re.compile(r"\\(f|fe|x|ef|ex)\b.*?\\\1\*", re.S)
-_WORD_TAG = re.compile(r"\\\+?w\s+([^|\\]*)(?:\|[^\\]*)?\\\+?w\*")
+_WORD_TAG = re.compile(r"[\\][+]?w\b ?(?P<word>[^\\|]*)(?:[|][^\\]*)?[\\][+]?w[*]")
 _PAIRED = re.compile(r"\\\+?[a-z]+\d*\*")
 _OPENING = re.compile(r"\\\+?[a-z]+\d*\s?")
 _SKIPPED = ("id", "ide", "h", "toc1", "toc2", "toc3", "mt", "mt1", "mt2", "mt3", "s", "s1", "s2", "s3", "r", "ms", "ms1", "mr", "rem", "sts", "usfm", "cl", "cp", "sr", "sp")
@@ -28,7 +28,7 @@ _SKIPPED = ("id", "ide", "h", "toc1", "toc2", "toc3", "mt", "mt1", "mt2", "mt3",
 def clean_usfm(text: str) -> str:
     """Plain text of a USFM fragment: no notes, words without their attributes, markers gone, white space squeezed."""
     text = _NOTES.sub("", text)
-    while (shorter := _WORD_TAG.sub(r"\1", text)) != text:
+    while (shorter := _WORD_TAG.sub(r"\g<word>", text)) != text:
         text = shorter
     text = _OPENING.sub("", _PAIRED.sub("", text))
     return " ".join(text.replace("~", " ").split())
@@ -68,7 +68,7 @@ def parse_usfm(content: str) -> tuple[str | None, list[UsfmVerse]]:
                 continue
             current = None
         else:
-            pieces = re.split(r"\\v\s+(\d+)(?:-(\d+))?\s?", line)
+            pieces = re.split(r"[\\]v +([0-9]+)(?:-([0-9]+))? ?", line)
             if pieces[0].strip() and current:
                 current.parts.append(pieces[0])
             for number, end, text in zip(pieces[1::3], pieces[2::3], pieces[3::3]):

@@ -47,8 +47,12 @@ def loose_translit(text: str) -> str:
 
 def strongs(text: str) -> tuple[str, int, str | None] | None:
     """('H0430', 430, None) of H430, h0430 or G2316a; None for anything else."""
-    m = re.fullmatch(r"([HhGg])(\d{1,4})([A-Za-z]?)", text.strip())
-    return (f"{m[1].upper()}{int(m[2]):04d}{m[3]}", int(m[2]), m[3] or None) if m else None
+    code = text.strip()
+    letter, digits = code[:1].upper(), code[1:].rstrip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    suffix = code[1 + len(digits) :]
+    if letter not in ("H", "G") or not (digits.isascii() and digits.isdecimal()) or len(digits) > 4 or len(suffix) > 1:
+        return None
+    return f"{letter}{int(digits):04d}{suffix}", int(digits), suffix or None
 
 
 def strongs_number(col: str) -> Column:

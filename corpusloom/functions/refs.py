@@ -106,9 +106,10 @@ def suggest(text: str, most: int = 3) -> tuple[str, ...]:
     return tuple(b.name for b in near[:most])
 
 
-_POINT = r"(\d+|title|end)(?:[\s.:]+(\d+|title|end))?"
+_UNIT = "([0-9]+|end|title)"
+_POINT = f"{_UNIT}(?:[.:\\s]+{_UNIT})?"
 _TAIL = re.compile(rf"{_POINT}\s*(?:-\s*(?:{_POINT})?)?")
-_EDGE = re.compile(r"[\s.:,;]+|(?<=[A-Za-z])(?=\d)")
+_EDGE = re.compile(r"[.:;,\s]+|(?<=[^\W\d_])(?=[0-9])")
 
 
 def _number(text: str) -> int:

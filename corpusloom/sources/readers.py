@@ -40,7 +40,7 @@ def reference_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 def chapter_verse_text(spark: SparkSession, path: str) -> DataFrame:
     """(book, chapter, verse, text) of lines 'Book 1:2<TAB>text'."""
-    cell, pattern = F.split("value", "\t", 2), r"^(.+?) (\d+):(\d+)$"
+    cell, pattern = F.split("value", "\t", 2), "^([^\t]*[^\t ]) ([0-9]+):([0-9]+)$"
     ref = F.get(cell, F.lit(0))
     part = lambda i: F.regexp_extract(ref, pattern, i)
     return lines(spark, path).where(ref.rlike(pattern)).select(part(1).alias("book"), part(2).cast("int").alias("chapter"), part(3).cast("int").alias("verse"), F.get(cell, F.lit(1)).alias("text"))
@@ -100,7 +100,7 @@ def word_lines(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             held: dict[tuple, list[str]] = {}
             for content in pdf["value"]:
-                for m in re.finditer(r"(?m)^(\S+)\.(\d+)\.(\d+)\s+(\S+)", content.lstrip("﻿")):
+                for m in re.finditer(r"(?m)^([^\s.]+)[.]([0-9]+)[.]([0-9]+)\s+(\S+)", content.lstrip("﻿")):
                     held.setdefault((m[1], int(m[2]), int(m[3])), []).append(m[4])
             yield pd.DataFrame([(*k, " ".join(w)) for k, w in held.items()], columns=["book", "chapter", "verse", "text"])
 
