@@ -7,7 +7,9 @@ segments; documents meet if some segment differs in at most one bit, which is so
 
 A one-wildcard variant of a 32-bit segment leaves one of its 16-bit halves whole. Variants that share that half travel
 as one row: the shuffle key is (segment, half, its 16 bits), and the 16 variants of the other half are formed and
-joined inside the partition. So a document costs 2 rows a segment in place of 32.
+joined inside the partition. So a document costs 2 rows a segment in place of 32. A row carries the four segments after
+its own; pairs that differ in at most ACCEPT of those 128 bits (a pair within MAX_DISTANCE exceeds that once in some
+thousands) are verified on their whole signatures afterwards.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from corpusloom.llm.kernels import doc_words, mix, segment_sum, split_batches, t
 from corpusloom.llm.shared import cut, pick, seal
 
 BITS, SEGMENTS, MAX_DISTANCE = 512, 16, 80
+#: Of the CHECK segments that travel along: most differing bits of a candidate, and of one so close that it needs no other partner.
+CHECK, ACCEPT, ABSORB = 4, 32, 12
 _BLOCK = 255
 
 
@@ -86,40 +90,36 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum(-1, dtype=np.int64)
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def spanning_pairs(sig: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of rows within MAX_DISTANCE that connect whatever all such pairs connect, by leaders and exact cross checks."""
-    left, groups, out = np.arange(len(sig)), [], []
-    while len(left):
-        near = _distances(sig[left], sig[left[0]][None]) <= MAX_DISTANCE
-        groups.append(left[near])
-        out += [(int(left[0]), int(x)) for x in left[near][1:]]
-        left = left[~near]
-    root = list(range(len(groups)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            i = root[i]
-        return i
+def spanning_pairs(check: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows within ACCEPT that connect whatever all such pairs connect.
 
+    Leaders take every candidate as a pair, and absorb those within ABSORB, which lead no more; groups that no pair joins
+    are compared row by row. So the work on a large group of copies is linear in its size, and nothing is capped.
+    """
+    left, groups, out = np.arange(len(check)), [], []
+    while len(left):
+        d = _distances(check[left], check[left[0]][None])
+        out += [(int(left[0]), int(x)) for x in left[d <= ACCEPT][1:]]
+        groups.append(left[d <= ABSORB])
+        left = left[d > ABSORB]
+    at = np.empty(len(check), np.int64)
+    for i, g in enumerate(groups):
+        at[g] = i
+    joined = {(int(min(at[a], at[b])), int(max(at[a], at[b]))) for a, b in out}
     for j in range(1, len(groups)):
         for i in range(j):
-            if find(i) != find(j):
+            if (i, j) not in joined:
                 for x in groups[j]:
-                    hit = np.flatnonzero(_distances(sig[groups[i]], sig[x][None]) <= MAX_DISTANCE)
-                    if len(hit):
-                        out.append((int(groups[i][hit[0]]), int(x)))
-                        root[find(j)] = find(i)
-                        break
+                    out += [(int(y), int(x)) for y in groups[i][_distances(check[groups[i]], check[x][None]) <= ACCEPT]]
     return out
 
 
-def bucket_edges(bucket: np.ndarray, doc: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    """Verified (smaller, larger) pairs among rows sorted by (bucket, doc): equality join on the one-wildcard variants."""
+def bucket_edges(bucket: np.ndarray, other: np.ndarray, doc: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Candidate (smaller, larger) pairs among rows sorted by (bucket, doc): equality join on the one-wildcard variants."""
     n, found = len(bucket), []
-    other = sig.view(">u2")[np.arange(n), (bucket >> 16) ^ 1].astype(np.int64)
     for bit in range(16):
         variant = bucket << 16 | other & ~(1 << bit)
         order = np.argsort(variant, kind="stable")
@@ -132,13 +132,13 @@ def bucket_edges(bucket: np.ndarray, doc: np.ndarray, sig: np.ndarray) -> np.nda
         start, size = start[many], size[many]
         at = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         lead, row = order[np.repeat(start, size)], order[at]
-        far = _distances(sig[lead], sig[row]) > MAX_DISTANCE
-        ok = ~far & (lead != row)
+        d = _distances(check[lead], check[row])
+        ok = (d <= ACCEPT) & (lead != row)
         found.append(np.stack([doc[lead[ok]], doc[row[ok]]], 1))
         run = np.repeat(np.arange(len(start)), size)
-        for r in np.unique(run[far]):  # runs that do not all lie near their first row
+        for r in np.unique(run[(d > ABSORB) & (size[run] > 2)]):  # runs that their first row doesn't absorb
             rows = order[start[r] : start[r] + size[r]]
-            if len(pairs := spanning_pairs(sig[rows])):
+            if len(pairs := spanning_pairs(check[rows])):
                 found.append(doc[rows[np.array(pairs)]])
     if not found:
         return np.zeros((0, 2), np.int64)
@@ -146,43 +146,66 @@ def bucket_edges(bucket: np.ndarray, doc: np.ndarray, sig: np.ndarray) -> np.nda
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
+def spread(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, other half and check of each document's 2 * SEGMENTS rows, [n, 2 * SEGMENTS] and for the check [.., 2]."""
+    half = sig.view(">u2").astype(np.int64)
+    segment = np.arange(2 * SEGMENTS) // 2
+    bucket = np.arange(2 * SEGMENTS)[None] << 16 | half
+    other = half[:, np.arange(2 * SEGMENTS) ^ 1]
+    word = sig.view(np.uint32)[:, (segment[:, None] + 1 + np.arange(CHECK)) % SEGMENTS]
+    return bucket, other, np.ascontiguousarray(word).view(np.uint64)
+
+
 def candidate_edges(reps: DataFrame) -> DataFrame:
-    """(a, b) with a < b: verified pairs of (doc_id, sig) rows that connect whatever the segment join finds."""
+    """(a, b) with a < b: pairs of (doc_id, sig) rows that some segment joins and the check accepts."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, len(b), 8192):
                 part = b.slice(lo, 8192)
-                sig = _rows(part.column(1))
-                half = sig.view(">u2").astype(np.int64)
-                bucket = (np.arange(2 * SEGMENTS)[None] << 16 | half).ravel()
-                doc = np.repeat(part.column(0).to_numpy(), 2 * SEGMENTS)
-                yield pa.record_batch([pa.array(bucket), pa.array(doc), _binary(np.repeat(sig, 2 * SEGMENTS, axis=0))], ["bucket", "doc", "sig"])
+                bucket, other, check = spread(_rows(part.column(1)))
+                check = check.reshape(-1, 2).view(np.int64)
+                columns = ((bucket << 16 | other).ravel(), np.repeat(part.column(0).to_numpy(), 2 * SEGMENTS), check[:, 0], check[:, 1])
+                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], ["place", "doc", "c0", "c1"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
-        rows = 0
+        held = 0
 
-        def done(parts: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            e = bucket_edges(*parts)
+        def done(place: np.ndarray, doc: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> pa.RecordBatch:
+            e = bucket_edges(place >> 16, place & 0xFFFF, doc, np.stack([c0, c1], 1).view(np.uint64))
             return pa.record_batch([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], ["a", "b"])
 
         for b in batches:
             if not len(b):
                 continue
-            kept.append((b.column(0).to_numpy(), b.column(1).to_numpy(), _rows(b.column(2))))
-            rows += len(b)
-            if rows >= 1 << 17 and kept[0][0][0] != kept[-1][0][-1]:
+            kept.append(tuple(b.column(i).to_numpy() for i in range(4)))
+            held += len(b)
+            if held >= 1 << 18 and kept[0][0][0] >> 16 != kept[-1][0][-1] >> 16:
                 whole = [np.concatenate(x) for x in zip(*kept)]
-                end = int(np.searchsorted(whole[0], whole[0][-1]))
-                yield done(tuple(x[:end] for x in whole))
+                end = int(np.searchsorted(whole[0] >> 16, whole[0][-1] >> 16))
+                yield done(*(x[:end] for x in whole))
                 kept = [tuple(x[end:].copy() for x in whole)]
-                rows = len(kept[0][0])
+                held = len(kept[0][0])
         if kept:
-            yield done(tuple(np.concatenate(x) for x in zip(*kept)))
+            yield done(*(np.concatenate(x) for x in zip(*kept)))
+
+    spreading = reps.select("doc_id", "sig").mapInArrow(rows, "place long, doc long, c0 long, c1 long")
+    together = spreading.repartition(F.shiftright("place", 16)).sortWithinPartitions(F.shiftright("place", 16), "doc")
+    return together.mapInArrow(join, "a long, b long").distinct()
+
+
+def verified(edges: DataFrame, reps: DataFrame) -> DataFrame:
+    """The edges whose whole signatures differ in at most MAX_DISTANCE bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                near = _distances(_rows(b.column(2)).view(np.uint64), _rows(b.column(3)).view(np.uint64)) <= MAX_DISTANCE
+                yield b.select([0, 1]).filter(pa.array(near))
 
-    spreading = reps.select("doc_id", "sig").mapInArrow(spread, "bucket long, doc long, sig binary")
-    return spreading.repartition("bucket").sortWithinPartitions("bucket", "doc").mapInArrow(join, "a long, b long").distinct()
+    left, right = (reps.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    return edges.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -213,7 +236,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = cut(signatures(docs).withColumn("rep", F.min("doc_id").over(same)), "signatures")
     reps = groups.where("doc_id = rep").select("doc_id", "sig").distinct()
     alike = groups.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    edges = cut(candidate_edges(reps).union(alike), "edges")
+    edges = cut(verified(candidate_edges(reps), reps).union(alike), "edges")
     return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 
 
