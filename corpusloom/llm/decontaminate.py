@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from corpusloom.llm.shared import cut, pick, seal
 BUCKETS, PASSAGE, SKETCH, RANK = 1 << 14, 32, 128, 64
 #: Window sizes in words; each steps by half. A benchmark passage meets the least window of at least 0.7 of its length.
 WINDOWS, FIT, MAX_PIECE = (16, 32, 64), 0.7, 88
+#: Most pieces broadcast at once; a larger benchmark is searched for in several passes over the word hashes.
+PIECES_AT_ONCE = 4096
 #: Least cosine of a candidate, least LCS share, least share of answer words, and number of answer words.
 COSINE, COMMON, ANSWER, ANSWER_WORDS = 0.4, 0.5, 0.4, 5
 
@@ -287,6 +290,21 @@ def search(matchers: list[Matcher], space: Space, ids: np.ndarray, words: np.nda
     return out
 
 
+def _found(tokens: DataFrame, space: Space, pieces: list[Piece]) -> DataFrame:
+    """All verified matches of the pieces."""
+    shared = tokens.sparkSession.sparkContext.broadcast((space, pieces))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space, pieces = shared.value
+        matchers = [m for m in (Matcher(space, pieces, size) for size in WINDOWS) if m.pieces]
+        for ids, words, off in _batches(batches):
+            rows = search(matchers, space, ids, words, off)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((),) * 6, kinds)], ["doc_id", "item_id", "lcs", "answer", "cosine", "start"])
+
+    return tokens.mapInArrow(run, "doc_id long, item_id long, lcs double, answer double, cosine double, start long")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, lcs, answer, cosine, start): the best match of each document and benchmark passage that match.
 
@@ -301,17 +319,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     idf = inverse_frequencies(held, n)
     passages = pick(benchmark, item_id="item_id", text="text").where("item_id is not null and text is not null").distinct().toArrow()
     bench = sorted(zip(passages.column("item_id").to_pylist(), passages.column("text").to_pylist()))
-    shared = docs.sparkSession.sparkContext.broadcast((Space.of(sketch(tokens, idf), idf), pieces_of(bench, idf)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, pieces = shared.value
-        matchers = [m for m in (Matcher(space, pieces, size) for size in WINDOWS) if m.pieces]
-        for ids, words, off in _batches(batches):
-            rows = search(matchers, space, ids, words, off)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((),) * 6, kinds)], ["doc_id", "item_id", "lcs", "answer", "cosine", "start"])
-
-    found = tokens.mapInArrow(run, "doc_id long, item_id long, lcs double, answer double, cosine double, start long")
+    pieces, space = pieces_of(bench, idf), Space.of(sketch(tokens, idf), idf)
+    parts = [_found(tokens, space, pieces[lo : lo + PIECES_AT_ONCE]) for lo in range(0, max(len(pieces), 1), PIECES_AT_ONCE)]
+    found = reduce(DataFrame.union, parts)
     best = F.max(F.struct("lcs", "answer", (-F.col("start")).alias("back"), "cosine")).alias("m")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.lcs", "m.answer", "m.cosine", (-F.col("m.back")).alias("start"))
 
