@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.kernels import split_batches, text_bytes
+from corpusloom.llm.kernels import segment_sum, split_batches, text_bytes
 from corpusloom.llm.shared import pick
 
-#: Most labelled documents to fit on, hash buckets, embedding width, passes, learning rate, documents in a step.
-SAMPLE, BUCKETS, WIDTH, EPOCHS, RATE, STEP, SEED = 2048, 1 << 15, 16, 6, 2.0, 32, 5
+#: Most labelled documents to fit on, hash buckets, embedding width, steps, learning rate, documents in a step.
+SAMPLE, BUCKETS, WIDTH, STEPS, RATE, STEP, SEED = 2048, 1 << 15, 16, 320, 2.0, 32, 5
 #: The share of wrong labels among held-out accepted texts that the rejection threshold allows.
 MAX_ERROR = 0.005
 _BLOCK = 1 << 20
@@ -94,22 +94,24 @@ def fit(texts: list[str], languages: list[str]) -> Model:
     e = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     w, b = rng.normal(0, 0.1, (WIDTH, k)).astype(np.float32), np.zeros(k, np.float32)
     train = np.flatnonzero(~held)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
-        rng.shuffle(train)
-        for lo in range(0, len(train), STEP):
-            rows = train[lo : lo + STEP]
-            ids, part = np.concatenate([bags[i][0] for i in rows]), np.concatenate([bags[i][1] for i in rows])
-            doc = np.repeat(np.arange(len(rows)), [len(bags[i][0]) for i in rows])
-            hidden = np.zeros((len(rows), WIDTH), np.float32)
-            np.add.at(hidden, doc, e[ids] * part[:, None])
-            p = softmax(hidden @ w + b)
-            p[np.arange(len(rows)), y[rows]] -= 1
-            p *= weight[y[rows]][:, None] / len(rows)
-            back = (p @ w.T).astype(np.float32) * np.float32(len(rows))  # embeddings step by text, the small layer by batch
-            w -= rate * (hidden.T @ p).astype(np.float32)
-            b -= rate * p.sum(0).astype(np.float32)
-            np.add.at(e, ids, -rate * back[doc] * part[:, None])
+    order = np.concatenate([rng.permutation(train) for _ in range(-(-STEPS * STEP // max(len(train), 1)))]) if len(train) else train
+    for step, lo in enumerate(range(0, min(len(order), STEPS * STEP), STEP)):  # as many passes as the steps need
+        rate = RATE * (1 - step / STEPS)
+        rows = order[lo : lo + STEP]
+        ids, part = np.concatenate([bags[i][0] for i in rows]), np.concatenate([bags[i][1] for i in rows])
+        size = np.array([len(bags[i][0]) for i in rows])
+        doc = np.repeat(np.arange(len(rows)), size)
+        hidden = segment_sum(e[ids] * part[:, None], np.append(0, np.cumsum(size)))
+        p = softmax(hidden @ w + b)
+        p[np.arange(len(rows)), y[rows]] -= 1
+        p *= weight[y[rows]][:, None] / len(rows)
+        back = (p @ w.T).astype(np.float32) * np.float32(len(rows))  # embeddings step by text, the small layer by batch
+        w -= rate * (hidden.T @ p).astype(np.float32)
+        b -= rate * p.sum(0).astype(np.float32)
+        by = np.argsort(ids, kind="stable")
+        bucket, first = np.unique(ids[by], return_index=True)
+        if len(bucket):
+            e[bucket] -= np.float32(rate) * np.add.reduceat((back[doc] * part[:, None])[by], first, axis=0)
     model = Model(names, (e @ w).astype(np.float32), b.astype(np.float64))
     check = np.flatnonzero(held)
     if len(check):
