@@ -68,3 +68,33 @@ def outline(verses: DataFrame, words: DataFrame, rare: int = 2, incipit: int = 9
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("freq", "lemma"))
     top = here.withColumn("k", rank).where(F.col("k") <= rare).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "lemma"))), lambda x: x["lemma"]), ",").alias("rarest"))
     return heads.select("doc_id", "n_verses", opening.alias("incipit")).join(top, "doc_id", "left")
+
+
+def check_on_spine(spine: DataFrame, keys: list[int]) -> None:
+    """Raise ValueError for a verse key that isn't on the spine; the message names the last verse of its chapter.
+
+    Verse 0 and 999 are open ends and always pass. One bounded look-up for all keys.
+    """
+    wanted = [k for k in keys if k % 1000 not in (0, 999)]
+    chapters = sorted({k // 1000 for k in wanted})
+    if not chapters:
+        return
+    rows = spine.where(F.expr("verse_id div 1000").isin(chapters)).groupBy(F.expr("verse_id div 1000").alias("ch")).agg(F.max("verse_id").alias("last"), F.collect_set(F.when(F.col("verse_id").isin(wanted), F.col("verse_id"))).alias("have")).collect()
+    have, last = {k for r in rows for k in r.have}, {r.ch: r.last for r in rows}
+    for k in wanted:
+        if k not in have:
+            end = last.get(k // 1000)
+            raise ValueError(f"{k} is not there; " + (f"its chapter ends at {end}" if end else "its chapter has no verses"))
+
+
+def guard_size(spine: DataFrame, start: int, end: int, most: int) -> None:
+    """Raise ValueError if the interval holds more than `most` verses; at most one more than that is counted."""
+    if spine.where(F.col("verse_id").between(start, end)).limit(most + 1).count() > most:
+        raise ValueError(f"the range holds more than {most} verses")
+
+
+def flow(verses: DataFrame) -> DataFrame:
+    """(doc_id, text): each chapter as running text with [n] before each verse but the title."""
+    piece = F.when(F.col("verse") == 0, F.col("text")).otherwise(F.concat(F.lit("["), F.col("verse").cast("string"), F.lit("] "), F.col("text")))
+    parts = verses.select("doc_id", "verse", piece.alias("p")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("verse", "p"))).alias("x"))
+    return parts.select("doc_id", F.array_join(F.transform("x", lambda r: r["p"]), " ").alias("text"))

@@ -190,3 +190,31 @@ def test_combined_filters(spark):
     df = spark.createDataFrame(list(itertools.product(range(3), "ab")), "n int, s string")
     assert df.where(lexical.conjunction([])).count() == 6 and df.where(lexical.conjunction([F.col("n") == 1, F.col("s") == "a"])).count() == 1
     assert df.where(retrieval.in_scope("n", [(0, 0), (2, 5)])).count() == 4 and df.where(retrieval.in_scope("n", [])).count() == 6
+
+
+def test_spine_checks_and_flow(spark):
+    spine = spark.createDataFrame([(1001001, 1, 1, "a"), (1001002, 1, 2, "b"), (1001000, 1, 0, "T")], "verse_id long, doc_id int, verse int, text string")
+    retrieval.check_on_spine(spine, [1001001, 1001999, 1001000])
+    for key, what in ((1001009, "ends at 1001002"), (1009001, "no verses")):
+        with pytest.raises(ValueError, match=what):
+            retrieval.check_on_spine(spine, [key])
+    retrieval.guard_size(spine, 1001000, 1001999, 3)
+    with pytest.raises(ValueError, match="more than 2"):
+        retrieval.guard_size(spine, 1001000, 1001999, 2)
+    assert retrieval.flow(spine).first().text == "T [1] a [2] b"
+
+
+def test_sinks(spark, tmp_path):
+    from corpusloom.sources import sinks
+
+    df = spark.createDataFrame([(1, "x"), (22, None)], "n int, s string")
+    assert sinks.aligned(df) == "n   s\n1   x\n22" and sinks.aligned(df, 1).endswith("…")
+    sinks.write_json(df, f"{tmp_path}/j")
+    assert spark.read.json(f"{tmp_path}/j").count() == 2
+    for _ in range(2):
+        sinks.append_log(df, f"{tmp_path}/log")
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 4
+    words = spark.createDataFrame([(1, "a"), (2, "b")], "verse_id long, lemma string")
+    sinks.clustered_tokens(words, "tokens_test", 4)
+    t = spark.table("tokens_test")
+    assert "Exchange" not in t.groupBy("lemma").count()._jdf.queryExecution().executedPlan().toString().replace("ReusedExchange", "")
