@@ -411,9 +411,8 @@ def test_contamination_recall_and_clean_documents(spark, odd, none):
 # 9 tokens
 
 
-def greedy(vocabulary, word):
+def greedy(vocabulary, word, longest=64):
     word, i, n = word + b"\n", 0, 0
-    longest = max(map(len, vocabulary))
     while i < len(word):
         j = next((j for j in range(min(len(word), i + longest), i, -1) if word[i:j] in vocabulary), None)
         if j is None:
