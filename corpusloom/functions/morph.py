@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,9 +121,15 @@ def greek(code: str) -> dict[str, str | None]:
     return out
 
 
-@F.pandas_udf(T.StructType([T.StructField(f, T.StringType()) for f in (*FIELDS, "error")]))
-def morph_struct(codes: pd.Series, langs: pd.Series) -> pd.DataFrame:
-    """Attributes of code columns by language (H, A, G); each distinct pair is read once, errors are reported in `error`."""
+ATTRIBUTES = T.StructType([T.StructField(f, T.StringType()) for f in (*FIELDS, "error")])
+
+
+def morph_struct(codes: str | Column, langs: str | Column) -> Column:
+    """Attributes of code columns by language (H, A, G); errors are reported in `error`."""
+    return F.pandas_udf(_read_codes, ATTRIBUTES)(codes, langs)
+
+
+def _read_codes(codes: pd.Series, langs: pd.Series) -> pd.DataFrame:
     known: dict[tuple, dict] = {}
     for pair in set(zip(codes, langs)):
         try:

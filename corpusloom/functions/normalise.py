@@ -59,9 +59,12 @@ def strongs_number(col: str) -> Column:
     return F.nullif(F.regexp_extract(col, "^[HG]([0-9]{1,4})[A-Za-z]?$", 1), F.lit("")).cast("int")
 
 
-@F.pandas_udf(T.StringType())
-def normalised(texts: pd.Series, langs: pd.Series) -> pd.Series:
+def normalised(texts: str | Column, langs: str | Column) -> Column:
     """Search form by language: H and A as Hebrew, G as Greek, others without accents in lower case."""
+    return F.pandas_udf(_normalise, T.StringType())(texts, langs)
+
+
+def _normalise(texts: pd.Series, langs: pd.Series) -> pd.Series:
     def one(t: str | None, lang: str | None) -> str | None:
         return None if t is None else hebrew(t) if lang in ("H", "A") else greek(t) if lang == "G" else squeeze(unaccented(t).lower())
 

@@ -165,9 +165,15 @@ def parse_scope(text: str) -> list[tuple[int, int]]:
     return [(ref.start, ref.end)]
 
 
-@F.pandas_udf(T.StructType().add("book", T.IntegerType()).add("start", T.LongType()).add("end", T.LongType()).add("kind", T.StringType()))
-def reference_struct(texts: pd.Series) -> pd.DataFrame:
-    """References of a column, each distinct text read once; unreadable ones give nulls."""
+REFERENCE = T.StructType().add("book", T.IntegerType()).add("start", T.LongType()).add("end", T.LongType()).add("kind", T.StringType())
+
+
+def reference_struct(texts: str | Column) -> Column:
+    """References of a column as REFERENCE; unreadable ones give nulls. Made anew at each call: a used function object can't travel to workers."""
+    return F.pandas_udf(_read_references, REFERENCE)(texts)
+
+
+def _read_references(texts: pd.Series) -> pd.DataFrame:
     known: dict[str, tuple] = {}
     for t in texts.dropna().unique():
         try:

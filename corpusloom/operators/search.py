@@ -189,8 +189,11 @@ def stem(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_arrays(tokens: pd.Series) -> pd.Series:
+def stem_arrays(tokens: str | Column) -> Column:
     """Stems of token arrays; each distinct token of a batch is stemmed once."""
+    return F.pandas_udf(_stem_rows, T.ArrayType(T.StringType()))(tokens)
+
+
+def _stem_rows(tokens: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
     return tokens.map(lambda row: None if row is None else [known.setdefault(t, "") or known.update({t: stem(t)}) or known[t] for t in row])
