@@ -1,15 +1,15 @@
-"""Near duplicates by SimHash: deletion-variant signatures, equality join, exact verification, components.
+"""Near duplicates by SimHash: half-segment signatures over bit permutations, equality join, exact verification, components.
 
 A signature has BITS bits, each the majority vote of one hash bit over the distinct lower-cased words of the whole
-text. Two documents are near duplicates if at most MAX_DISTANCE bits differ. The signature is cut into SEGMENTS
-segments; documents meet if some segment differs in at most one bit, which is so for every pair with fewer than
-2 * SEGMENTS differing bits and, as measured in the README, for over 0.95 of all pairs up to MAX_DISTANCE.
-
-A one-wildcard variant of a 32-bit segment leaves one of its 16-bit halves whole. Variants that share that half travel
-as one row: the shuffle key is (segment, half, its 16 bits), and the 16 variants of the other half are formed and
-joined inside the partition. So a document costs 2 rows a segment in place of 32. A row carries the four segments after
-its own; pairs that differ in at most ACCEPT of those 128 bits (a pair within MAX_DISTANCE exceeds that once in some
-thousands) are verified on their whole signatures afterwards.
+text. Two documents are near duplicates if at most MAX_DISTANCE bits differ. The signature, and the signature under
+each of PERMUTATIONS - 1 fixed permutations of its bits, is cut into 2 * SEGMENTS halves of 16 bits; documents meet if
+some half is the same, and all that meet are compared. That is so for every pair with fewer than 2 * SEGMENTS differing
+bits, and for all but about one of ten thousand pairs at MAX_DISTANCE itself (README has the measured shares).
+
+A document costs 2 * SEGMENTS rows a permutation; the shuffle key is (permutation, half, its 16 bits). A row carries
+the four segments after its own; pairs that differ in at most ACCEPT of those 128 bits (a pair within MAX_DISTANCE
+exceeds that once in some thousands of meetings, and one that far apart meets eight times on average) are verified on
+their whole signatures afterwards.
 """
 
 from __future__ import annotations
@@ -26,9 +26,13 @@ from corpusloom.llm.kernels import doc_words, mix, segment_sum, split_batches, t
 from corpusloom.llm.shared import cut, pick, seal
 
 BITS, SEGMENTS, MAX_DISTANCE = 512, 16, 80
+#: Orders of the bits, the plain one among them, whose halves are joined.
+PERMUTATIONS = 4
 #: Of the CHECK segments that travel along: most differing bits of a candidate, and of one so close that it needs no other partner.
 CHECK, ACCEPT, ABSORB = 4, 32, 12
 _BLOCK = 255
+#: Buckets of more rows are compared by leaders; smaller ones together, about so many pairs at a time.
+_LARGE, _PAIRS = 1024, 1 << 22
 
 
 def word_bits(words: np.ndarray) -> np.ndarray:
@@ -96,56 +100,80 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def spanning_pairs(check: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of rows within ACCEPT that connect whatever all such pairs connect.
 
-    Leaders take every candidate as a pair, and absorb those within ABSORB, which lead no more; groups that no pair joins
-    are compared row by row. So the work on a large group of copies is linear in its size, and nothing is capped.
+    Leaders take every candidate as a pair, and absorb those within ABSORB, which lead no more. A row that a leader just
+    misses, by ABSORB at most, is compared with those absorbed; none of them can reach a row further off. So the work on
+    a large group of copies is linear in its size, and nothing is capped.
     """
-    left, groups, out = np.arange(len(check)), [], []
+    left, out = np.arange(len(check)), []
     while len(left):
         d = _distances(check[left], check[left[0]][None])
         out += [(int(left[0]), int(x)) for x in left[d <= ACCEPT][1:]]
-        groups.append(left[d <= ABSORB])
+        missed = left[(d > ACCEPT) & (d <= ACCEPT + ABSORB)]
+        for x in left[d <= ABSORB][1:]:
+            if not len(missed):
+                break
+            near = _distances(check[missed], check[x][None]) <= ACCEPT
+            out += [(int(x), int(y)) for y in missed[near]]
+            missed = missed[~near]
         left = left[d > ABSORB]
-    at = np.empty(len(check), np.int64)
-    for i, g in enumerate(groups):
-        at[g] = i
-    joined = {(int(min(at[a], at[b])), int(max(at[a], at[b]))) for a, b in out}
-    for j in range(1, len(groups)):
-        for i in range(j):
-            if (i, j) not in joined:
-                for x in groups[j]:
-                    out += [(int(y), int(x)) for y in groups[i][_distances(check[groups[i]], check[x][None]) <= ACCEPT]]
     return out
 
 
+def _close_pairs(bucket: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers, smaller first, of all pairs within ACCEPT of one bucket; rows are sorted by bucket."""
+    words = list(np.ascontiguousarray(check.T))
+    after = np.searchsorted(bucket, bucket, "right") - np.arange(len(bucket))  # the row and those behind it
+    row, step, found = np.flatnonzero(after > 1), 1, []
+    while len(row):
+        d = sum(np.bitwise_count(w[row] ^ w[row + step]).astype(np.int16) for w in words)
+        near = row[d <= ACCEPT]
+        found.append(np.stack([near, near + step]))
+        step += 1
+        row = row[after[row] > step]
+    return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 2
+
+
 def bucket_edges(bucket: np.ndarray, other: np.ndarray, doc: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """Candidate (smaller, larger) pairs among rows sorted by (bucket, doc): equality join on the one-wildcard variants."""
-    n, found = len(bucket), []
-    for bit in range(16):
-        variant = bucket << 16 | other & ~(1 << bit)
-        order = np.argsort(variant, kind="stable")
-        v = variant[order]
-        start = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-        size = np.diff(np.append(start, n))
-        many = size > 1
-        if not many.any():
-            continue
-        start, size = start[many], size[many]
-        at = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        lead, row = order[np.repeat(start, size)], order[at]
-        d = _distances(check[lead], check[row])
-        ok = (d <= ACCEPT) & (lead != row)
-        found.append(np.stack([doc[lead[ok]], doc[row[ok]]], 1))
-        run = np.repeat(np.arange(len(start)), size)
-        for r in np.unique(run[(d > ABSORB) & (size[run] > 2)]):  # runs that their first row doesn't absorb
-            rows = order[start[r] : start[r] + size[r]]
-            if len(pairs := spanning_pairs(check[rows])):
-                found.append(doc[rows[np.array(pairs)]])
+    """Candidate (smaller, larger) pairs among rows sorted by (bucket, doc): all rows of a bucket are compared.
+
+    Buckets with many pairs give spanning ones only. What `other` holds, the half beside the bucket's, may differ at will.
+    """
+    start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(bucket)))
+    found = []
+
+    def span(at: int, n: int) -> None:
+        if len(pairs := spanning_pairs(check[at : at + n])):
+            found.append(doc[at + np.array(pairs)])
+
+    small = np.flatnonzero((size > 1) & (size <= _LARGE))
+    for i in np.flatnonzero(size > _LARGE):
+        span(start[i], size[i])
+    part = np.cumsum(size[small] * (size[small] - 1) // 2) // _PAIRS
+    for runs in np.split(small, np.flatnonzero(np.diff(part)) + 1):
+        n = size[runs]
+        rows = np.repeat(start[runs], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        run = np.repeat(np.arange(len(runs)), n)
+        a, b = _close_pairs(run, check[rows])
+        dense = np.bincount(run[a], minlength=len(runs)) > 4 * n
+        for i in runs[dense]:
+            span(start[i], size[i])
+        keep = ~dense[run[a]]
+        found.append(np.stack([doc[rows[a[keep]]], doc[rows[b[keep]]]], 1))
     if not found:
         return np.zeros((0, 2), np.int64)
     pairs = np.sort(np.concatenate(found), axis=1)
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
+def permuted(sig: np.ndarray, p: int) -> np.ndarray:
+    """Packed signatures with their bits in the p-th fixed order; the first is as they are."""
+    if not p:
+        return sig
+    order = np.argsort(mix(np.arange(BITS, dtype=np.uint64) + np.uint64(p * BITS)), kind="stable")
+    return np.packbits(np.ascontiguousarray(np.unpackbits(sig, axis=1)[:, order]), axis=1)
+
+
 def spread(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket, other half and check of each document's 2 * SEGMENTS rows, [n, 2 * SEGMENTS] and for the check [.., 2]."""
     half = sig.view(">u2").astype(np.int64)
@@ -157,16 +185,18 @@ def spread(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def candidate_edges(reps: DataFrame) -> DataFrame:
-    """(a, b) with a < b: pairs of (doc_id, sig) rows that some segment joins and the check accepts."""
+    """(a, b) with a < b: pairs of (doc_id, sig) rows that some half joins and the check accepts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, len(b), 8192):
                 part = b.slice(lo, 8192)
-                bucket, other, check = spread(_rows(part.column(1)))
-                check = check.reshape(-1, 2).view(np.int64)
-                columns = ((bucket << 16 | other).ravel(), np.repeat(part.column(0).to_numpy(), 2 * SEGMENTS), check[:, 0], check[:, 1])
-                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], ["place", "doc", "c0", "c1"])
+                for p in range(PERMUTATIONS):
+                    bucket, other, check = spread(permuted(_rows(part.column(1)), p))
+                    bucket += p * 2 * SEGMENTS << 16
+                    check = check.reshape(-1, 2).view(np.int64)
+                    columns = ((bucket << 16 | other).ravel(), np.repeat(part.column(0).to_numpy(), 2 * SEGMENTS), check[:, 0], check[:, 1])
+                    yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], ["place", "doc", "c0", "c1"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []

@@ -133,6 +133,42 @@ def test_near_duplicates_against_all_pairs(spark):
     assert len(got) >= 0.95 * len(want) and len(want) >= 110
 
 
+def test_near_duplicates_in_groups_of_two_by_band(spark):
+    """5 to 10 % of the words are replaced; a group of two has one pair only, so that no other can stand in for it."""
+    texts = [prose(5000 + i, 120 + i % 200) for i in range(1200)]
+    copies = [edited(t, 0.05 + 0.05 * i / 1200, i) for i, t in enumerate(texts)]
+    sig = [simhash.signatures_of(pa.array(x)) for x in (texts, copies)]
+    distance = np.bitwise_count(sig[0] ^ sig[1]).sum(1)
+    rows = [(2 * i, t) for i, t in enumerate(texts)] + [(2 * i + 1, t) for i, t in enumerate(copies)]
+    got = {(r.keep_id, r.doc_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= {(2 * i, 2 * i + 1) for i in np.flatnonzero(distance <= simhash.MAX_DISTANCE)}
+    for lo, hi in ((32, 49), (50, 61), (62, 70), (71, simhash.MAX_DISTANCE)):
+        band = np.flatnonzero((lo <= distance) & (distance <= hi))
+        assert len(band) >= 30 and sum((2 * i, 2 * i + 1) in got for i in band) >= 0.98 * len(band), (lo, hi, len(band))
+
+
+def test_pairs_at_the_greatest_distance_meet(spark):
+    r = np.random.default_rng(8)
+    sig = r.integers(0, 256, (2000, simhash.BITS // 8), np.uint8)
+    flips = np.zeros((2000, simhash.BITS), np.uint8)
+    flips[np.arange(2000)[:, None], r.permuted(np.tile(np.arange(simhash.BITS), (2000, 1)), axis=1)[:, : simhash.MAX_DISTANCE]] = 1
+    rows = [(2 * i + k, s.tobytes()) for k, x in enumerate((sig, sig ^ np.packbits(flips, axis=1))) for i, s in enumerate(x)]
+    reps = spark.createDataFrame(rows, "doc_id long, sig binary")
+    got = {(e.a, e.b) for e in simhash.verified(simhash.candidate_edges(reps), reps).collect()}
+    assert got <= {(2 * i, 2 * i + 1) for i in range(2000)} and len(got) >= 0.998 * 2000
+
+
+def test_large_buckets_lose_no_pair(monkeypatch):
+    r = np.random.default_rng(9)
+    check = r.integers(0, 1 << 63, (40, 2)).astype(np.uint64)[r.integers(0, 40, 600)] ^ (np.uint64(1) << r.integers(0, 64, (600, 2)).astype(np.uint64))
+    bucket, doc = np.sort(r.integers(0, 12, 600)), r.permutation(600)
+    want = groups_of([(doc[i], doc[j]) for j in range(600) for i in range(j) if bucket[i] == bucket[j] and np.bitwise_count(check[i] ^ check[j]).sum() <= simhash.ACCEPT])
+    for large, pairs in ((1024, 1 << 22), (1024, 500), (8, 500), (1, 1)):
+        monkeypatch.setattr(simhash, "_LARGE", large)
+        monkeypatch.setattr(simhash, "_PAIRS", pairs)
+        assert groups_of(map(tuple, simhash.bucket_edges(bucket, bucket, doc, check))) == want
+
+
 def test_spanning_pairs_connect_what_all_pairs_connect():
     r = np.random.default_rng(5)
     for _ in range(60):
