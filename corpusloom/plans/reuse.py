@@ -104,11 +104,16 @@ def quotes_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse.merge_tiers(reuse.quotes(left, right), reuse.lemma_links(left, right))
 
 
-def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = words(spark, sf_dir).where("book_num <= 4")
+def line_words(spark: SparkSession, sf_dir: str, last_book: int | None = None) -> DataFrame:
+    """The words by line, of the sources up to last_book or of all."""
+    w = words(spark, sf_dir)
+    if last_book is not None:
+        w = w.where(F.col("book_num") <= last_book)
     return w.select(F.col("verse_id").alias("unit"), F.col("doc_id").alias("chapter"), F.col("verse").alias("line"), F.col("word_num").alias("pos"), F.col("lemma").alias("w"))
 
 
+#: PARALLEL_SQL covers the first four sources, and so do the queries beside it.
+SQL_BOOKS = 4
 PARALLEL_SQL = """u AS (SELECT verse_id AS unit, doc_id AS chapter, verse AS line, word_num AS pos, lemma AS w FROM words WHERE book_num <= 4),
 g AS (SELECT unit, chapter, line, pos, [w, lead(w) OVER l, lead(w, 2) OVER l] AS g FROM u WINDOW l AS (PARTITION BY unit ORDER BY pos) QUALIFY lead(w, 2) OVER l IS NOT NULL),
 gdf AS (SELECT g, count(DISTINCT unit) AS gdf FROM g GROUP BY g), df AS (SELECT w, count(DISTINCT unit) AS df FROM u GROUP BY w),
@@ -127,13 +132,13 @@ best AS (SELECT * FROM m WHERE (len >= 4 AND (least <= 300 OR (least <= 600 AND
 
 @query(PARALLEL_SQL + " SELECT a, b, start AS start_a, start + diag AS start_b, len::BIGINT AS len, CASE WHEN len >= 5 THEN 'parallel' WHEN len = 4 THEN 'allusion' ELSE 'echo' END AS tier FROM best", "words")
 def parallels_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reuse.parallels(line_words(spark, sf_dir))
+    return reuse.parallels(line_words(spark, sf_dir, SQL_BOOKS))
 
 
 @query(PARALLEL_SQL + " SELECT a, b, len::BIGINT AS len FROM best WHERE len >= 8 AND (a BETWEEN 0 AND 200000 OR b BETWEEN 0 AND 200000) ORDER BY len DESC, a, b LIMIT 15", "words")
 def parallels_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The read side: overlap of either side with the scope, long runs first."""
-    p = reuse.parallels(line_words(spark, sf_dir)).where((F.col("len") >= 8) & (F.col("a").between(0, 200_000) | F.col("b").between(0, 200_000)))
+    p = reuse.parallels(line_words(spark, sf_dir, SQL_BOOKS)).where((F.col("len") >= 8) & (F.col("a").between(0, 200_000) | F.col("b").between(0, 200_000)))
     return p.orderBy(F.desc("len"), "a", "b").limit(15).select("a", "b", "len")
 
 

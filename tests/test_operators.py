@@ -90,6 +90,16 @@ def test_parallels_gate(spark):
     assert reuse.parallels(df, rare=3).where("a = 1 and b = 1001").first().tier == "echo" and (1, 2) not in got
 
 
+def test_chains_query_covers_every_source(spark):
+    from corpusloom import plans
+    from corpusloom.tables import words
+
+    sf = "/root/testdata/sf0.001"
+    sources = {r.book_num for r in words(spark, sf).select("book_num").distinct().collect()}
+    found = {b for r in plans.QUERIES["parallels_chains"](spark, sf).select("book_a", "book_b").distinct().collect() for b in r}
+    assert len(sources) == 20 and found == sources
+
+
 def test_chains(spark):
     rows = [(1, 2, 10, 50, 5), (1, 2, 11, 51, 7), (1, 2, 13, 52, 4), (1, 2, 16, 60, 3), (1, 3, 14, 53, 9)]
     got = reuse.chains(spark.createDataFrame(rows, "book_a int, book_b int, oa long, ob long, len long")).collect()
