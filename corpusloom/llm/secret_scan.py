@@ -30,7 +30,7 @@ RULES = {
     "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}",
     "stripe_key": r"\b[rs]k_live_[0-9A-Za-z]{16,}",
     "token": r"(?i)\b(?:api_?key|secret|token)[ \t]*[=:][ \t]*[\"'][0-9A-Za-z_-]{16,}[\"']",
-    "url_credentials": r"\b[a-z][0-9a-z+.-]{1,20}://[0-9A-Za-z._~-]{1,64}:[0-9A-Za-z._~!$*+-]{1,64}@",
+    "url_credentials": r"\b[a-z][0-9a-z+.-]{1,20}://[0-9A-Za-z._~-]+:[0-9A-Za-z._~!$*+-]+@",
     "hex_key": r"\b[0-9a-f]{40}\b",
 }
 #: Sets of strings beyond this size count as unknown text.
