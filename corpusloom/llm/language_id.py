@@ -122,9 +122,14 @@ def fit(texts: list[str], languages: list[str]) -> Model:
         best = p.max(1)
         order = np.argsort(-best)
         wrong = np.cumsum(p.argmax(1)[order] != y[check][order]) / np.arange(1, len(check) + 1)
-        allowed = np.flatnonzero(wrong <= MAX_ERROR)
-        # the least confidence among the accepted, halfway down to what an even guess would have
-        model.threshold = float((best[order[allowed[-1]]] if len(allowed) else 1.0) + 1 / k) / 2
+        last = np.append(np.diff(best[order]) != 0, True)  # texts as confident as the threshold are all accepted
+        allowed = np.flatnonzero(last & (wrong <= MAX_ERROR))
+        if not len(allowed):
+            model.threshold = np.inf
+        elif allowed[-1] < len(order) - 1:
+            model.threshold = float(best[order[allowed[-1]]])
+        else:  # the bound excludes none: halfway from the least confidence down to what an even guess would have
+            model.threshold = float(best[order[-1]] + 1 / k) / 2
     return model
 
 

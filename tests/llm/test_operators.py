@@ -230,6 +230,24 @@ def test_text_scores_match_a_plain_sum():
         assert n == 2 * len(grams) and np.allclose(row, table[grams].sum((0, 1)), atol=1e-2)
 
 
+@pytest.mark.parametrize("hard", [0.03, 0.06, 1.0])
+def test_accepted_noisy_held_out_texts_keep_the_bound(hard):
+    """Hard texts are half of one language and half of another; their label is one of the two."""
+    r = random.Random(12)
+    names = ["en", "fr"]
+    texts, labels = [], []
+    for i in range(4000):
+        one, two = r.sample(names, 2)
+        mixed = i % 5 == 4 and r.random() < hard
+        texts.append(synthetic(one, i, 20) + " " + synthetic(two if mixed else one, 9000 + i, 20))
+        labels.append(r.choice([one, two]) if mixed else one)
+    model = language_id.fit(texts, labels)
+    p, _ = model.probabilities(pa.array(texts[4::5]))
+    ok = p.max(1) >= model.threshold
+    wrong = np.array(model.languages)[p.argmax(1)] != np.array(labels[4::5])
+    assert wrong.mean() > language_id.MAX_ERROR and (wrong & ok).sum() <= language_id.MAX_ERROR * ok.sum()
+
+
 def test_language_held_out_accuracy_and_edges(spark, odd, none):
     rows = [(i, synthetic("en" if i % 2 else "fr", i), "en" if i % 2 else "fr") for i in range(240)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
