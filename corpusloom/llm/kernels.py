@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,24 @@ _WORD[95] = True
 _SPLIT_BYTES = 2 << 20
 
 
+@cache
+def _heap() -> ctypes.CDLL | None:
+    """The C library, if it can give free pages back; Arrow then takes its memory there too, so that one call frees both."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.malloc_trim
+    except (OSError, AttributeError):
+        return None
+    pa.set_memory_pool(pa.system_memory_pool())
+    return libc
+
+
+def give_back() -> None:
+    """Return free pages to the system. Workers are kept between tasks and stages, and idle ones would hold their peak."""
+    if heap := _heap():
+        heap.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads entropy over all 64 bits."""
     x = x.astype(np.uint64, copy=True)
@@ -91,16 +111,18 @@ def doc_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def split_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = _SPLIT_BYTES) -> Iterator[pa.RecordBatch]:
     """Re-cut batches so that each holds at most about `most` bytes of text, or one row."""
+    _heap()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        if not len(sizes):
-            continue
         run = np.cumsum(sizes)
         lo = 0
         while lo < len(sizes):
             hi = max(lo + 1, int(np.searchsorted(run, (run[lo - 1] if lo else 0) + most, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+        del batch
+        give_back()
+    give_back()
 
 
 def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
