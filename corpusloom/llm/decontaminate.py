@@ -4,19 +4,22 @@ Passages of all documents are TF-IDF vectors over hashed words. A randomised SVD
 vectors: every task adds its passages, each under a random sign, into one of SKETCH rows (a sparse embedding of the
 passage side), the sums of those rows are the sketch of the whole corpus, and the SVD of the sketch gives the basis.
 Windows of the documents and the benchmark passages are folded into that space and compared by cosine, every window with
-every passage of like length. Candidates are verified on word hashes: longest common subsequence with the passage, and
-the share of its rarest words, the answer, that the window holds.
+every passage of like length. Those alike are the candidates, and are verified on word hashes: longest common subsequence
+with the passage, and the share of its rarest words, the answer, that the window holds. A bit set of the words of window
+and passage drops, without loss, candidates that have too few words in common for either check.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.kernels import doc_words, mix, segment_sum, split_batches
@@ -24,12 +27,16 @@ from corpusloom.llm.shared import cut, pick, seal
 
 #: Hash buckets of words, words of a TF-IDF passage, rows of the sketch, dimensions of the latent space.
 BUCKETS, PASSAGE, SKETCH, RANK = 1 << 14, 32, 128, 64
-#: Window sizes in words; each steps by half. A benchmark passage meets the least window of at least 0.7 of its length.
-WINDOWS, FIT, MAX_PIECE = (16, 32, 64), 0.7, 88
-#: Most pieces broadcast at once; a larger benchmark is searched for in several passes over the word hashes.
-PIECES_AT_ONCE = 4096
-#: Least cosine of a candidate, least LCS share, least share of answer words, and number of answer words.
-COSINE, COMMON, ANSWER, ANSWER_WORDS = 0.4, 0.5, 0.4, 5
+#: Window sizes in words double from the first, as far as the longest passage asks, and step by half. A passage meets the
+#: least window of at least 0.7 of its length.
+WINDOW, FIT = 16, 0.7
+#: Most passages broadcast at once; a larger benchmark is searched for in several passes over the word hashes.
+PASSAGES_AT_ONCE = 4096
+#: Least cosine of a candidate, least LCS share, least share of answer words, number of answer words, and the LCS share
+#: from which the answer isn't asked for.
+COSINE, COMMON, ANSWER, ANSWER_WORDS, STRONG = 0.4, 0.5, 0.4, 5, 0.75
+#: Bits of a word set, and tasks whose sketches are added up first.
+_BITS, _BRANCH = 1024, 64
 
 
 def bucket_of(words: np.ndarray) -> np.ndarray:
@@ -41,26 +48,31 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> np.uint64(32)).astype(np.uint32), off
 
 
+def _digest() -> Column:
+    """Tells texts of rows without doc_id apart; null where there is a doc_id."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+
+
 def tokenised(docs: DataFrame) -> DataFrame:
-    """(doc_id, words): 32-bit word hashes of each text, as bytes."""
+    """(doc_id, digest, words): 32-bit word hashes of each text, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in split_batches(batches):
-            words, off = words_of(b.column(1))
+            words, off = words_of(b.column("text"))
             blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer((off * 4).astype(np.int64)), pa.py_buffer(words)])
-            yield pa.record_batch([b.column(0), blob.cast(pa.binary())], ["doc_id", "words"])
+            yield pa.record_batch([b.column("doc_id"), b.column("digest"), blob.cast(pa.binary())], ["doc_id", "digest", "words"])
 
-    known = pick(docs, doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
-    return known.mapInArrow(run, "doc_id long, words binary")
+    known = pick(docs, doc_id="doc_id", text="text").where("text is not null").select("doc_id", _digest().alias("digest"), "text")
+    return known.mapInArrow(run, "doc_id long, digest long, words binary")
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """doc ids, words and word offsets, in blocks of bounded size."""
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with their words and word offsets, in blocks of bounded size."""
     for b in split_batches(batches, "words", 2 << 20):
-        col = b.column(1)
+        col = b.column("words")
         off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
         words = np.frombuffer(col.buffers()[2] or b"", np.uint8)[off[0] : off[-1]].view(np.uint32)
-        yield b.column(0).to_numpy(), words, (off - off[0]) // 4
+        yield b, words, (off - off[0]) // 4
 
 
 def _blocks(off: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,42 +112,49 @@ def inverse_frequencies(held: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketch(tokens: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """SKETCH rows over BUCKETS: signed sums of the unit TF-IDF vectors of all passages."""
+    """SKETCH rows over BUCKETS: signed sums of the unit TF-IDF vectors of all passages.
+
+    Each task has SKETCH rows; those of _BRANCH tasks are added up first, and their sums then, so that the second step
+    gets a small part of what the tasks make.
+    """
     shared = tokens.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = shared.value, np.zeros(SKETCH * BUCKETS)
-        for ids, words, off in _batches(batches):
+        for b, words, off in _batches(batches):
             start, first = _blocks(off, PASSAGE)
             size, bucket = np.diff(start), bucket_of(words)
             weight = own[bucket]
             norm = np.sqrt(np.maximum(segment_sum(weight.astype(np.float64) ** 2, start), 1e-12))
             nth = np.arange(len(start) - 1) - np.repeat(first[:-1], np.diff(first))
+            ids = pc.coalesce(b.column("doc_id"), b.column("digest")).to_numpy()
             draw = mix(mix(np.repeat(ids, np.diff(first)).astype(np.uint64)) + nth.astype(np.uint64))
             sign = np.where(draw >> np.uint64(63), 1.0, -1.0) / norm
             row = (draw % np.uint64(SKETCH)).astype(np.int64)
             total += np.bincount(np.repeat(row * BUCKETS, size) + bucket, weight * np.repeat(sign, size), SKETCH * BUCKETS)
-        rows = total.astype(np.float32).reshape(SKETCH, BUCKETS)
-        yield pa.record_batch([pa.array(np.arange(SKETCH)), pa.array([r.tobytes() for r in rows], pa.binary())], ["row", "part"])
+        branch = np.full(SKETCH, TaskContext.get().partitionId() // _BRANCH)
+        yield pa.record_batch([pa.array(branch), pa.array(np.arange(SKETCH)), pa.array([r.astype(np.float32).tobytes() for r in total.reshape(SKETCH, BUCKETS)], pa.binary())], ["branch", "row", "part"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for row, part in zip(b.column(0).to_pylist(), b.column(1)):
-                sums[row] = sums.get(row, 0) + np.frombuffer(part.as_buffer(), np.float32).astype(np.float64)
-        yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([s.astype(np.float32).tobytes() for s in sums.values()], pa.binary())], ["row", "part"])
-
-    kind = "row long, part binary"
-    rows = tokens.mapInArrow(run, kind).repartition("row").mapInArrow(add, kind).toArrow()  # SKETCH rows
-    out = np.zeros((SKETCH, BUCKETS), np.float32)
+            for row, part in zip(b.column("row").to_pylist(), b.column("part")):
+                sums[row] = sums.get(row, 0) + np.frombuffer(part.as_buffer(), kind).astype(np.float64)
+        yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["row", "part"])
+
+    parts = tokens.mapInArrow(run, "branch long, row long, part binary").repartition("row", "branch")
+    some = parts.mapInArrow(lambda batches: add(batches, np.float32), "row long, part binary").repartition("row")
+    rows = some.mapInArrow(lambda batches: add(batches, np.float64), "row long, part binary").toArrow()  # SKETCH rows
+    shared.destroy()
+    out = np.zeros((SKETCH, BUCKETS))
     for row, part in zip(rows.column("row").to_pylist(), rows.column("part").to_pylist()):
-        out[row] = np.frombuffer(part, np.float32)
-    return out
+        out[row] = np.frombuffer(part)
+    return out.astype(np.float32)
 
 
 @dataclass
 class Space:
-    """fold: the latent row of each bucket, idf included; inverse frequencies; pieces of the benchmark passages."""
+    """fold: the latent row of each bucket, idf included; inverse frequencies."""
 
     fold: np.ndarray
     idf: np.ndarray
@@ -154,26 +173,29 @@ class Space:
 
 
 @dataclass
-class Piece:
+class Passage:
     item_id: int
     words: list[int]
     answer: list[int]
     window: int
-    masks: dict[int, int]
+
+    @cached_property
+    def masks(self) -> dict[int, int]:
+        return masks_of(self.words)
 
 
-def pieces_of(bench: list[tuple[int, str]], idf: np.ndarray) -> list[Piece]:
-    """Each benchmark passage, those of over MAX_PIECE words cut into pieces of the largest window. Passages without words have none."""
+def passages_of(bench: list[tuple[int, str]], idf: np.ndarray) -> list[Passage]:
+    """Each benchmark passage that has words, as a whole however long it is."""
     out = []
     for item_id, text in bench:
         words, _ = words_of(pa.array([text]))
-        step = len(words) if len(words) <= MAX_PIECE else WINDOWS[-1]
-        for lo in range(0, len(words), max(step, 1)):
-            part = words[lo : lo + step] if lo + step <= len(words) else words[max(0, len(words) - step) :]
-            distinct = np.unique(part)
+        if len(words):
+            distinct = np.unique(words)
             rare = distinct[np.lexsort((distinct, -idf[bucket_of(distinct)]))][:ANSWER_WORDS]
-            window = next((w for w in WINDOWS if w >= FIT * len(part)), WINDOWS[-1])
-            out.append(Piece(item_id, part.tolist(), rare.tolist(), window, masks_of(part.tolist())))
+            window = WINDOW
+            while window < FIT * len(words):
+                window *= 2
+            out.append(Passage(item_id, words.tolist(), rare.tolist(), window))
     return out
 
 
@@ -200,44 +222,68 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-30)
 
 
-def _latent_blocks(space: Space, words: np.ndarray, off: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each window size the half-window blocks: starts, each document's first block, latent sums."""
-    half = WINDOWS[0] // 2
-    start, first = _blocks(off, half)
-    sums = np.zeros((len(start) - 1, RANK), np.float32)
-    bucket = bucket_of(words)
-    for lo in range(0, len(start) - 1, 512):  # the gathered rows stay in cache
-        hi = min(len(start) - 1, lo + 512)
-        np.add.reduceat(space.fold.take(bucket[start[lo] : start[hi]], axis=0), start[lo:hi] - start[lo], axis=0, out=sums[lo:hi])
-    out = {WINDOWS[0]: (start, first, sums)}
-    for size in WINDOWS[1:]:  # two neighbouring blocks make one of twice the size
-        _, before, small = out[size // 2]
-        start, first = _blocks(off, size // 2)
+def _set_bits(words: np.ndarray) -> np.ndarray:
+    return (words * np.uint32(0x9E3779B1) >> np.uint32(22)).astype(np.int64)
+
+
+@dataclass
+class Blocks:
+    """Half-window blocks of all documents: starts (with the end), each document's first block, latent sums, word sets."""
+
+    start: np.ndarray
+    first: np.ndarray
+    sums: np.ndarray
+    sets: np.ndarray
+
+    @staticmethod
+    def of(space: Space, words: np.ndarray, off: np.ndarray, half: int) -> Blocks:
+        start, first = _blocks(off, half)
+        n = len(start) - 1
+        sums = np.zeros((n, RANK), np.float32)
+        bucket = bucket_of(words)
+        for lo in range(0, n, 512):  # the gathered rows stay in cache
+            hi = min(n, lo + 512)
+            np.add.reduceat(space.fold.take(bucket[start[lo] : start[hi]], axis=0), start[lo:hi] - start[lo], axis=0, out=sums[lo:hi])
+        sets, bit = np.zeros((n, _BITS // 64), np.uint64), _set_bits(words)
+        for j in range(half):
+            rows = np.flatnonzero(start[:-1] + j < start[1:])
+            at = bit[start[rows] + j]
+            sets[rows, at >> 6] |= np.uint64(1) << (at & 63).astype(np.uint64)
+        return Blocks(start, first, sums, sets)
+
+    def doubled(self, off: np.ndarray, half: int) -> Blocks:
+        """Of two neighbouring blocks one of twice the size, `half`."""
+        start, first = _blocks(off, half)
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        left = before[doc] + 2 * (np.arange(first[-1]) - first[doc])
-        pair = left + 1 < before[doc + 1]
-        both = small[left]
-        both[pair] += small[left[pair] + 1]
-        out[size] = (start, first, both)
-    return out
+        left = self.first[doc] + 2 * (np.arange(first[-1]) - first[doc])
+        pair = left + 1 < self.first[doc + 1]
+        sums, sets = self.sums[left], self.sets[left]
+        sums[pair] += self.sums[left[pair] + 1]
+        sets[pair] |= self.sets[left[pair] + 1]
+        return Blocks(start, first, sums, sets)
 
 
 class Matcher:
-    """The benchmark pieces of one window size, ready for search."""
-
-    def __init__(self, space: Space, pieces: list[Piece], size: int) -> None:
-        self.size, self.pieces = size, [p for p in pieces if p.window == size]
-        if self.pieces:
-            self.target = _unit(np.stack([space.project(np.array(p.words, np.uint32)) for p in self.pieces])).astype(np.float32).T.copy()
-        answers = sorted((w, j) for j, p in enumerate(self.pieces) for w in p.answer)
+    """The passages of one window size, ready for search."""
+
+    def __init__(self, space: Space, passages: list[Passage], size: int) -> None:
+        self.size, self.passages = size, [p for p in passages if p.window == size]
+        self.target = _unit(np.stack([space.project(np.array(p.words, np.uint32)) for p in self.passages])).astype(np.float32).T.copy()
+        self.length = np.array([len(p.words) for p in self.passages], np.int64)
+        self.sets = np.zeros((len(self.passages), _BITS // 64), np.uint64)
+        for own, p in zip(self.sets, self.passages):
+            bit = _set_bits(np.array(p.words, np.uint32))
+            np.bitwise_or.at(own, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
+        self.distinct = np.bitwise_count(self.sets).sum(1, dtype=np.int64)
+        answers = sorted((w, j) for j, p in enumerate(self.passages) for w in p.answer)
         self.word, at = np.unique(np.array([w for w, _ in answers], np.uint32), return_index=True)
-        self.piece, self.cut = np.array([j for _, j in answers], np.int64), np.append(at, len(answers))
-        self.need = np.array([len(p.answer) for p in self.pieces], np.int64)
+        self.passage, self.cut = np.array([j for _, j in answers], np.int64), np.append(at, len(answers))
+        self.need = np.array([len(p.answer) for p in self.passages], np.int64)
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[self.word & np.uint32(0xFFFF)] = True
 
-    def answers_held(self, words: np.ndarray, start: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, piece, share): the share of each piece's answer words in the window with half a window around, if any."""
+    def answers_held(self, words: np.ndarray, start: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted window * passages + passage, and the share of its answer in the window with half a window around, if any."""
         where = np.flatnonzero(self.maybe[words & np.uint32(0xFFFF)])
         w = np.minimum(np.searchsorted(self.word, words[where]), len(self.word) - 1)
         same = self.word[w] == words[where]
@@ -252,82 +298,118 @@ class Matcher:
         seen = np.unique(block * len(self.word) + w)  # a word counts once in a window
         block, w = seen // len(self.word), seen % len(self.word)
         each = np.diff(self.cut)[w]
-        piece = self.piece[np.repeat(self.cut[w] - np.cumsum(each) + each, each) + np.arange(each.sum())]
-        pairs, count = np.unique(np.repeat(block, each) * len(self.pieces) + piece, return_counts=True)
-        return pairs // len(self.pieces), pairs % len(self.pieces), count / self.need[pairs % len(self.pieces)]
-
-
-def search(matchers: list[Matcher], space: Space, ids: np.ndarray, words: np.ndarray, off: np.ndarray) -> list[tuple]:
-    """Verified matches (doc_id, item_id, lcs, answer, cosine, start) of a block of documents."""
-    out = []
+        passage = self.passage[np.repeat(self.cut[w] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+        pairs, count = np.unique(np.repeat(block, each) * len(self.passages) + passage, return_counts=True)
+        return pairs, count / self.need[pairs % len(self.passages)]
+
+    def candidates(self, blocks: Blocks, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, passage, cosine, most of its words that the widened window may lack no more) of all pairs within COSINE."""
+        n = len(blocks.sums)
+        first = np.append(True, last[:-1])
+        step = max(1, (1 << 22) // len(self.passages))
+        for lo in range(0, n, step):
+            hi = min(n, lo + step)
+            window = blocks.sums[lo:hi].copy()
+            inner = np.flatnonzero(~last[lo:hi])
+            window[inner] += blocks.sums[lo + 1 + inner]
+            cosine = _unit(window) @ self.target  # every window with every passage
+            at, p = np.nonzero(cosine >= COSINE)
+            if not len(at):
+                continue
+            wide = blocks.sets[lo:hi].copy()
+            for shift, edge in ((-1, first), (1, last), (2, last)):
+                rows = np.arange(lo, hi)
+                there = (rows + shift >= 0) & (rows + shift < n) & ~edge[lo:hi]
+                if shift == 2:  # the block after the next, of the same document
+                    there &= ~np.append(last[1:], True)[lo:hi]
+                wide[there] |= blocks.sets[rows[there] + shift]
+            for k in range(0, len(at), 1 << 16):
+                a, b = at[k : k + (1 << 16)], p[k : k + (1 << 16)]
+                lacks = self.distinct[b] - np.bitwise_count(wide[a] & self.sets[b]).sum(1, dtype=np.int64)
+                yield a + lo, b, cosine[a, b], lacks
+
+
+def search(matchers: list[Matcher], space: Space, words: np.ndarray, off: np.ndarray) -> list[tuple]:
+    """Verified matches (document, item_id, lcs, answer, cosine, start) of a block of documents."""
+    out: list[tuple] = []
     if not len(words):
         return out
-    blocks = _latent_blocks(space, words, off)
-    for m in matchers:
-        start, first, sums = blocks[m.size]
-        last = np.zeros(len(sums), bool)
+    half = WINDOW // 2
+    blocks = Blocks.of(space, words, off, half)
+    for m in sorted(matchers, key=lambda m: m.size):
+        while 2 * half < m.size:
+            half *= 2
+            blocks = blocks.doubled(off, half)
+        start, first = blocks.start, blocks.first
+        last = np.zeros(len(start) - 1, bool)
         last[first[1:][np.diff(first) > 0] - 1] = True
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        at, piece, held = m.answers_held(words, start, doc)
-        enough = held >= ANSWER
-        at, piece, held = at[enough], piece[enough], held[enough]
-        for lo in range(0, len(sums), 4096):
-            hi = min(len(sums), lo + 4096)
-            window = sums[lo:hi].copy()
-            inner = np.flatnonzero(~last[lo:hi])
-            window[inner] += sums[lo + 1 + inner]
-            norm = np.sqrt(np.einsum("ij,ij->i", window, window))
-            dot = window @ m.target
-            near = (dot >= COSINE * norm[:, None]) & (norm > 0)[:, None]  # every window with every piece
-            a, b = np.searchsorted(at, (lo, hi))
-            for k in (a + np.flatnonzero(near[at[a:b] - lo, piece[a:b]])).tolist():
-                i, p = int(at[k]), m.pieces[piece[k]]
-                d, n = doc[i], len(p.words)
-                left, right = max(off[d], start[i] - m.size // 2), min(off[d + 1], start[i] + m.size + m.size // 2)
-                share = lcs_length(p.masks, n, words[left:right].tolist()) / n
-                if share >= COMMON:
-                    out.append((int(ids[d]), p.item_id, share, float(held[k]), float(dot[i - lo, piece[k]] / norm[i - lo]), int(start[i] - off[d])))
+        known, share = m.answers_held(words, start, doc)
+        for at, passage, cosine, lacks in m.candidates(blocks, last):
+            place = at * len(m.passages) + passage
+            k = np.minimum(np.searchsorted(known, place), max(len(known) - 1, 0))
+            answer = np.where(known[k] == place, share[k], 0.0) if len(known) else np.zeros(len(place))
+            n = m.length[passage]
+            # a word that the window lacks is missing from every common subsequence
+            able = ((answer >= ANSWER) & (lacks <= (1 - COMMON) * n)) | (lacks <= (1 - STRONG) * n)
+            for j in np.flatnonzero(able).tolist():
+                i, p = int(at[j]), m.passages[passage[j]]
+                d = int(doc[i])
+                left, right = max(off[d], start[i] - half), min(off[d + 1], start[i] + m.size + half)
+                lcs = lcs_length(p.masks, len(p.words), words[left:right].tolist()) / len(p.words)
+                if lcs >= (COMMON if answer[j] >= ANSWER else STRONG):
+                    out.append((d, p.item_id, lcs, float(answer[j]), float(cosine[j]), int(start[i] - off[d])))
     return out
 
 
-def _found(tokens: DataFrame, space: Space, pieces: list[Piece]) -> DataFrame:
-    """All verified matches of the pieces."""
-    shared = tokens.sparkSession.sparkContext.broadcast((space, pieces))
+def _found(tokens: DataFrame, space: Space, passages: list[Passage]) -> DataFrame:
+    """All verified matches of the passages."""
+    shared = tokens.sparkSession.sparkContext.broadcast((space, passages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, pieces = shared.value
-        matchers = [m for m in (Matcher(space, pieces, size) for size in WINDOWS) if m.pieces]
-        for ids, words, off in _batches(batches):
-            rows = search(matchers, space, ids, words, off)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((),) * 6, kinds)], ["doc_id", "item_id", "lcs", "answer", "cosine", "start"])
+        space, passages = shared.value
+        matchers = [Matcher(space, passages, size) for size in sorted({p.window for p in passages})]
+        for b, words, off in _batches(batches):
+            rows = search(matchers, space, words, off)
+            row, *rest = zip(*rows) if rows else ((),) * 6
+            ids = [b.column(c).take(pa.array(row, pa.int64())) for c in ("doc_id", "digest")]
+            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.record_batch([*ids, *(pa.array(c, k) for c, k in zip(rest, kinds))], ["doc_id", "digest", "item_id", "lcs", "answer", "cosine", "start"])
+
+    return tokens.mapInArrow(run, "doc_id long, digest long, item_id long, lcs double, answer double, cosine double, start long")
 
-    return tokens.mapInArrow(run, "doc_id long, item_id long, lcs double, answer double, cosine double, start long")
+
+def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The verified matches of all windows, with the digest of texts that have no doc_id."""
+    tokens = cut(tokenised(docs), "tokens")
+    held, n = passage_frequencies(tokens)
+    idf = inverse_frequencies(held, n)
+    rows = pick(benchmark, item_id="item_id", text="text").where("item_id is not null and text is not null").distinct().toArrow()
+    bench = sorted(zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist()))
+    passages, space = passages_of(bench, idf), Space.of(sketch(tokens, idf), idf)
+    parts = [_found(tokens, space, passages[lo : lo + PASSAGES_AT_ONCE]) for lo in range(0, max(len(passages), 1), PASSAGES_AT_ONCE)]
+    return reduce(DataFrame.union, parts)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, lcs, answer, cosine, start): the best match of each document and benchmark passage that match.
 
     lcs is the share of the passage's words in its longest common subsequence with the text around the window that begins
-    at word `start`, answer the share of its rarest words found there. A document matches if its cosine is at
-    least COSINE, lcs at least COMMON and answer at least ANSWER. Of equally good windows the first counts. Null texts and ids, texts and
-    passages without words match nothing; equal passages match alike, each under its own item_id; rows that repeat a
-    doc_id are one document. Only doc_id, text and item_id are read. No rows in, or no passages, no rows out.
+    at word `start`, answer the share of its rarest words found there. A document matches if its cosine is at least
+    COSINE, and lcs at least COMMON with answer at least ANSWER, or lcs at least STRONG whatever the answer. Passages of any
+    length are judged as a whole, and texts of any length are searched to their end. Of equally good windows the first
+    counts. Null texts match nothing, neither do texts and passages without words; equal passages match alike, each under
+    its own item_id; rows that repeat a doc_id are one document. Each text without doc_id is a document of its own, whose
+    matches have a null doc_id. Only doc_id, text and item_id are read. No rows in, or no passages, no rows out.
     """
-    tokens = cut(tokenised(docs), "tokens")
-    held, n = passage_frequencies(tokens)
-    idf = inverse_frequencies(held, n)
-    passages = pick(benchmark, item_id="item_id", text="text").where("item_id is not null and text is not null").distinct().toArrow()
-    bench = sorted(zip(passages.column("item_id").to_pylist(), passages.column("text").to_pylist()))
-    pieces, space = pieces_of(bench, idf), Space.of(sketch(tokens, idf), idf)
-    parts = [_found(tokens, space, pieces[lo : lo + PIECES_AT_ONCE]) for lo in range(0, max(len(pieces), 1), PIECES_AT_ONCE)]
-    found = reduce(DataFrame.union, parts)
     best = F.max(F.struct("lcs", "answer", (-F.col("start")).alias("back"), "cosine")).alias("m")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.lcs", "m.answer", "m.cosine", (-F.col("m.back")).alias("start"))
+    each = _matches(docs, benchmark).groupBy("doc_id", "digest", "item_id").agg(best)
+    return each.select("doc_id", "item_id", "m.lcs", "m.answer", "m.cosine", (-F.col("m.back")).alias("start"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that contaminated names; rows with a null doc_id stay. Columns are those of docs."""
+    """docs without the documents that contaminated names, those without doc_id among them. Columns are those of docs."""
     inner, restore = seal(docs, "doc_id", "text")
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("gone_id")).distinct()
-    return restore(inner.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti"))
+    gone = _matches(docs, benchmark).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & _digest().eqNullSafe(F.col("gone_digest"))
+    return restore(inner.join(gone, same, "left_anti"))

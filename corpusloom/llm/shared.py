@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,42 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folders that the innermost open scratch() will delete.
+_SCRATCH: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete tables that cut wrote, once everything that reads them has been written or collected itself."""
+    for df in cuts:
+        _delete(df.sparkSession, df.cut_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is cut inside; the last result must be cut outside, or written, by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _delete(spark, path)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

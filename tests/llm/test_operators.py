@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 import random
 import re
 
@@ -154,7 +155,7 @@ def test_pairs_at_the_greatest_distance_meet(spark):
     flips[np.arange(2000)[:, None], r.permuted(np.tile(np.arange(simhash.BITS), (2000, 1)), axis=1)[:, : simhash.MAX_DISTANCE]] = 1
     rows = [(2 * i + k, s.tobytes()) for k, x in enumerate((sig, sig ^ np.packbits(flips, axis=1))) for i, s in enumerate(x)]
     reps = spark.createDataFrame(rows, "doc_id long, sig binary")
-    got = {(e.a, e.b) for e in simhash.verified(simhash.candidate_edges(reps), reps).collect()}
+    got = {(e.a, e.b) for e in simhash.verified(simhash.candidates(reps), reps).collect()}
     assert got <= {(2 * i, 2 * i + 1) for i in range(2000)} and len(got) >= 0.998 * 2000
 
 
@@ -166,7 +167,66 @@ def test_large_buckets_lose_no_pair(monkeypatch):
     for large, pairs in ((1024, 1 << 22), (1024, 500), (8, 500), (1, 1)):
         monkeypatch.setattr(simhash, "_LARGE", large)
         monkeypatch.setattr(simhash, "_PAIRS", pairs)
-        assert groups_of(map(tuple, simhash.bucket_edges(bucket, bucket, doc, check))) == want
+        assert groups_of(map(tuple, simhash.bucket_edges(bucket, doc, check))) == want
+        assert groups_of(map(tuple, simhash.bucket_members(bucket, doc, check))) == want
+
+
+def flipped(sig, bits):
+    flips = np.zeros(simhash.BITS, np.uint8)
+    flips[bits] = 1
+    return sig ^ np.packbits(flips)
+
+
+@pytest.mark.parametrize("large", [1024, 1])
+@pytest.mark.parametrize("near", [1, 12])
+def test_a_leader_close_on_the_carried_bits_only_hides_no_pair(spark, monkeypatch, large, near):
+    """L is alike in the bits that travel, but too far from all the others as a whole; those are 22 bits apart."""
+    r = np.random.default_rng(11)
+    x = r.integers(0, 256, simhash.BITS // 8, np.uint8)
+    leader = flipped(x, r.choice(np.arange(160, simhash.BITS), simhash.MAX_DISTANCE + 24, replace=False))
+    rows = [leader, x] + [flipped(x, r.choice(np.arange(160, simhash.BITS), 11, replace=False)) for _ in range(near)]
+    sig = np.stack(rows)
+    d = np.bitwise_count(sig[:, None] ^ sig[None]).sum(-1)
+    want = groups_of([(i, j) for j in range(len(sig)) for i in range(j) if d[i, j] <= simhash.MAX_DISTANCE])
+    assert 0 not in want and 0 not in want.values() and len(want) == near
+    monkeypatch.setattr(simhash, "_LARGE", large)
+    bucket, check = simhash.spread(sig)
+    members = simhash.bucket_members(bucket[:, 0], np.arange(len(sig)), np.ascontiguousarray(check[:, 0]))
+    members = np.unique(np.concatenate([members, members[:, [0, 0]]]), axis=0)
+    edges = simhash.bucket_edges(members[:, 0], members[:, 1], sig[members[:, 1]].view(np.uint64), simhash.MAX_DISTANCE, simhash.NEAR)
+    assert groups_of(map(tuple, edges)) == want
+    if large > 1:
+        reps = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sig)], "doc_id long, sig binary")
+        assert groups_of([(e.a, e.b) for e in simhash.verified(simhash.candidates(reps), reps).collect()]) == want
+
+
+def test_spanning_pairs_of_whole_signatures():
+    r = np.random.default_rng(15)
+    for _ in range(30):
+        base = r.integers(0, 256, (2, simhash.BITS // 8), np.uint8)
+        sig = np.stack([flipped(base[r.integers(0, 2)], r.integers(0, simhash.BITS, r.integers(0, 80))) for _ in range(30)])
+        words = sig.view(np.uint64)
+        want = groups_of([(i, j) for j in range(len(sig)) for i in range(j) if np.bitwise_count(sig[i] ^ sig[j]).sum() <= simhash.MAX_DISTANCE])
+        assert groups_of(simhash.spanning_pairs(words, simhash.MAX_DISTANCE, simhash.NEAR)) == want
+
+
+def test_signature_of_a_very_long_text_is_that_of_its_words():
+    text = " ".join(f"w{i}" for i in range(300_000))
+    assert (simhash.signatures_of(pa.array(["x", text, "y"]))[1] == brute_signatures([text])[0]).all()
+
+
+def test_cut_tables_go_with_their_scratch(spark):
+    from corpusloom.llm.shared import discard, scratch
+
+    df = spark.range(3)
+    with scratch(spark):
+        inner = cut(df, "inner")
+        kept = cut(inner, "kept").collect()
+    assert len(kept) == 3 and not os.path.exists(inner.cut_at.removeprefix("file://"))
+    outer = cut(df, "outer")
+    assert outer.count() == 3
+    discard(outer)
+    assert not os.path.exists(outer.cut_at.removeprefix("file://"))
 
 
 def test_spanning_pairs_connect_what_all_pairs_connect():
@@ -187,10 +247,10 @@ def test_bucket_edges_find_every_variant_match():
     sig = r.integers(0, 256, (40, simhash.BITS // 8), np.uint8)
     sig[20:] = sig[:20]
     sig[20:, 1] ^= np.uint8(1) << (np.arange(20) % 8).astype(np.uint8)  # one bit of the first half of segment 0 differs
-    bucket, other, check = simhash.spread(sig)
+    bucket, check = simhash.spread(sig)
     for row in range(2 * simhash.SEGMENTS):
         order = np.lexsort((np.arange(40), bucket[:, row]))
-        edges = simhash.bucket_edges(bucket[order, row], other[order, row], np.arange(40)[order], np.ascontiguousarray(check[order, row]))
+        edges = simhash.bucket_edges(bucket[order, row], np.arange(40)[order], np.ascontiguousarray(check[order, row]))
         # row 0 is keyed by the differing half itself, every other row finds all pairs
         assert {tuple(e) for e in edges} == (set() if row == 0 else {(i, i + 20) for i in range(20)})
 
@@ -207,6 +267,9 @@ def test_dedup_edge_cases(spark, odd, none):
     kept = simhash.deduplicate(clash(odd, "sig", "gone_id", "again_id", "nth", "count"))
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 6, 7] and kept.columns[-5:] == ["sig", "gone_id", "again_id", "nth", "count"]
     assert simhash.near_duplicates(none).collect() == [] and simhash.deduplicate(none).columns == none.columns
+    texts = [(1, prose(40, 80)), (1, prose(41, 80)), (1, prose(41, 80)), (2, None), (2, None), (2, prose(42, 80))]
+    both = simhash.deduplicate(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text or "") for r in both)) == sorted((i, t or "") for i, t in [*texts[:2], *texts[3:]])
     same = spark.createDataFrame([(i, "") for i in range(3)] + [(9, "!"), (10, "!")], "doc_id long, text string")
     assert {r.doc_id: r.keep_id for r in simhash.near_duplicates(same).collect()} == {1: 0, 2: 0, 10: 9}
 
@@ -468,6 +531,78 @@ def test_contamination_recall_and_clean_documents(spark, odd, none):
     assert {(r.doc_id, r.item_id) for r in hit} == {(6, 1), (6, 2)}
 
 
+def without(text, gone, seed):
+    """The text with the words of `gone` replaced."""
+    r = random.Random(seed)
+    return " ".join("zz" + r.choice(VOCABULARY) if w in gone else w for w in text.split())
+
+
+def test_paraphrases_that_replace_the_rare_words_are_found(spark):
+    r = random.Random(21)
+    bench = [(i, prose(7000 + i, 30 + i)) for i in range(30)]
+    rows = [(i, prose(i, 200)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held, n = decontaminate.passage_frequencies(cut(decontaminate.tokenised(docs), "t"))
+    for i, p in enumerate(decontaminate.passages_of(bench, decontaminate.inverse_frequencies(held, n))):
+        text = bench[i][1].split()
+        rare = {w for w in text if decontaminate.words_of(pa.array([w]))[0][0] in p.answer}
+        host = rows[i][1].split()
+        rows[i] = (i, " ".join([*host[:50], without(bench[i][1], rare, r.random()), *host[50:]]))
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    # in this small corpus few words are common, so what is left must carry the cosine
+    assert {(f.doc_id, f.item_id) for f in found} <= {(i, i) for i in range(30)} and len(found) >= 27
+    bare = [f for f in found if f.answer < decontaminate.ANSWER]  # the planted texts shift what is rare, so not all of them
+    assert len(bare) >= 15 and all(f.lcs >= decontaminate.STRONG for f in bare)
+
+
+@pytest.mark.parametrize("n", [88, 89, 300, 1500])
+def test_passages_of_every_length_are_judged_alike(spark, n):
+    """Four words of five in order are enough, one of four isn't, wherever in the passage they stand."""
+    item = prose(9000 + n, n)
+    words = item.split()
+    r = random.Random(n)
+
+    def holding(share):
+        kept = set(r.sample(range(n), round(share * n)))
+        return " ".join(w if i in kept else f"qq{r.randint(0, 10**6)}" for i, w in enumerate(words))
+
+    rows = [(i, prose(i, 100) + " " + holding(0.8) + " " + prose(500 + i, 100)) for i in range(6)]
+    rows += [(10 + i, prose(20 + i, 100) + " " + holding(0.25)) for i in range(6)] + [(20, item), (21, "x " + " ".join(words[: n // 4]))]
+    docs = spark.createDataFrame(rows + [(100 + i, prose(100 + i, 200)) for i in range(40)], "doc_id long, text string")
+    got = {x.doc_id for x in decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {*range(6), 20}
+
+
+def test_texts_without_doc_id_are_judged(spark):
+    item = prose(77, 40)
+    rows = [(None, prose(1, 80) + " " + item), (None, prose(2, 80)), (None, None), (4, prose(3, 80)), (4, item), (5, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()) == [(0, 1), (4, 1)]
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontaminate.decontaminate(docs, bench).collect()) == sorted([(0, prose(2, 80)), (0, ""), (5, "")])
+
+
+def test_word_sets_drop_no_match(spark):
+    r = random.Random(31)
+    bench = [(i, prose(300 + i, r.randint(2, 60))) for i in range(25)]
+    texts = [edited(bench[i % 25][1], r.choice([0, 0.2, 0.4, 0.6]), i) + " " + prose(i, r.randint(0, 90)) for i in range(80)] + ["", "one"]
+    words, off = decontaminate.words_of(pa.array(texts))
+    idf = np.ones(decontaminate.BUCKETS, np.float32)
+    space = decontaminate.Space(np.ones((decontaminate.BUCKETS, decontaminate.RANK), np.float32), idf)  # every cosine is 1
+    passages = decontaminate.passages_of(bench, idf)
+    matchers = [decontaminate.Matcher(space, passages, size) for size in sorted({p.window for p in passages})]
+    got = {(d, item) for d, item, *_ in decontaminate.search(matchers, space, words, off)}
+    want = set()
+    for d in range(len(texts)):
+        own = words[off[d] : off[d + 1]].tolist()
+        for p in passages:
+            for lo in range(0, len(own), p.window // 2):
+                near = own[max(0, lo - p.window // 2) : lo + p.window + p.window // 2]
+                share = len(set(near) & set(p.answer)) / len(p.answer)
+                if decontaminate.lcs_length(p.masks, len(p.words), near) >= (decontaminate.COMMON if share >= decontaminate.ANSWER else decontaminate.STRONG) * len(p.words):
+                    want.add((d, p.item_id))
+    assert got == want and len(want) > 50
+
+
 # 9 tokens
 
 
