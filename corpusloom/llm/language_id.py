@@ -76,7 +76,24 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bag_of(text: str) -> Bag:
+    """The distinct subwords of a text, BUCKETS at most, and how often each occurs."""
+    data, _ = text_bytes(pa.array([text]))
+    times = np.zeros(BUCKETS, np.int64)
+    for lo in range(0, max(len(data) - 3, 0), _BLOCK):
+        times += np.bincount(subwords(data[lo : lo + _BLOCK + 3])[: min(_BLOCK, len(data) - 3 - lo)].ravel(), minlength=BUCKETS)
+    ids = np.flatnonzero(times)
+    return ids, times[ids]
+
+
 def fit(texts: list[str], languages: list[str]) -> Model:
+    return fit_bags([bag_of(t) for t in texts], languages)
+
+
+def fit_bags(counted: list[Bag], languages: list[str]) -> Model:
     """Train on four fifths of the texts; calibrate temperature and rejection on the rest. Classes weigh alike."""
     names = sorted(set(languages))
     k = len(names)
@@ -85,11 +102,7 @@ def fit(texts: list[str], languages: list[str]) -> Model:
     y = np.array([names.index(x) for x in languages])
     rng = np.random.default_rng(SEED)
     held = np.arange(len(y)) % 5 == 4
-    bags = []
-    for t in texts:
-        data, _ = text_bytes(pa.array([t]))
-        ids, times = np.unique(subwords(data)[: max(len(data) - 3, 0)], return_counts=True)
-        bags.append((ids, (times / max(times.sum(), 1)).astype(np.float32)))
+    bags = [(ids, (times / max(times.sum(), 1)).astype(np.float32)) for ids, times in counted]
     weight = len(y) / (k * np.maximum(np.bincount(y, minlength=k), 1))
     e = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     w, b = rng.normal(0, 0.1, (WIDTH, k)).astype(np.float32), np.zeros(k, np.float32)
@@ -115,7 +128,7 @@ def fit(texts: list[str], languages: list[str]) -> Model:
     model = Model(names, (e @ w).astype(np.float32), b.astype(np.float64))
     check = np.flatnonzero(held)
     if len(check):
-        z, _ = model.logits(pa.array([texts[i] for i in check]))
+        z = np.stack([(bags[i][1][:, None] * model.table[bags[i][0]]).sum(0, dtype=np.float64) for i in check]) + model.bias
         grid = np.geomspace(0.02, 5, 60)
         model.temperature = float(grid[np.argmin([-np.log(np.maximum(softmax(z / t)[np.arange(len(check)), y[check]], 1e-12)).mean() for t in grid])])
         p = softmax(z / model.temperature)
@@ -134,18 +147,31 @@ def fit(texts: list[str], languages: list[str]) -> Model:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` rows whose doc_id, lang and text are there: those with the smallest hash of doc_id."""
+    """Fit on at most `sample` rows whose doc_id, lang and text are there: those with the smallest hash of doc_id.
+
+    The driver gets a bag of subwords for each, which has a bound however long the texts are.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in split_batches(batches):
+            bags = [bag_of(t) for t in b.column("text").to_pylist()]
+            columns = [pa.array([x[i].astype(np.int32) for x in bags], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.record_batch([b.column("doc_id"), b.column("lang"), *columns], ["doc_id", "lang", "ids", "times"])
+
     known = pick(docs, doc_id="doc_id", text="text", lang="lang").where("doc_id is not null and text is not null and text != '' and lang is not null")
     ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = known.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.lang", "r.text").toArrow().sort_by("doc_id")
-    return fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
+    chosen = known.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.lang", "r.text")
+    rows = chosen.mapInArrow(count, "doc_id long, lang string, ids array<int>, times array<int>").toArrow().sort_by("doc_id")
+    bags = [(np.array(i, np.int64), np.array(t, np.int64)) for i, t in zip(rows.column("ids").to_pylist(), rows.column("times").to_pylist())]
+    return fit_bags(bags, rows.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, predicted, confidence, accepted) for each row of docs, over the whole text.
 
     predicted is the likeliest language and confidence its calibrated probability; accepted says whether that reaches the
-    rejection threshold. A null text, and one of under three bytes, has no subwords: predicted is "und", the confidence 0,
+    rejection threshold. Of languages with the same probability the first by name is predicted. A text of any length
+    counts to its end. A null text, and one of under three bytes, has no subwords: predicted is "und", the confidence 0,
     and it isn't accepted. Rows with a null doc_id and repeated rows are judged row by row; lang serves for training
     only, and null labels are left out. With labels of one language only, that one is predicted with confidence 1; with
     none, "und". Only doc_id, text and lang are read.

@@ -136,11 +136,12 @@ class Forest:
 def fit(x: np.ndarray, y: np.ndarray) -> Forest:
     """Boost TREES trees on logistic loss over BINS quantile bins of each feature, then set the threshold on held-out rows.
 
-    A fifth of the rows is held out to set the threshold. With one class only, or none, everything is kept.
+    A fifth of the rows is held out to set the threshold. With one class only, or none, everything is kept; with so few
+    rows that no split leaves LEAST on both sides, all scores are the same and everything is kept, too.
     """
     inner, leaves = 2**DEPTH - 1, 2**DEPTH
     forest = Forest(np.zeros((TREES, inner), np.int64), np.full((TREES, inner), np.inf), np.zeros((TREES, leaves)), 0.0, 0.0)
-    if len(set(y.tolist())) < 2 or len(y) < 4 * LEAST:
+    if len(set(y.tolist())) < 2:
         return forest
     held = np.arange(len(y)) % 5 == 4
     xt, yt = x[~held], y[~held].astype(float)
@@ -186,11 +187,13 @@ def _statistics_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
-    """Fit on at most `sample` labelled documents. Null labels and ids are left out; of several labels of one document the lowest counts."""
+    """Fit on at most `sample` labelled documents. Null labels and ids are left out; of several labels of one document the
+    lowest counts, and of several texts that with the least statistics."""
     known = pick(labels, doc_id="doc_id", quality="quality").where("doc_id is not null and quality is not null")
     chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = pick(docs, doc_id="doc_id", text="text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(_statistics_udf, "doc_id long, quality int, x array<double>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    rows = texts.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(_statistics_udf, "doc_id long, quality int, x array<double>")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).select("doc_id", "r.quality", "r.x").toArrow().sort_by("doc_id")
     x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, rows.column("quality").to_numpy())
 
@@ -207,10 +210,10 @@ def _scores(forest: Forest):
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score, keep) for each row of docs.
 
-    score is the probability of good quality, over the whole text; keep says whether it reaches the threshold. A null
-    text has a null score and isn't kept; an empty text is scored like any other. Rows with a null doc_id and repeated
-    rows are scored row by row. Equal texts get equal scores. No rows in, no rows out; without labels of both classes
-    every text is kept. Only doc_id and text are read.
+    score is the probability of good quality, over the whole text however long; keep says whether it reaches the
+    threshold, a score that equals it included. A null text has a null score and isn't kept; an empty text is scored like
+    any other. Rows with a null doc_id and repeated rows are scored row by row. Equal texts get equal scores. No rows in,
+    no rows out; without labels of both classes every text is kept. Of docs, only doc_id and text are read.
     """
     forest = train(docs, labels)
     scored = pick(docs, doc_id="doc_id", text="text").select("doc_id", F.when(F.col("text").isNotNull(), _scores(forest)("text")).alias("score"))

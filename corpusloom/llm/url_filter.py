@@ -7,56 +7,79 @@ full strings, and the strings, which settle collisions of the keys.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import pick, shared_dir
 
 BLOCKED = tuple(f"{name}.example.{end}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org"))
-#: Spark's xxhash64 has this seed.
-SEED = 42
 _HOST = r"^[A-Za-z][0-9A-Za-z+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 _PATH = r"^[A-Za-z][0-9A-Za-z+.-]*://[^/?#]*([^?#]*)"
 
 
-def build(entries: Iterable[str], folder: str) -> str:
-    """Write the filter of these entries to a new folder below `folder` and give its place. Repeated entries count once."""
-    texts = sorted({e.strip().rstrip("/") for e in entries if e and e.strip().rstrip("/")})
-    raw = [t.encode() for t in texts]
-    keys = np.array([xxhash.xxh64_intdigest(t, seed=SEED) for t in raw], np.uint64)
-    order = np.argsort(keys, kind="stable")
-    raw = [raw[i] for i in order]
+def cleaned(entries: DataFrame) -> DataFrame:
+    return entries.select(F.rtrim(F.trim(F.col(entries.columns[0])), F.lit("/")).alias("text")).where("text != ''")
+
+
+def reach(entries: DataFrame) -> tuple[int, int]:
+    """Most labels of a host and most steps of a path of any entry: longer parts of a url can't be in the filter."""
+    parts = F.split("text", "/")
+    labels, steps = cleaned(entries).agg(F.max(F.size(F.split(parts[0], "[.]"))), F.max(F.size(parts)) - 1).first()
+    return labels or 0, steps or 0
+
+
+def build(entries: DataFrame, folder: str) -> str:
+    """Write the filter of the table's first column, entry, to a new folder below `folder` and give its place.
+
+    Entries lose blanks around them and closing slashes; null and empty ones are left out, repeated ones count once.
+    Spark hashes and sorts them, and the driver writes them as they come, a partition at a time.
+    """
+    # the sign bit is flipped, as the keys are searched as unsigned numbers
+    rows = cleaned(entries).distinct().withColumn("key", F.xxhash64("text"))
+    rows = rows.orderBy(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), "text")
     place = f"{folder}/corpusloom/urls-{uuid.uuid4().hex}"
     fs, path = pafs.FileSystem.from_uri(place)
     fs.create_dir(path, recursive=True)
-    for name, data in (("keys", keys[order]), ("offsets", np.cumsum([0, *map(len, raw)], dtype=np.int64)), ("strings", np.frombuffer(b"".join(raw), np.uint8))):
-        with fs.open_output_stream(f"{path}/{name}") as out:
-            out.write(data.tobytes())
+    with fs.open_output_stream(f"{path}/keys") as keys, fs.open_output_stream(f"{path}/offsets") as offsets, fs.open_output_stream(f"{path}/strings") as strings:
+        end = 0
+        offsets.write(np.int64(end).tobytes())
+        for row in rows.toLocalIterator():
+            raw = row.text.encode()
+            end += len(raw)
+            keys.write(np.int64(row.key).tobytes())
+            offsets.write(np.int64(end).tobytes())
+            strings.write(raw)
     return place
 
 
+def ship(spark: SparkSession, place: str) -> str:
+    """Where workers find the filter: the place itself on a file system that can be mapped, else the name under which
+    Spark hands every executor one copy of the folder."""
+    if urlparse(place).scheme in ("", "file"):
+        return place
+    spark.sparkContext.addFile(place, recursive=True)
+    return place.rpartition("/")[2]
+
+
 class Filter:
-    """The three files, mapped where the folder is a file system's and read into memory elsewhere."""
+    """The three files, mapped."""
 
     def __init__(self, place: str) -> None:
+        path = urlparse(place).path if "/" in place else SparkFiles.get(place)
+
         def open_(name: str, kind: type) -> np.ndarray:
-            url = urlparse(place)
-            fs, path = pafs.FileSystem.from_uri(place)
-            size = fs.get_file_info(f"{path}/{name}").size
-            if not size:
-                return np.zeros(0, kind)
-            if url.scheme in ("", "file"):
-                return np.memmap(f"{path}/{name}", kind, "r")
-            with fs.open_input_file(f"{path}/{name}") as f:
-                return np.frombuffer(f.read(), kind)
+            file = f"{path}/{name}"
+            return np.memmap(file, kind, "r") if os.path.getsize(file) else np.zeros(0, kind)
 
         self.keys, self.offsets, self.strings = open_("keys", np.uint64), open_("offsets", np.int64), open_("strings", np.uint8)
 
@@ -75,28 +98,39 @@ class Filter:
         return False
 
 
-def filter_urls(pages: DataFrame, blocked: Iterable[str] = BLOCKED) -> DataFrame:
+@lru_cache(1)
+def opened(place: str) -> Filter:
+    """The filter, mapped once in the life of a worker."""
+    return Filter(place)
+
+
+def filter_urls(pages: DataFrame, blocked: Iterable[str] | DataFrame = BLOCKED) -> DataFrame:
     """(page_id, url, host, matched, blocked) for each row of pages; matched is the longest entry that covers the url.
 
+    blocked is a table whose first column has the entries, or a few entries.
     Host and path are compared without scheme, user, port, query, fragment and closing slashes, the host in lower case. A
     null url, an empty one, and one without scheme and host are not blocked; their host is null. Rows with a null page_id
     and repeated rows are judged row by row. Only page_id and url are read. Of two entries of one length that cover a url
-    the host comes first; an empty list blocks nothing.
+    the host comes first; an empty list blocks nothing. A url of any length is read to its end.
     """
-    place = build(blocked, shared_dir(pages.sparkSession))
+    spark = pages.sparkSession
+    if not isinstance(blocked, DataFrame):
+        blocked = spark.createDataFrame([(x,) for x in blocked], "entry string")
+    place = ship(spark, build(blocked, shared_dir(spark)))
     host = F.nullif(F.rtrim(F.lower(F.regexp_extract("url", _HOST, 1)), F.lit(".")), F.lit(""))
     path = F.rtrim(F.regexp_extract("url", _PATH, 1), F.lit("/"))
     rows = pick(pages, page_id="page_id", url="url").select("page_id", "url", host.alias("host"), path.alias("path"))
     labels = F.split("host", "[.]")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    most_labels, most_steps = reach(blocked)
+    hosts = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - most_labels + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     steps = F.split("path", "/")
-    below = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
+    below = F.transform(F.filter(F.sequence(F.lit(2), F.lit(most_steps + 2)), lambda i: (i <= F.size(steps)) & (i <= most_steps + 1)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
     paths = F.when(F.col("path") != "", F.flatten(F.transform("hosts", lambda h: F.transform(below, lambda p: F.concat(h, p))))).otherwise(F.array().cast("array<string>"))
     keyed = rows.withColumn("hosts", F.when(F.col("host").isNotNull(), hosts)).withColumn("texts", F.when(F.col("host").isNotNull(), F.concat("hosts", paths)))
     keyed = keyed.select("page_id", "url", "host", "texts", F.transform("texts", lambda t: F.xxhash64(t)).alias("digests"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(place)
+        own = opened(place)
         for b in batches:
             texts, digests = b.column(3), b.column(4)
             flat, values = digests.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), texts.flatten()

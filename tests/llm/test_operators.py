@@ -5,6 +5,7 @@ import json
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -293,6 +294,15 @@ def test_text_scores_match_a_plain_sum():
         assert n == 2 * len(grams) and np.allclose(row, table[grams].sum((0, 1)), atol=1e-2)
 
 
+def test_bags_hold_all_subwords():
+    for t in ("", "ab", "hello wörld", "x" * (2 * language_id._BLOCK + 5)):
+        raw = t.lower().encode()
+        grams = language_id.subwords(np.frombuffer(raw + b"\n", np.uint8))[: max(len(raw) - 2, 0)]
+        ids, times = language_id.bag_of(t)
+        want = np.unique(grams, return_counts=True)
+        assert ids.tolist() == want[0].tolist() and times.tolist() == want[1].tolist()
+
+
 @pytest.mark.parametrize("hard", [0.03, 0.06, 1.0])
 def test_accepted_noisy_held_out_texts_keep_the_bound(hard):
     """Hard texts are half of one language and half of another; their label is one of the two."""
@@ -326,18 +336,37 @@ def test_language_held_out_accuracy_and_edges(spark, odd, none):
 # 3 URLs
 
 
-def test_filter_settles_collisions(tmp_path, monkeypatch):
-    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda t, seed=0: 7)
-    f = url_filter.Filter(url_filter.build(["a.example", "b.example", "a.example", "", None], f"file://{tmp_path}"))
-    texts = ["a.example", "c.example", "b.example"]
-    assert len(f.keys) == 2 and f.hits(np.full(3, 7, np.uint64), lambda i: texts[i]).tolist() == [0, 2]
+def test_filter_settles_collisions(tmp_path):
+    texts = [b"a.example", b"b.example"]
+    for name, data in (("keys", np.full(2, 7, np.uint64)), ("offsets", np.cumsum([0, *map(len, texts)], dtype=np.int64)), ("strings", np.frombuffer(b"".join(texts), np.uint8))):
+        (tmp_path / name).write_bytes(data.tobytes())
+    f = url_filter.Filter(f"file://{tmp_path}")
+    probes = ["a.example", "c.example", "b.example"]
+    assert isinstance(f.keys, np.memmap) and f.hits(np.full(3, 7, np.uint64), lambda i: probes[i]).tolist() == [0, 2]
+
+
+def test_filter_of_a_table_holds_its_sorted_keys(spark, tmp_path):
+    entries = [f"h{i}.example" for i in range(500)] + ["h1.example", " h2.example/", "", None, "/"]
+    f = url_filter.Filter(url_filter.build(spark.createDataFrame([(e,) for e in entries], "entry string").repartition(4), f"file://{tmp_path}"))
+    want = sorted((xxhash.xxh64_intdigest(f"h{i}.example", seed=42), f"h{i}.example") for i in range(500))
+    assert f.keys.tolist() == [k for k, _ in want]
+    assert [f.strings[a:b].tobytes().decode() for a, b in zip(f.offsets, f.offsets[1:])] == [t for _, t in want]
+
+
+def test_filter_elsewhere_comes_with_every_executor(spark, tmp_path, monkeypatch):
+    place = url_filter.build(spark.createDataFrame([("bad.example",)], "entry string"), f"file://{tmp_path}")
+    monkeypatch.setattr(url_filter, "urlparse", lambda x: type("U", (), {"scheme": "other"}))
+    name = url_filter.ship(spark, place)
+    monkeypatch.undo()
+    got = spark.range(4).mapInArrow(lambda bs: (pa.record_batch([pa.array([len(url_filter.opened(name).keys)] * len(b))], ["n"]) for b in bs), "n long").collect()
+    assert "/" not in name and [r.n for r in got] == [1] * 4
 
 
 def test_spark_and_python_digests_agree(spark):
     from pyspark.sql import functions as F
 
     for t in ("", "a", "été.example/x", "y" * 100):
-        assert np.int64(spark.range(1).select(F.xxhash64(F.lit(t))).first()[0]).view(np.uint64) == xxhash.xxh64_intdigest(t, seed=url_filter.SEED)
+        assert np.int64(spark.range(1).select(F.xxhash64(F.lit(t))).first()[0]).view(np.uint64) == xxhash.xxh64_intdigest(t, seed=42)
 
 
 def test_url_rules(spark):
@@ -348,6 +377,10 @@ def test_url_rules(spark):
     assert got[6][0] is None and got[7][0] is None and got[8][0] is None
     assert not any(r.blocked for r in url_filter.filter_urls(pages, []).collect())
     assert url_filter.filter_urls(pages.where("page_id > 99")).collect() == []
+    listed = spark.createDataFrame([("bad.example",), (None,), ("bad.example",)], "anything string")
+    assert sum(r.blocked for r in url_filter.filter_urls(pages, listed).collect()) == 3
+    odd = spark.createDataFrame([(None, "http://bad.example/" + "x/" * 20_000), (None, "http://bad.example/")] * 2, "page_id long, url string")
+    assert [r.matched for r in url_filter.filter_urls(odd, ["bad.example"]).collect()] == ["bad.example"] * 4
 
 
 # 4 rules
@@ -404,6 +437,12 @@ def test_classifier_held_out_and_edges(spark, odd, none):
     assert np.mean([got[i] == (i % 3 > 0) for i in range(100, 200)]) > 0.97
     kept = quality_classifier.keep_good(clash(docs, "score", "keep", "x"), labels)
     assert kept.columns == ["doc_id", "text", "score", "keep", "x"] and {r.doc_id for r in kept.collect()} == {d for d, k in got.items() if k}
+    few = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(6)], "doc_id long, quality int")
+    assert all(r.keep for r in quality_classifier.classify(docs, few).collect())  # too few to split
+    texts = spark.createDataFrame([(i % 50, prose(i, 20 + i)) for i in range(400)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    one, two = (quality_classifier.train(texts.repartition(n, "text"), marks) for n in (1, 7))  # many texts of one doc_id
+    assert (one.split == two.split).all() and (one.value == two.value).all()
     out = quality_classifier.classify(clash(odd, "score", "keep", "quality"), labels.where("false")).collect()
     assert len(out) == 10 and [r.keep for r in out if r.doc_id == 1] == [False] and all(r.keep for r in out if r.doc_id != 1)
     assert quality_classifier.classify(none, labels).collect() == []
@@ -642,6 +681,20 @@ def test_token_counts_and_edges(spark, odd, none, tmp_path):
     assert token_counts.token_counts(one, str(path)).first().n_tokens == 5002
 
 
+def test_unbroken_text_takes_linear_time(spark):
+    """Ten megabytes without a blank, and many long words at once, as a plain search counts them."""
+    v = set(token_counts.read_vocabulary())
+    automaton = token_counts.Automaton.build(sorted(v))
+    r = random.Random(6)
+    long = "".join(r.choices("abcdefghijklmnop", k=10_000_000))
+    began = time.perf_counter()
+    words, tokens = token_counts.count_texts(automaton, pa.array([long]))
+    assert words.tolist() == [1] and time.perf_counter() - began < 60
+    texts = [long[: 40 + 7 * i] for i in range(400)] + [long[:20_000], "é" * 300, "q" * 1000]
+    _, got = token_counts.count_texts(automaton, pa.array(texts))
+    assert got.tolist() == [greedy(v, t.encode()) for t in texts]
+
+
 # 10 shards
 
 

@@ -1,16 +1,21 @@
 """The registered queries and the pipeline on the smallest tables, against brute force or SQL."""
 
+import bisect
 import hashlib
+import itertools
 import os
+import re
+import struct
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 
 import corpus_pipeline
-from corpusloom.llm import decontaminate, mixing, quality_classifier, queries, sharding, simhash, token_counts
+from corpusloom.llm import decontaminate, language_id, mixing, quality_classifier, queries, sharding, simhash, token_counts
 from tests.llm.test_operators import greedy, groups_of
 
 SF = "/root/testdata/sf0.001"
@@ -44,6 +49,33 @@ def test_language_query(spark, docs):
     assert len(got) == docs.num_rows and np.mean(right) > 0.97
 
 
+def test_language_query_against_plain_python(spark, docs):
+    """Scores summed gram by gram with whole numbers of Python, under the model that the query trains."""
+    model = language_id.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    got = {r.doc_id: r for r in queries.QUERIES["op1_language_id"](spark, SF).collect()}
+    mask = (1 << 32) - 1
+    close = 0
+    for i, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist()):
+        raw = text.lower().encode() + b"\n"
+        if len(raw) > 4000:  # Python is slow; the sums of long texts have a test of their own
+            continue
+        rows = []
+        for j in range(len(raw) - 3):
+            three = (raw[j] * 0x9E3779B1 & mask) ^ (raw[j + 1] * 0x85EBCA77 & mask) ^ (raw[j + 2] * 0xC2B2AE3D & mask)
+            four = (three * 0x27D4EB2F & mask) ^ (raw[j + 3] * 0x165667B1 & mask) ^ 0x5BD1E995
+            rows += [((x ^ x >> 15) * 0x2C1B3C6D & mask) >> 17 for x in (three, four)]
+        if not rows:
+            assert (got[i].predicted, got[i].confidence, got[i].accepted) == ("und", 0.0, False)
+            continue
+        z = (model.table[rows].astype(float).mean(0) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert abs(got[i].confidence - p.max()) < 1e-4
+        if abs(p.max() - model.threshold) > 1e-4 and np.sort(p)[-1] - np.sort(p)[-2] > 1e-4:
+            assert got[i].predicted == model.languages[int(p.argmax())] and got[i].accepted == (p.max() >= model.threshold)
+            close += 1
+    assert close > 100
+
+
 def brute_duplicates(ids, texts):
     sig = simhash.signatures_of(pa.array(texts))
     near = lambda i: np.flatnonzero(np.bitwise_count(sig[:i] ^ sig[i]).sum(1) <= simhash.MAX_DISTANCE)
@@ -53,7 +85,7 @@ def brute_duplicates(ids, texts):
 def test_dedup_query(spark, docs):
     want = brute_duplicates(docs["doc_id"].to_pylist(), docs["text"].to_pylist())
     got = {r.doc_id: r.keep_id for r in queries.QUERIES["op2_simhash_near_dedup"](spark, SF).collect()}
-    assert set(got.items()) <= set(want.items()) and len(got) >= 0.9 * len(want)
+    assert got == want and len(want) > 0  # the search misses one pair in thousands, none of this table
 
 
 def test_classifier_query(spark):
@@ -63,6 +95,50 @@ def test_classifier_query(spark):
     assert np.mean(right) > 0.97
 
 
+def plain_statistics(text):
+    """The features of one text, a loop for each."""
+    raw = text.encode()
+    size = len(raw)
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[0-9A-Za-z_\x80-\xff]+", raw)]
+    low = [raw[a:b].lower() for a, b in words]
+    tokens = re.findall(rb"[^ \t\n\r\x0b\x0c]+", raw)
+    blanks = sum(c in b" \t\n\r\x0b\x0c" for c in raw)
+    count = lambda chars: sum(c in chars for c in raw)
+    symbols = b"#$%&*@^~+=<>{}[]|\\"
+    lines = [x for x in raw.split(b"\n") if x]
+    copied = [x for i, x in enumerate(lines) if x in lines[:i]]
+    share = lambda a, b: a / max(b, 1)
+    stop = {w.encode() for w in quality_classifier.STOP_WORDS}
+    n, t, k = len(words), len(tokens), len(lines)
+    upper = lambda c: 65 <= c <= 90
+    return [
+        size, n, share(sum(map(len, low)), n), t, share(size - blanks, t), share(sum(map(upper, raw)), size), share(count(b"0123456789"), size), share(count(b"."), n), share(count(b","), n), share(count(b"!"), n),
+        share(count(symbols), size), share(count(b"|"), t), share(blanks, size), share(sum(c >= 128 for c in raw), size), k, share(size, k), share(len(copied), k), share(sum(map(len, copied)), size),
+        share(len(set(low)), n), share(max((low.count(w) for w in set(low)), default=0), n), share(sum(w in stop for w in low), n), share(sum(len(w) <= 3 for w in low), n), share(sum(len(w) >= 12 for w in low), n),
+        share(sum(x[-1] in symbols for x in tokens), t), share(sum(upper(raw[a]) and upper(raw[b - 1]) and b - a > 1 for a, b in words), n), share(sum(x[-1] in b'.!?:;"' for x in lines), k), max(map(len, tokens), default=0),
+    ]
+
+
+def test_classifier_query_against_plain_python(spark, docs):
+    """Features counted in loops and trees walked node by node, under the forest that the query trains."""
+    forest = quality_classifier.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r.doc_id: r for r in queries.QUERIES["op5_quality_classifier"](spark, SF).collect()}
+    checked = 0
+    for i, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist()):
+        if len(text) > 20_000:
+            continue
+        row, total = plain_statistics(text), forest.base
+        for feature, split, value in zip(forest.feature, forest.split, forest.value):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(row[feature[node]] > split[node])
+            total += value[node - len(feature)]
+        want = 1 / (1 + np.exp(-total))
+        assert abs(got[i].score - want) < 1e-6 and got[i].keep == (got[i].score >= forest.threshold)
+        checked += 1
+    assert checked > 150
+
+
 def brute_contaminated(ids, texts, bench):
     """Every region of every document against every passage, without the latent space."""
     words, off = decontaminate.words_of(pa.array(texts))
@@ -105,15 +181,58 @@ def test_token_query(spark, docs):
     assert {r.doc_id: (r.n_words, r.n_tokens) for r in queries.QUERIES["op9_token_counts"](spark, SF).collect()} == want
 
 
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def brute_shards(rows, target):
+    """The shard of each (doc_id, text): bounds from the sorted draws, then running sums in ranges that are too large."""
+    digest = lambda raw, seed: xxhash.xxh64_intdigest(raw, seed=seed)
+    records = [(-(1 << 63) if i is None else i, 42 if t is None else signed(digest(t.encode(), 42)), len((t or "").encode()) + 1) for i, t in rows]
+    draws = {}
+    for key, tie, size in records:
+        h = digest(struct.pack("<q", tie), digest(struct.pack("<q", key), digest(struct.pack("<i", sharding.SEED), 42)))
+        times = size * (sharding.PER_SHARD / target)
+        n = int(times) + ((signed(h) % (1 << 30)) / (1 << 30) < times - int(times))
+        if n:
+            draws[key, tie] = draws.get((key, tie), 0) + n
+    bounds, run = [], 0
+    for place, n in sorted(draws.items()):
+        run += n
+        if run // sharding.PER_SHARD > (run - n) // sharding.PER_SHARD:
+            bounds.append(place)
+    held = {}
+    for key, tie, size in sorted(records):
+        held.setdefault(bisect.bisect_left(bounds, (key, tie)), []).append((key, tie, size))
+    more = []
+    for own in held.values():
+        total, run = sum(size for *_, size in own), 0
+        if total > sharding.SLACK * target:
+            part = total / -(-total // target)
+            for place, same in itertools.groupby(own, lambda r: r[:2]):
+                size = sum(r[2] for r in same)
+                run += size
+                if run < total and run // part > (run - size) // part:
+                    more.append(place)
+    bounds = sorted(set(bounds + more))
+    return [bisect.bisect_left(bounds, r[:2]) for r in records]
+
+
 def test_shard_query(spark, docs):
+    rows = list(zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist()))
     got = queries.QUERIES["op10_shard"](spark, SF)
     assert rows_of(got.drop("shard").toArrow()) == rows_of(docs)
-    small = sharding.shard(spark.read.parquet(f"{SF}/documents.parquet"), target=40_000).collect()
-    size = {}
-    for r in small:
-        size[r.shard] = size.get(r.shard, 0) + len(r.text.encode()) + 1
-    longest = max(len(t.encode()) for t in docs["text"].to_pylist())
-    assert max(size.values()) <= 1.25 * 40_000 + longest and len(size) >= 5
+    assert sorted((r.doc_id, r.shard) for r in got.collect()) == sorted((i, s) for (i, _), s in zip(rows, brute_shards(rows, sharding.TARGET_BYTES)))
+    odd = [(None, "x" * 900), (None, None), (5, ""), (5, "y" * 5000), (5, "y" * 5000), (-3, "z" * 100)]
+    for target in (7_000, 40_000):
+        small = sharding.shard(spark.createDataFrame(rows + odd, "doc_id long, text string"), target=target).collect()
+        want = brute_shards(rows + odd, target)
+        assert sorted(map(repr, small)) == sorted(repr(type(small[0])(doc_id=i, text=t, shard=s)) for (i, t), s in zip(rows + odd, want))
+        size = {}
+        for r in small:
+            size[r.shard] = size.get(r.shard, 0) + len((r.text or "").encode()) + 1
+        longest = max(len(t.encode()) for t in docs["text"].to_pylist())
+        assert max(size.values()) <= 1.25 * target + longest and len(size) >= 5
 
 
 def test_pipeline_against_brute_force(spark, docs):
