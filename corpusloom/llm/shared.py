@@ -28,12 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 _SCRATCH: list[list[str]] = []
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: its lineage ends there and survives lost executors."""
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df once to the shared folder and read it back: its lineage ends there and survives lost executors.
+
+    An open scratch deletes it at its end, unless it is to be kept.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _SCRATCH:
+    if _SCRATCH and not keep:
         _SCRATCH[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_at = path

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from corpusloom.llm import decontaminate, language_id, mixing, quality_classifier, queries, sharding, simhash, token_counts
+from corpusloom.llm import decontaminate, language_id, mixing, quality_classifier, queries, sharding, shared, simhash, token_counts
 from tests.llm.test_operators import greedy, groups_of
 
 SF = "/root/testdata/sf0.001"
@@ -262,10 +262,17 @@ def test_pipeline_against_brute_force(spark, docs):
     assert got == sorted(want)
 
 
+def test_pipeline_leaves_only_what_its_result_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, SF)
+    assert [p.name.rpartition("-")[0] for p in (tmp_path / "corpusloom").iterdir()] == ["mixing-to-target-weights"]
+    assert out.count() > 0
+
+
 def test_every_stage_takes_odd_rows(spark):
     from tests.llm.test_operators import DOCS, clash, odd_rows
 
-    odd = clash(spark.createDataFrame(odd_rows(), DOCS), "keep", "copies", "key", "range")
+    odd = clash(spark.createDataFrame(odd_rows(), DOCS), "keep", "copies", "key", "range", "digest", "gone_digest", "part", "root", "member")
     for kept in (odd, odd.where("false")):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             kept = stage(spark, kept, SF)
