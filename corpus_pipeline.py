@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import decontaminate, mixing, quality_classifier, sharding, simhash
-from corpusloom.llm.shared import cut, table
+from corpusloom.llm.shared import cut, discard, scratch, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,23 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents; each stage's result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply STAGES to documents; each stage's result is written to the shared folder and read again.
+
+    What a stage cuts for itself is deleted once its result is written, and that result once the next one is; only the
+    input of the last stage, which is read when the result is, stays.
+
+    Null texts go in the first stage. Rows with a null doc_id pass through: they are scored and searched by their text,
+    never count as near duplicates, are drawn as one doc_id and come first in the shards. An empty text is scored like any
+    other, and empty texts are duplicates of each other. Rows that repeat doc_id and text are one document, whose row the
+    second stage keeps once; the fourth may repeat it. Of equally good duplicates the smallest doc_id stays. Texts count
+    whole, however long. Null languages, sources and counts are kept, further columns too. From an empty table come no rows.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            rows = stage(spark, docs, sf_dir)
+            docs = cut(rows, name.replace(" ", "-"), keep=True)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
