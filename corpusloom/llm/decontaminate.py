@@ -35,8 +35,8 @@ PASSAGES_AT_ONCE = 4096
 #: Least cosine of a candidate, least LCS share, least share of answer words, number of answer words, and the LCS share
 #: from which the answer isn't asked for.
 COSINE, COMMON, ANSWER, ANSWER_WORDS, STRONG = 0.4, 0.5, 0.4, 5, 0.75
-#: Bits of a word set, and tasks whose sketches are added up first.
-_BITS, _BRANCH = 1024, 64
+#: Bits of a word set for each word of a window, and tasks whose sketches are added up first.
+_BITS, _BRANCH = 8, 64
 
 
 def bucket_of(words: np.ndarray) -> np.ndarray:
@@ -222,18 +222,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-30)
 
 
-def _set_bits(words: np.ndarray) -> np.ndarray:
-    return (words * np.uint32(0x9E3779B1) >> np.uint32(22)).astype(np.int64)
+def _word_sets(words: np.ndarray, off: np.ndarray, size: int) -> np.ndarray:
+    """A bit set of size * _BITS bits for the words of each span."""
+    width = size * _BITS
+    bit = (words * np.uint32(0x9E3779B1) >> np.uint32(33 - width.bit_length())).astype(np.int64)
+    held = np.zeros((len(off) - 1) * width, bool)
+    held[np.repeat(np.arange(len(off) - 1) * width, np.diff(off)) + bit] = True
+    return np.packbits(held).view(np.uint64).reshape(len(off) - 1, width // 64)
 
 
 @dataclass
 class Blocks:
-    """Half-window blocks of all documents: starts (with the end), each document's first block, latent sums, word sets."""
+    """Half-window blocks of all documents: starts (with the end), each document's first block, latent sums."""
 
     start: np.ndarray
     first: np.ndarray
     sums: np.ndarray
-    sets: np.ndarray
 
     @staticmethod
     def of(space: Space, words: np.ndarray, off: np.ndarray, half: int) -> Blocks:
@@ -244,12 +248,7 @@ class Blocks:
         for lo in range(0, n, 512):  # the gathered rows stay in cache
             hi = min(n, lo + 512)
             np.add.reduceat(space.fold.take(bucket[start[lo] : start[hi]], axis=0), start[lo:hi] - start[lo], axis=0, out=sums[lo:hi])
-        sets, bit = np.zeros((n, _BITS // 64), np.uint64), _set_bits(words)
-        for j in range(half):
-            rows = np.flatnonzero(start[:-1] + j < start[1:])
-            at = bit[start[rows] + j]
-            sets[rows, at >> 6] |= np.uint64(1) << (at & 63).astype(np.uint64)
-        return Blocks(start, first, sums, sets)
+        return Blocks(start, first, sums)
 
     def doubled(self, off: np.ndarray, half: int) -> Blocks:
         """Of two neighbouring blocks one of twice the size, `half`."""
@@ -257,10 +256,9 @@ class Blocks:
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         left = self.first[doc] + 2 * (np.arange(first[-1]) - first[doc])
         pair = left + 1 < self.first[doc + 1]
-        sums, sets = self.sums[left], self.sets[left]
+        sums = self.sums[left]
         sums[pair] += self.sums[left[pair] + 1]
-        sets[pair] |= self.sets[left[pair] + 1]
-        return Blocks(start, first, sums, sets)
+        return Blocks(start, first, sums)
 
 
 class Matcher:
@@ -270,10 +268,7 @@ class Matcher:
         self.size, self.passages = size, [p for p in passages if p.window == size]
         self.target = _unit(np.stack([space.project(np.array(p.words, np.uint32)) for p in self.passages])).astype(np.float32).T.copy()
         self.length = np.array([len(p.words) for p in self.passages], np.int64)
-        self.sets = np.zeros((len(self.passages), _BITS // 64), np.uint64)
-        for own, p in zip(self.sets, self.passages):
-            bit = _set_bits(np.array(p.words, np.uint32))
-            np.bitwise_or.at(own, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
+        self.sets = _word_sets(np.array([w for p in self.passages for w in p.words], np.uint32), np.append(0, np.cumsum(self.length)), size)
         self.distinct = np.bitwise_count(self.sets).sum(1, dtype=np.int64)
         answers = sorted((w, j) for j, p in enumerate(self.passages) for w in p.answer)
         self.word, at = np.unique(np.array([w for w, _ in answers], np.uint32), return_index=True)
@@ -302,11 +297,15 @@ class Matcher:
         pairs, count = np.unique(np.repeat(block, each) * len(self.passages) + passage, return_counts=True)
         return pairs, count / self.need[pairs % len(self.passages)]
 
-    def candidates(self, blocks: Blocks, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(window, passage, cosine, most of its words that the widened window may lack no more) of all pairs within COSINE."""
+    def candidates(self, blocks: Blocks, words: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, passage, cosine, lacks) of all pairs within COSINE whose widened window doesn't lack too many words.
+
+        lacks is the number of words of the passage, at least, that the widened window doesn't hold; each of them is missing
+        from every common subsequence.
+        """
         n = len(blocks.sums)
-        first = np.append(True, last[:-1])
-        step = max(1, (1 << 22) // len(self.passages))
+        own = _word_sets(words, blocks.start, self.size)
+        step = max(1, (1 << 21) // len(self.passages))
         for lo in range(0, n, step):
             hi = min(n, lo + step)
             window = blocks.sums[lo:hi].copy()
@@ -314,19 +313,19 @@ class Matcher:
             window[inner] += blocks.sums[lo + 1 + inner]
             cosine = _unit(window) @ self.target  # every window with every passage
             at, p = np.nonzero(cosine >= COSINE)
-            if not len(at):
-                continue
-            wide = blocks.sets[lo:hi].copy()
-            for shift, edge in ((-1, first), (1, last), (2, last)):
-                rows = np.arange(lo, hi)
-                there = (rows + shift >= 0) & (rows + shift < n) & ~edge[lo:hi]
-                if shift == 2:  # the block after the next, of the same document
-                    there &= ~np.append(last[1:], True)[lo:hi]
-                wide[there] |= blocks.sets[rows[there] + shift]
+            wide, row = own[lo:hi].copy(), np.arange(lo, hi)
+            before = row[(row > 0) & ~last[row - 1]]
+            wide[before - lo] |= own[before - 1]
+            after = row[~last[lo:hi]]
+            wide[after - lo] |= own[after + 1]
+            after = after[~last[after + 1]]
+            wide[after - lo] |= own[after + 2]
             for k in range(0, len(at), 1 << 16):
                 a, b = at[k : k + (1 << 16)], p[k : k + (1 << 16)]
                 lacks = self.distinct[b] - np.bitwise_count(wide[a] & self.sets[b]).sum(1, dtype=np.int64)
-                yield a + lo, b, cosine[a, b], lacks
+                able = np.flatnonzero(lacks <= (1 - COMMON) * self.length[b])
+                a, b = a[able], b[able]
+                yield a + lo, b, cosine[a, b], lacks[able]
 
 
 def search(matchers: list[Matcher], space: Space, words: np.ndarray, off: np.ndarray) -> list[tuple]:
@@ -345,14 +344,12 @@ def search(matchers: list[Matcher], space: Space, words: np.ndarray, off: np.nda
         last[first[1:][np.diff(first) > 0] - 1] = True
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         known, share = m.answers_held(words, start, doc)
-        for at, passage, cosine, lacks in m.candidates(blocks, last):
+        for at, passage, cosine, lacks in m.candidates(blocks, words, last):
             place = at * len(m.passages) + passage
             k = np.minimum(np.searchsorted(known, place), max(len(known) - 1, 0))
             answer = np.where(known[k] == place, share[k], 0.0) if len(known) else np.zeros(len(place))
             n = m.length[passage]
-            # a word that the window lacks is missing from every common subsequence
-            able = ((answer >= ANSWER) & (lacks <= (1 - COMMON) * n)) | (lacks <= (1 - STRONG) * n)
-            for j in np.flatnonzero(able).tolist():
+            for j in np.flatnonzero((answer >= ANSWER) | (lacks <= (1 - STRONG) * n)).tolist():
                 i, p = int(at[j]), m.passages[passage[j]]
                 d = int(doc[i])
                 left, right = max(off[d], start[i] - half), min(off[d + 1], start[i] + m.size + half)
