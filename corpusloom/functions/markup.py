@@ -26,12 +26,12 @@ _SKIPPED = ("id", "ide", "h", "toc1", "toc2", "toc3", "mt", "mt1", "mt2", "mt3",
 
 
 def clean_usfm(text: str) -> str:
-    """Plain text of a USFM fragment: no notes, words without their attributes, markers gone, white space squeezed."""
+    """Plain text of a USFM fragment: no notes, words without their attributes, markers gone, white space squeezed and none before punctuation."""
     text = _NOTES.sub("", text)
     while (shorter := _WORD_TAG.sub(r"\g<word>", text)) != text:
         text = shorter
     text = _OPENING.sub("", _PAIRED.sub("", text))
-    return " ".join(text.replace("~", " ").split())
+    return re.sub(r" +([,.;:!?’”)\]])", r"\1", " ".join(text.replace("~", " ").split()))
 
 
 @dataclass
@@ -47,7 +47,7 @@ class UsfmVerse:
 
 
 def parse_usfm(content: str) -> tuple[str | None, list[UsfmVerse]]:
-    """Book id and verses: \\c sets the chapter, \\v n or n-m opens a verse, \\d is the title and becomes verse 0.
+    """Book id and verses: \\c sets the chapter, \\v n or n-m, with a part letter or not, opens a verse, \\d is the title and becomes verse 0.
 
     Heading lines are left out; other lines go on with the verse before them. Verses without text are dropped.
     """
@@ -68,7 +68,7 @@ def parse_usfm(content: str) -> tuple[str | None, list[UsfmVerse]]:
                 continue
             current = None
         else:
-            pieces = re.split(r"[\\]v +([0-9]+)(?:-([0-9]+))? ?", line)
+            pieces = re.split(r"[\\]v +([0-9]+)(?:-([0-9]+))?(?:[ab]\b)? ?", line)
             if pieces[0].strip() and current:
                 current.parts.append(pieces[0])
             for number, end, text in zip(pieces[1::3], pieces[2::3], pieces[3::3]):

@@ -34,6 +34,17 @@ def neighbours(verses: DataFrame, start: int, end: int, n: int) -> DataFrame:
     return before.unionByName(after)
 
 
+def neighbouring_documents(docs: DataFrame, book: str, start: int, end: int, n: int) -> DataFrame:
+    """Documents start to end and the n nearest on either side in the book of the first; each has a line, so they hold the
+    n lines before and after. Which they are is found by ids alone, so the text of others isn't read."""
+    ids = docs.select("doc_id", F.col(book).alias("book_"))
+    own = ids.where(F.col("doc_id").between(start, end)).orderBy("doc_id").limit(1).select("book_")
+    same = ids.join(F.broadcast(own), "book_", "left_semi").select("doc_id")  # one row
+    before, after = same.where(F.col("doc_id") < start).orderBy(F.desc("doc_id")).limit(n), same.where(F.col("doc_id") > end).orderBy("doc_id").limit(n)
+    some = before.union(after).union(ids.where(F.col("doc_id").between(start, end)).select("doc_id"))
+    return docs.join(F.broadcast(some), "doc_id", "left_semi") if end - start < 1000 else docs.join(some, "doc_id", "left_semi")
+
+
 def compare(texts: DataFrame, key: str, version: str, versions: list[str]) -> DataFrame:
     """One column of text for each version; keys that none of the versions has are left out."""
     out = texts.groupBy(key).pivot(version, versions).agg(F.min("text"))

@@ -7,22 +7,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.functions.scalar import tier_of
+from corpusloom.staging import cut
 
-def grams(words: DataFrame, n: int) -> DataFrame:
-    """(unit, pos, gram): the hash of the n words from each position that has so many."""
-    line = Window.partitionBy("unit").orderBy("pos")
-    parts = [F.lead("w", k).over(line) if k else F.col("w") for k in range(n)]
-    return words.select("unit", "pos", F.when(parts[-1].isNotNull(), F.xxhash64(*parts)).alias("gram")).where("gram is not null")
 
+def _hashed(seqs: DataFrame) -> DataFrame:
+    """seqs with h, the 64-bit hashes of the words, in place of ws."""
+    return seqs.withColumn("h", F.transform("ws", lambda w: F.xxhash64(w))).drop("ws")
 
-def _extend(diagonals: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Islands (a, b, diag, start, len): maximal runs of equal words on the given diagonals pos_b - pos_a."""
-    a = left.select(F.col("unit").alias("a"), F.col("pos").alias("pa"), F.col("w").alias("wa"))
-    b = right.select(F.col("unit").alias("b"), F.col("pos").alias("pb"), F.col("w").alias("wb"))
-    cells = diagonals.join(a, "a").withColumn("pb", F.col("pa") + F.col("diag")).join(b, ["b", "pb"]).where("wa = wb")
-    order = Window.partitionBy("a", "b", "diag").orderBy("pa")
-    isles = cells.withColumn("isle", F.col("pa") - F.row_number().over(order))
-    return isles.groupBy("a", "b", "diag", "isle").agg(F.min("pa").alias("start"), F.count("*").alias("len")).drop("isle")
+
+def grams(hashed: DataFrame, n: int) -> DataFrame:
+    """Each row of hashed, but h, with (pos, gram): the hash of the n words from each position that has so many."""
+    made = F.transform(F.sequence(F.lit(0), F.size("h") - n), lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(n)]))
+    return hashed.where(F.size("h") >= n).select(*[c for c in hashed.columns if c != "h"], F.posexplode(made).alias("pos", "gram"))
+
+
+def _runs(a: Column, b: Column, diag: Column) -> Column:
+    """Maximal runs of equal words of two sequences on a diagonal, pos_b - pos_a, as an array of (start, len, diag)."""
+
+    def same(i: Column) -> Column:
+        return F.coalesce(F.get(a, i) == F.get(b, i + diag), F.lit(False))
+
+    at = F.filter(F.sequence(F.greatest(F.lit(0), -diag), F.least(F.size(a), F.size(b) - diag) - 1), same)
+    starts, ends = F.filter(at, lambda i: ~same(i - 1)), F.filter(at, lambda i: ~same(i + 1))
+    return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("len"), diag.alias("diag")))
+
+
+def _on_diagonals(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """pairs (a, b, diags) with the columns of both sides, those of the right under names ending in _b, and the runs on all diagonals."""
+    a = left.withColumnRenamed("unit", "a")
+    b = right.select(F.col("unit").alias("b"), *[F.col(c).alias(f"{c}_b") for c in right.columns if c != "unit"])
+    each = F.transform("diags", lambda d: _runs(F.col("h"), F.col("h_b"), d))
+    return pairs.join(a, "a").join(b, "b").withColumn("runs", F.flatten(each))
 
 
 def best_per_pair(runs: DataFrame) -> DataFrame:
@@ -31,20 +47,33 @@ def best_per_pair(runs: DataFrame) -> DataFrame:
     return runs.withColumn("k", rank).where("k = 1").drop("k")
 
 
+def _pairs(hits: DataFrame) -> DataFrame:
+    """(a, b, diags) of hits (a, b, diag)."""
+    return hits.groupBy("a", "b").agg(F.collect_set("diag").alias("diags"))
+
+
 def cross_runs(left: DataFrame, right: DataFrame, n: int, cap: int) -> DataFrame:
-    """Runs (a, b, diag, start, len) of at least n words between two corpora.
+    """Runs (a, b, diag, start, len) of at least n words between two corpora of sequences (unit, ws).
 
     A run begins at its first gram that has at most `cap` places in the right corpus, and goes on through any gram. The
-    cap is applied before the join, so no key has more than cap rows on that side.
+    cap is applied before the join, so no key has more than cap rows on that side; runs extend inside the two sequences
+    of a pair, without a join.
     """
-    every = grams(right, n).withColumn("places", F.count("*").over(Window.partitionBy("gram")))
-    live = every.where(F.col("places") <= cap).select("gram", F.col("unit").alias("b"), F.col("pos").alias("pb"))
+    left, right = _hashed(left), _hashed(right)
+    every = grams(right, n).select("gram", F.col("unit").alias("b"), F.col("pos").alias("pb"))
+    few = every.groupBy("gram").agg(F.count("*").alias("places")).where(F.col("places") <= cap).select("gram")
+    live = every.join(few, "gram")
     hits = grams(left, n).select("gram", F.col("unit").alias("a"), F.col("pos").alias("pa")).join(live, "gram")
-    hits = hits.select("a", "b", (F.col("pb") - F.col("pa")).alias("diag"), "pa")
-    isles = _extend(hits.select("a", "b", "diag").distinct(), left, right)
-    inside = isles.join(hits, ["a", "b", "diag"]).where((F.col("pa") >= F.col("start")) & (F.col("pa") <= F.col("start") + F.col("len") - n))
-    first = inside.groupBy("a", "b", "diag", "start", "len").agg(F.min("pa").alias("live"))
-    return first.select("a", "b", "diag", F.col("live").alias("start"), (F.col("len") - F.col("live") + F.col("start")).alias("len"))
+    places = live.groupBy("b").agg(F.collect_set("pb").alias("live"))
+    both = _on_diagonals(_pairs(hits.select("a", "b", (F.col("pb") - F.col("pa")).alias("diag"))), left, right).join(places, "b")
+
+    def begun(run: Column) -> Column:
+        """The run from its first gram that is live on the right."""
+        first = F.array_min(F.filter("live", lambda p: (p >= run["start"] + run["diag"]) & (p <= run["start"] + run["diag"] + run["len"] - n))) - run["diag"]
+        return F.struct(first.alias("start"), (run["len"] - first + run["start"]).alias("len"), run["diag"].alias("diag"))
+
+    found = both.select("a", "b", F.explode(F.transform(F.filter("runs", lambda r: r["len"] >= n), begun)).alias("r")).where("r.start is not null")
+    return found.select("a", "b", *[F.col(f"r.{c}").cast("long").alias(c) for c in ("diag", "start", "len")])
 
 
 def quotation_tier(length: str, rare: Column) -> Column:
@@ -52,18 +81,25 @@ def quotation_tier(length: str, rare: Column) -> Column:
     return F.when(F.col(length) >= 5, "quotation").when((F.col(length) == 4) & rare, "allusion")
 
 
-def run_words(runs: DataFrame, left: DataFrame) -> DataFrame:
-    """Each run with the words of its left side."""
-    w = left.select(F.col("unit").alias("a"), F.col("pos").alias("pa"), "w")
-    return runs.join(w, "a").where((F.col("pa") >= F.col("start")) & (F.col("pa") < F.col("start") + F.col("len")))
+def words_of(seqs: DataFrame) -> DataFrame:
+    return seqs.select("unit", F.explode("ws").alias("w"))
+
+
+def frequencies(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(w, freq) over both corpora."""
+    return words_of(left).union(words_of(right)).groupBy("w").agg(F.count("*").alias("freq"))
+
+
+def rarest_of(runs: DataFrame, left: DataFrame, freq: DataFrame) -> DataFrame:
+    """(a, b, least): the frequency of the rarest word of each pair's run."""
+    held = runs.join(left.withColumnRenamed("unit", "a"), "a").select("a", "b", F.explode(F.slice("ws", F.col("start").cast("int") + 1, F.col("len").cast("int"))).alias("w"))
+    return held.join(freq, "w").groupBy("a", "b").agg(F.min("freq").alias("least"))
 
 
 def quotes(left: DataFrame, right: DataFrame, cap: int = 40, common: int = 300) -> DataFrame:
     """(a, b, len, start, tier): best surface run of each pair, gated by word frequency over both corpora."""
-    runs = cross_runs(left, right, 4, cap)
-    freq = left.select("w").union(right.select("w")).groupBy("w").agg(F.count("*").alias("freq"))
-    best = best_per_pair(runs)
-    rare = run_words(best.where("len = 4"), left).join(freq, "w").groupBy("a", "b").agg(F.min("freq").alias("least"))
+    best = best_per_pair(cross_runs(left, right, 4, cap))
+    rare = rarest_of(best.where("len = 4"), left, frequencies(left, right))
     out = best.join(rare, ["a", "b"], "left").withColumn("tier", quotation_tier("len", F.col("least") <= common))
     return out.where("tier is not null").select("a", "b", "len", "start", "tier")
 
@@ -71,8 +107,7 @@ def quotes(left: DataFrame, right: DataFrame, cap: int = 40, common: int = 300)
 def lemma_links(left: DataFrame, right: DataFrame, cap: int = 12, common: int = 150) -> DataFrame:
     """(a, b, len, tier) from lemma 3-grams: four lemmas and more are an allusion, three an echo if one of them is rare."""
     best = best_per_pair(cross_runs(left, right, 3, cap))
-    freq = left.select("w").union(right.select("w")).groupBy("w").agg(F.count("*").alias("freq"))
-    rare = run_words(best.where("len = 3"), left).join(freq, "w").groupBy("a", "b").agg(F.min("freq").alias("least"))
+    rare = rarest_of(best.where("len = 3"), left, frequencies(left, right))
     tier = F.when(F.col("len") >= 4, "allusion").when(F.col("least") <= common, "echo")
     return best.join(rare, ["a", "b"], "left").withColumn("tier", tier).where("tier is not null").select("a", "b", "len", "tier")
 
@@ -91,9 +126,9 @@ def echoes(left: DataFrame, right: DataFrame, linked: DataFrame | None = None, r
 
     A word's postings are bounded by its frequency cap, so the inverted-index self-join cannot blow up on one key.
     """
-    freq = left.select("w").union(right.select("w")).groupBy("w").agg(F.count("*").alias("n")).where((F.col("n") <= rare) & (F.length("w") >= letters)).select("w")
-    a = left.join(freq, "w", "left_semi").select("w", F.col("unit").alias("a")).distinct()
-    b = right.join(freq, "w", "left_semi").select("w", F.col("unit").alias("b")).distinct()
+    freq = frequencies(left, right).where((F.col("freq") <= rare) & (F.length("w") >= letters)).select("w")
+    a = words_of(left).join(freq, "w", "left_semi").select("w", F.col("unit").alias("a")).distinct()
+    b = words_of(right).join(freq, "w", "left_semi").select("w", F.col("unit").alias("b")).distinct()
     pairs = a.join(b, "w").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
     if linked is not None:
         pairs = pairs.join(linked.select("a", "b"), ["a", "b"], "left_anti")
@@ -101,40 +136,52 @@ def echoes(left: DataFrame, right: DataFrame, linked: DataFrame | None = None, r
     return pairs.withColumn("k", k).where(F.col("k") <= top).drop("k")
 
 
-def parallels(words: DataFrame, near: int = 2, distinctive: int = 300, cap: int = 200, rare: int = 50, phrase: int = 25, echo: int = 5) -> DataFrame:
+def parallels(lines: DataFrame, near: int = 2, distinctive: int = 300, cap: int = 200, rare: int = 50, phrase: int = 25, echo: int = 5) -> DataFrame:
     """(a, b, start_a, start_b, len, tier): the longest qualifying run of each pair of units of one corpus, a < b.
 
-    words has unit, chapter, line, pos and w. Candidate diagonals come from 3-grams in at most `cap` units; runs on them
+    lines has unit, chapter, line and ws, the words; starts are counted from 1. Candidate diagonals come from 3-grams in at most `cap` units; runs on them
     extend through any word. A run of four and more qualifies if its rarest word lies in at most `distinctive` units, or
     in twice as many while each of its 3-grams lies in at most `phrase`; one of three if all words lie in at most `rare`
     units, or one does and the gram lies in at most `echo`. Units of one chapter within `near` lines are not compared.
+
+    Words with the number of their units, and grams with theirs, are written once; each pair then has all it takes in the
+    two rows of its units.
     """
-    g = grams(words, 3).join(words.select("unit", "chapter", "line").distinct(), "unit")
-    gdf = g.select("gram", "unit").distinct().groupBy("gram").agg(F.count("*").alias("gdf"))
-    df = words.select("w", "unit").distinct().groupBy("w").agg(F.count("*").alias("df"))
-    live = g.join(gdf.where(F.col("gdf") <= cap), "gram")
+    df = lines.select(F.explode(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    each = lines.select("unit", "chapter", "line", F.posexplode("ws").alias("pos", "w")).join(df, "w")
+    rows = F.array_sort(F.collect_list(F.struct("pos", F.xxhash64("w").alias("h"), "df")))
+    units = each.groupBy("unit").agg(F.min("chapter").alias("chapter"), F.min("line").alias("line"), rows.alias("r"))
+    units = cut(units.select("unit", "chapter", "line", F.transform("r", lambda x: x["h"]).alias("h"), F.transform("r", lambda x: x["df"]).alias("d")), "lines")
+    g = grams(units.drop("d"), 3)
+    gdf = g.groupBy("gram", "unit").agg(F.lit(1)).groupBy("gram").agg(F.count("*").alias("gdf"))
+    g = cut(g.join(gdf, "gram"), "grams")
+    spread = g.groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.least("gdf", F.lit(cap + 1)).alias("k")))), lambda x: x["k"]).alias("k"))
+    left = cut(units.select("unit", "h", "d").join(spread, "unit"), "spread")  # units without a gram have no run
+    live = g.where(F.col("gdf").between(2, cap))
     x = live.select("gram", F.col("unit").alias("a"), F.col("pos").alias("pa"), F.col("chapter").alias("ca"), F.col("line").alias("la"))
     y = live.select("gram", F.col("unit").alias("b"), F.col("pos").alias("pb"), F.col("chapter").alias("cb"), F.col("line").alias("lb"))
     hits = x.join(y, "gram").where((F.col("a") < F.col("b")) & ~((F.col("ca") == F.col("cb")) & (F.abs(F.col("la") - F.col("lb")) <= near)))
-    hits = hits.select("a", "b", (F.col("pb") - F.col("pa")).alias("diag"), "pa").distinct()
-    isles = _extend(hits.select("a", "b", "diag").distinct(), words, words).where("len >= 3")
-    isles = isles.join(hits, ["a", "b", "diag"]).where("pa >= start and pa <= start + len - 3").select("a", "b", "diag", "start", "len").distinct()
-    held = run_words(isles, words).join(df, "w").groupBy("a", "b", "diag", "start", "len").agg(F.min("df").alias("least"), F.max("df").alias("most"))
-    gw = g.join(gdf, "gram").select(F.col("unit").alias("a"), F.col("pos").alias("pa"), F.least("gdf", F.lit(cap + 1)).alias("gdf"))
-    spread = isles.join(gw, "a").where("pa >= start and pa <= start + len - 3").groupBy("a", "b", "diag", "start", "len").agg(F.max("gdf").alias("widest"))
-    keys = ["a", "b", "diag", "start", "len"]
-    long_ = (F.col("len") >= 4) & ((F.col("least") <= distinctive) | ((F.col("least") <= 2 * distinctive) & (F.col("widest") <= phrase)))
-    short = (F.col("len") == 3) & ((F.col("most") <= rare) | ((F.col("least") <= rare) & (F.col("widest") <= echo)))
-    best = best_per_pair(held.join(spread, keys).where(long_ | short).select(*keys))
-    tier = F.when(F.col("len") >= 5, "parallel").when(F.col("len") == 4, "allusion").otherwise("echo")
-    return best.select("a", "b", F.col("start").alias("start_a"), (F.col("start") + F.col("diag")).alias("start_b"), "len", tier.alias("tier"))
+    both = _on_diagonals(_pairs(hits.select("a", "b", (F.col("pb") - F.col("pa")).alias("diag"))), left, units.select("unit", "h"))
+
+    def fits(run: Column) -> Column:
+        words, inside = F.slice("d", run["start"] + 1, run["len"]), F.slice("k", run["start"] + 1, run["len"] - 2)
+        least, widest = F.array_min(words), F.array_max(inside)
+        long_ = (run["len"] >= 4) & ((least <= distinctive) | ((least <= 2 * distinctive) & (widest <= phrase)))
+        short = (run["len"] == 3) & ((F.array_max(words) <= rare) | ((least <= rare) & (widest <= echo)))
+        return (F.array_min(inside) <= cap) & (long_ | short)
+
+    kept = F.filter(F.filter("runs", lambda r: r["len"] >= 3), fits)
+    # the longest; of equal ones the first, then that on the lowest diagonal
+    best = F.array_max(F.transform(kept, lambda r: F.struct(r["len"].alias("len"), (-r["start"]).alias("back"), (-r["diag"]).alias("turn"))))
+    found = both.select("a", "b", best.alias("r")).where("r is not null").select("a", "b", F.col("r.len").cast("long").alias("len"), (1 - F.col("r.back")).cast("long").alias("start_a"), (-F.col("r.turn")).alias("diag"))
+    return found.select("a", "b", "start_a", (F.col("start_a") + F.col("diag")).alias("start_b"), "len", tier_of("len").alias("tier"))
 
 
 def chains(pairs: DataFrame) -> DataFrame:
     """Merge pairs into diagonal chains: a pair goes on where a chain ends one or two units before it on both sides.
 
-    pairs has book_a, book_b, oa, ob (ordinals) and len. The fold depends on order, so each pair of books is one group;
-    chains never cross books.
+    pairs has book_a, book_b, oa, ob (ordinals) and len. A chain has the longest run and the highest tier of its pairs. The
+    fold depends on order, so each pair of books is one group; chains never cross books.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -154,4 +201,5 @@ def chains(pairs: DataFrame) -> DataFrame:
         out = pd.DataFrame(rows, columns=["a_start", "a_end", "b_start", "b_end", "len", "n_pairs"])
         return out.assign(book_a=pdf["book_a"].iloc[0], book_b=pdf["book_b"].iloc[0])[["book_a", "book_b", "a_start", "a_end", "b_start", "b_end", "len", "n_pairs"]]
 
-    return pairs.groupBy("book_a", "book_b").applyInPandas(fold, "book_a int, book_b int, a_start long, a_end long, b_start long, b_end long, len long, n_pairs long")
+    merged = pairs.groupBy("book_a", "book_b").applyInPandas(fold, "book_a int, book_b int, a_start long, a_end long, b_start long, b_end long, len long, n_pairs long")
+    return merged.withColumn("tier", tier_of("len"))

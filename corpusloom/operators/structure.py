@@ -31,8 +31,9 @@ def effective_mask(mask: str, default: str, every: int) -> Column:
     return F.when((F.col(mask) == 0) & F.col(default), F.lit(every)).otherwise(F.col(mask))
 
 
-def edition_names(mask: str, names: list[str]) -> Column:
-    return F.array_join(F.array_compact(F.array(*[F.when(F.col(mask).bitwiseAND(1 << i) != 0, n) for i, n in enumerate(names)])), ",")
+def edition_names(mask: str, names: list[str | None]) -> Column:
+    """Names of the set bits, joined by commas; bits without a name aren't shown."""
+    return F.array_join(F.array_compact(F.array(*[F.when(F.col(mask).bitwiseAND(1 << i) != 0, n) for i, n in enumerate(names) if n])), ",")
 
 
 def reconstruct(words: DataFrame, unit: str, first_part_langs: tuple[str, ...] = ("G",)) -> DataFrame:
@@ -43,13 +44,16 @@ def reconstruct(words: DataFrame, unit: str, first_part_langs: tuple[str, ...] =
 
 
 def edition_texts(words: DataFrame, unit: str, bits: int) -> DataFrame:
-    """(unit, text, editions): editions with the same text grouped. If an edition has several surfaces in a slot, the one shared least counts."""
+    """(unit, text, editions): editions with the same text grouped, those that omit the unit under an empty text. If an
+    edition has several surfaces in a slot, the one shared least counts."""
     names = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.getbit("editions", i) == 1)
-    each = words.withColumn("edition", F.explode(names))
+    each = words.withColumn("edition", F.explode_outer(names))
     slot = Window.partitionBy(unit, "word_num", "edition")
     ranked = each.withColumn("k", F.row_number().over(slot.orderBy(F.bit_count("editions"), "surface"))).where("k = 1")
     text = ranked.groupBy(unit, "edition").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_num", "surface"))), lambda x: x["surface"]), " ").alias("text"))
-    return text.groupBy(unit, "text").agg(F.array_join(F.array_sort(F.collect_list("edition")), ",").alias("editions"))
+    known = text.groupBy(unit).agg(F.map_from_entries(F.collect_list(F.when(F.col("edition").isNotNull(), F.struct("edition", "text")))).alias("known"))
+    every = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.coalesce(F.try_element_at("known", i), F.lit("")))).alias("edition", "text")
+    return known.select(unit, every).groupBy(unit, "text").agg(F.array_join(F.array_sort(F.collect_list("edition")), ",").alias("editions"))
 
 
 def disputed(words: DataFrame, unit: str, every: int) -> DataFrame:

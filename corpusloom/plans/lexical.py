@@ -62,28 +62,28 @@ def cooccur_chapter_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """p AS (SELECT lemma, count(*)::BIGINT AS in_passage FROM words WHERE verse_id BETWEEN 6001 AND 6012 GROUP BY lemma),
+    """p AS (SELECT lemma, count(*)::BIGINT AS in_passage FROM words WHERE verse_id BETWEEN 6000001 AND 6000012 GROUP BY lemma),
 c AS (SELECT lemma, count(*)::BIGINT AS corpus FROM words GROUP BY lemma)
 SELECT lemma, in_passage, corpus FROM p JOIN c USING (lemma) ORDER BY corpus, in_passage DESC, lemma LIMIT 30""",
     "words",
 )
 def cooccur_profile_rarest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.rarest_in(words(spark, sf_dir), F.col("verse_id").between(6_001, 6_012), 30)
+    return lexical.rarest_in(words(spark, sf_dir), F.col("verse_id").between(6_000_001, 6_000_012), 30)
 
 
 SIMILAR_SQL = """f AS (SELECT lemma, count(*) AS freq FROM words WHERE lemma IN (SELECT lemma FROM terms) GROUP BY lemma HAVING count(*) BETWEEN 1 AND 400),
 s AS (SELECT verse_id, count(*)::BIGINT AS shared, sum(round(1 / ln(freq + 2), 6)::DECIMAL(18, 6))::DOUBLE AS score
-  FROM (SELECT DISTINCT verse_id, lemma, freq FROM words JOIN f USING (lemma) WHERE verse_id NOT BETWEEN 6001 AND 6012) GROUP BY verse_id)
+  FROM (SELECT DISTINCT verse_id, lemma, freq FROM words JOIN f USING (lemma) WHERE verse_id NOT BETWEEN 6000001 AND 6000012) GROUP BY verse_id)
 SELECT verse_id, shared, score FROM s WHERE shared >= 2 ORDER BY score DESC, verse_id LIMIT 15"""
 
 
-@query("terms AS (SELECT DISTINCT lemma FROM words WHERE verse_id BETWEEN 6001 AND 6012), " + SIMILAR_SQL, "words")
+@query("terms AS (SELECT DISTINCT lemma FROM words WHERE verse_id BETWEEN 6000001 AND 6000012), " + SIMILAR_SQL, "words")
 def similar_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.similar(words(spark, sf_dir), 6_001, 6_012)
+    return lexical.similar(words(spark, sf_dir), 6_000_001, 6_000_012)
 
 
 @query(
-    """own AS (SELECT DISTINCT lemma FROM words WHERE verse_id BETWEEN 6001 AND 6012),
+    """own AS (SELECT DISTINCT lemma FROM words WHERE verse_id BETWEEN 6000001 AND 6000012),
 links AS (SELECT DISTINCT lemma AS a, 're' || lemma AS b FROM words),
 terms AS (SELECT lemma FROM own UNION SELECT b FROM links JOIN own ON a = lemma UNION SELECT a FROM links JOIN own ON b = lemma), """
     + SIMILAR_SQL,
@@ -91,10 +91,10 @@ terms AS (SELECT lemma FROM own UNION SELECT b FROM links JOIN own ON a = lemma
 )
 def similar_bridged(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = words(spark, sf_dir)
-    own = w.where(F.col("verse_id").between(6_001, 6_012)).select("lemma").distinct()
+    own = w.where(F.col("verse_id").between(6_000_001, 6_000_012)).select("lemma").distinct()
     links = w.select(F.col("lemma").alias("a"), F.concat(F.lit("re"), "lemma").alias("b")).distinct()
     across = links.join(own, links["a"] == own["lemma"], "left_semi").select(F.col("b").alias("lemma")).union(links.join(own, links["b"] == own["lemma"], "left_semi").select("a"))
-    return lexical.similar(w, 6_001, 6_012, terms=own.union(across).distinct())
+    return lexical.similar(w, 6_000_001, 6_000_012, terms=own.union(across).distinct())
 
 
 @query(
@@ -219,9 +219,9 @@ def attributes(w: DataFrame) -> DataFrame:
     return w.withColumns({"size": F.length("surface").cast("long"), "shape": shape, "ending": F.right(F.col("lemma"), F.lit(2))})
 
 
-@query(MORPH_SQL + " SELECT verse_id, word_num, surface, size, shape, ending, concat_ws(' ', shape, ending, CASE WHEN size > 9 THEN 'long' END) AS summary FROM m WHERE verse_id BETWEEN 8008 AND 8017", "words")
+@query(MORPH_SQL + " SELECT verse_id, word_num, surface, size, shape, ending, concat_ws(' ', shape, ending, CASE WHEN size > 9 THEN 'long' END) AS summary FROM m WHERE verse_id BETWEEN 8000008 AND 8000017", "words")
 def morph_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = attributes(words(spark, sf_dir)).where(F.col("verse_id").between(8_008, 8_017))
+    m = attributes(words(spark, sf_dir, [(8_000_008, 8_000_017)])).where(F.col("verse_id").between(8_000_008, 8_000_017))
     return m.select("verse_id", "word_num", "surface", "size", "shape", "ending", F.concat_ws(" ", "shape", "ending", F.when(F.col("size") > 9, "long")).alias("summary"))
 
 

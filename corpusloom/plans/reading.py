@@ -7,31 +7,33 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval
 from corpusloom.plans.registry import query
-from corpusloom.tables import table, verses, words
+from corpusloom.tables import LINES, documents, lines_of, table, verses, words
 
 #: The interval the passage queries read: lines 8 to 12 of document 8.
-START, END = 8_008, 8_012
+START, END = 8_000_008, 8_000_012
 
 
-@query("SELECT verse_id, book_num, text FROM verses WHERE verse_id BETWEEN 8008 AND 8012 OR (bridge_end IS NOT NULL AND verse_id < 8008 AND bridge_end >= 8008)", "verses")
+@query("SELECT verse_id, book_num, text FROM verses WHERE verse_id BETWEEN 8000008 AND 8000012 OR (bridge_end IS NOT NULL AND verse_id < 8000008 AND bridge_end >= 8000008)", "verses")
 def passage_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.passage(verses(spark, sf_dir), START, END).select("verse_id", "book_num", "text")
+    return retrieval.passage(verses(spark, sf_dir, [(START, END)]), START, END).select("verse_id", "book_num", "text")
 
 
-@query("SELECT verse_id, text FROM verses WHERE verse_id BETWEEN 1000 AND 3999 OR verse_id BETWEEN 40000 AND 41999", "verses")
+@query("SELECT verse_id, text FROM verses WHERE verse_id BETWEEN 1000000 AND 3999999 OR verse_id BETWEEN 40000000 AND 41999999", "verses")
 def passage_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verses(spark, sf_dir).where(retrieval.in_scope("verse_id", [(1_000, 3_999), (40_000, 41_999)])).select("verse_id", "text")
+    scope = [(1_000_000, 3_999_999), (40_000_000, 41_999_999)]
+    return verses(spark, sf_dir, scope).where(retrieval.in_scope("verse_id", scope)).select("verse_id", "text")
 
 
 @query(
-    """same AS (SELECT * FROM verses WHERE book_num = (SELECT min(book_num) FROM verses WHERE verse_id BETWEEN 8008 AND 8012))
+    """same AS (SELECT * FROM verses WHERE book_num = (SELECT min(book_num) FROM verses WHERE verse_id BETWEEN 8000008 AND 8000012))
 SELECT verse_id, side FROM (
-  (SELECT verse_id, 'before' AS side FROM same WHERE verse_id < 8008 ORDER BY verse_id DESC LIMIT 3)
-  UNION ALL (SELECT verse_id, 'after' AS side FROM same WHERE verse_id > 8012 ORDER BY verse_id LIMIT 3))""",
+  (SELECT verse_id, 'before' AS side FROM same WHERE verse_id < 8000008 ORDER BY verse_id DESC LIMIT 3)
+  UNION ALL (SELECT verse_id, 'after' AS side FROM same WHERE verse_id > 8000012 ORDER BY verse_id LIMIT 3))""",
     "verses",
 )
 def context_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.neighbours(verses(spark, sf_dir), START, END, 3).select("verse_id", "side")
+    near = retrieval.neighbouring_documents(documents(spark, sf_dir), "source", START // LINES, END // LINES, 3)
+    return retrieval.neighbours(lines_of(near), START, END, 3).select("verse_id", "side")
 
 
 @query(
@@ -42,9 +44,9 @@ def compare_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.compare(table(spark, sf_dir, "conversations"), "conv_id", "role", ["user", "assistant", "system"])
 
 
-@query("SELECT verse_id, word_num, surface, lemma FROM words WHERE verse_id BETWEEN 8008 AND 8037", "words")
+@query("SELECT verse_id, word_num, surface, lemma FROM words WHERE verse_id BETWEEN 8000008 AND 8000037", "words")
 def interlinear_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words(spark, sf_dir).where(F.col("verse_id").between(8_008, 8_037)).select("verse_id", "word_num", "surface", "lemma")
+    return words(spark, sf_dir, [(8_000_008, 8_000_037)]).where(F.col("verse_id").between(8_000_008, 8_000_037)).select("verse_id", "word_num", "surface", "lemma")
 
 
 @query(

@@ -12,8 +12,8 @@ ORACLES: dict[str, str] = {}
 #: The corpus model in DuckDB SQL: what corpusloom.tables builds.
 VERSES_SQL = r"""
 lines AS (SELECT doc_id, lang, source, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-verses AS (SELECT doc_id * 1000 + verse AS verse_id, doc_id, substr(source, 4)::INT + 1 AS book_num, verse, lang, text,
-                  CASE WHEN verse % 7 = 0 THEN doc_id * 1000 + verse + 1 END AS bridge_end
+verses AS (SELECT doc_id * 1000000 + verse AS verse_id, doc_id, substr(source, 4)::INT + 1 AS book_num, verse, lang, text,
+                  CASE WHEN verse % 7 = 0 THEN doc_id * 1000000 + verse + 1 END AS bridge_end
            FROM (SELECT doc_id, lang, source, unnest(range(1, len(l) + 1)) AS verse, unnest(l) AS text FROM lines))"""
 WORDS_SQL = VERSES_SQL + r""",
 words AS (SELECT verse_id, doc_id, book_num, verse, lang, word_num, surface, lower(surface) AS lemma

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import positional, reuse
 from corpusloom.plans.registry import query
-from corpusloom.tables import WORD, table, words
+from corpusloom.tables import LINES, book_of, sequences, table, verses, words
 
 
 @query("SELECT a.verse_id, a.book_num, a.word_num AS start FROM words a JOIN words b ON a.verse_id = b.verse_id AND b.word_num = a.word_num + 1 WHERE a.lemma = 'of' AND b.lemma = 'the'", "words")
@@ -39,9 +41,8 @@ def pattern_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def units(df: DataFrame, key: str) -> DataFrame:
-    """(unit, pos, w): the lower-cased words of each row's text."""
-    found = df.where("text is not null").select(F.col(key).alias("unit"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("pos", "w"))
-    return found.select("unit", F.col("pos").cast("long").alias("pos"), "w")
+    """(unit, ws): the lower-cased words of each row's text."""
+    return sequences(df.where("text is not null").select(F.col(key).alias("unit"), "text"))
 
 
 UNITS_SQL = r"""WITH d AS (SELECT unit, unnest(range(len(k))) AS pos, unnest(k) AS w FROM (SELECT doc_id AS unit, regexp_extract_all(lower(text), '\p{L}+') AS k FROM documents)),
@@ -97,25 +98,36 @@ def quotes_lemma_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse.lemma_links(*sides(spark, sf_dir))
 
 
-@query()
+def _renamed(sql: str, names: str, mark: str) -> str:
+    """SQL with the names of its table expressions marked, so that two sets of them can stand side by side."""
+    return re.sub(rf"\b({'|'.join(names.split())})\b", lambda m: m[1] + mark, sql)
+
+
+_RUN_TABLES = "dg qg live hits diags cells isles runs best rare"
+MERGED_SQL = (
+    UNITS_SQL + _renamed(runs_sql(4, 40), _RUN_TABLES, "4") + _renamed(runs_sql(3, 12), _RUN_TABLES, "3")
+    + """, s AS (SELECT a, b, len::BIGINT AS len, CASE WHEN len >= 5 THEN 'quotation' ELSE 'allusion' END AS tier FROM best4 LEFT JOIN rare4 USING (a, b) WHERE len >= 5 OR least <= 300),
+l AS (SELECT a, b, len::BIGINT AS len, CASE WHEN len >= 4 THEN 'allusion' ELSE 'echo' END AS tier FROM best3 LEFT JOIN rare3 USING (a, b) WHERE len >= 4 OR least <= 150)
+SELECT a, b, len, tier FROM (SELECT *, 0 AS late FROM s UNION ALL SELECT *, 1 AS late FROM l)
+QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY CASE tier WHEN 'quotation' THEN 0 WHEN 'allusion' THEN 1 ELSE 2 END, len DESC, late) = 1"""
+)
+
+
+@query(MERGED_SQL)
 def quotes_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surface links and lemma links in one table; tests check the replacement rule."""
+    """Surface links and lemma links in one table."""
     left, right = sides(spark, sf_dir)
     return reuse.merge_tiers(reuse.quotes(left, right), reuse.lemma_links(left, right))
 
 
-def line_words(spark: SparkSession, sf_dir: str, last_book: int | None = None) -> DataFrame:
-    """The words by line, of the sources up to last_book or of all."""
-    w = words(spark, sf_dir)
-    if last_book is not None:
-        w = w.where(F.col("book_num") <= last_book)
-    return w.select(F.col("verse_id").alias("unit"), F.col("doc_id").alias("chapter"), F.col("verse").alias("line"), F.col("word_num").alias("pos"), F.col("lemma").alias("w"))
+def line_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every line, in order."""
+    lines = verses(spark, sf_dir).select(F.col("verse_id").alias("unit"), F.col("doc_id").alias("chapter"), F.col("verse").alias("line"), "text")
+    return sequences(lines)
 
 
-#: PARALLEL_SQL covers the first four sources, and so do the queries beside it.
-SQL_BOOKS = 4
-PARALLEL_SQL = """u AS (SELECT verse_id AS unit, doc_id AS chapter, verse AS line, word_num AS pos, lemma AS w FROM words WHERE book_num <= 4),
-g AS (SELECT unit, chapter, line, pos, [w, lead(w) OVER l, lead(w, 2) OVER l] AS g FROM u WINDOW l AS (PARTITION BY unit ORDER BY pos) QUALIFY lead(w, 2) OVER l IS NOT NULL),
+PARALLEL_SQL = """u AS (SELECT verse_id AS unit, doc_id AS chapter, verse AS line, word_num AS pos, lemma AS w FROM words),
+g AS (SELECT unit, chapter, line, pos, hash(w, lead(w) OVER l, lead(w, 2) OVER l) AS g FROM u WINDOW l AS (PARTITION BY unit ORDER BY pos) QUALIFY lead(w, 2) OVER l IS NOT NULL),
 gdf AS (SELECT g, count(DISTINCT unit) AS gdf FROM g GROUP BY g), df AS (SELECT w, count(DISTINCT unit) AS df FROM u GROUP BY w),
 live AS (SELECT g.* FROM g JOIN gdf USING (g) WHERE gdf <= 200),
 hits AS (SELECT DISTINCT x.unit AS a, y.unit AS b, y.pos - x.pos AS diag, x.pos AS pa FROM live x JOIN live y ON x.g = y.g AND x.unit < y.unit AND NOT (x.chapter = y.chapter AND abs(x.line - y.line) <= 2)),
@@ -123,28 +135,33 @@ cells AS (SELECT a, b, diag, x.pos AS pa, x.pos - row_number() OVER (PARTITION B
   FROM (SELECT DISTINCT a, b, diag FROM hits) JOIN u x ON x.unit = a JOIN u y ON y.unit = b AND y.pos = x.pos + diag AND y.w = x.w),
 isles AS (SELECT a, b, diag, min(pa) AS start, count(*) AS len FROM cells GROUP BY a, b, diag, isle HAVING count(*) >= 3),
 ok AS (SELECT DISTINCT i.* FROM isles i JOIN hits USING (a, b, diag) WHERE pa BETWEEN start AND start + len - 3),
-m AS (SELECT ok.*, (SELECT min(df) FROM u JOIN df USING (w) WHERE unit = ok.a AND pos BETWEEN ok.start AND ok.start + ok.len - 1) AS least,
-  (SELECT max(df) FROM u JOIN df USING (w) WHERE unit = ok.a AND pos BETWEEN ok.start AND ok.start + ok.len - 1) AS most,
-  (SELECT max(least(gdf, 201)) FROM g JOIN gdf USING (g) WHERE unit = ok.a AND pos BETWEEN ok.start AND ok.start + ok.len - 3) AS widest FROM ok),
+stretch AS (SELECT DISTINCT a, start, len FROM ok),
+wd AS (SELECT unit, pos, df FROM u JOIN df USING (w)), gd AS (SELECT unit, pos, least(gdf, 201) AS gdf FROM g JOIN gdf USING (g)),
+mw AS (SELECT a, start, len, min(df) AS least, max(df) AS most FROM stretch JOIN wd ON unit = a AND pos BETWEEN start AND start + len - 1 GROUP BY ALL),
+mg AS (SELECT a, start, len, max(gdf) AS widest FROM stretch JOIN gd ON unit = a AND pos BETWEEN start AND start + len - 3 GROUP BY ALL),
+m AS (SELECT * FROM ok JOIN mw USING (a, start, len) JOIN mg USING (a, start, len)),
 best AS (SELECT * FROM m WHERE (len >= 4 AND (least <= 300 OR (least <= 600 AND widest <= 25))) OR (len = 3 AND (most <= 50 OR (least <= 50 AND widest <= 5)))
   QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY len DESC, start, diag) = 1)"""
 
 
 @query(PARALLEL_SQL + " SELECT a, b, start AS start_a, start + diag AS start_b, len::BIGINT AS len, CASE WHEN len >= 5 THEN 'parallel' WHEN len = 4 THEN 'allusion' ELSE 'echo' END AS tier FROM best", "words")
 def parallels_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reuse.parallels(line_words(spark, sf_dir, SQL_BOOKS))
+    return reuse.parallels(line_sequences(spark, sf_dir))
 
 
-@query(PARALLEL_SQL + " SELECT a, b, len::BIGINT AS len FROM best WHERE len >= 8 AND (a BETWEEN 0 AND 200000 OR b BETWEEN 0 AND 200000) ORDER BY len DESC, a, b LIMIT 15", "words")
+@query(PARALLEL_SQL + " SELECT a, b, len::BIGINT AS len FROM best WHERE len >= 8 AND (a BETWEEN 0 AND 200000000 OR b BETWEEN 0 AND 200000000) ORDER BY len DESC, a, b LIMIT 15", "words")
 def parallels_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The read side: overlap of either side with the scope, long runs first."""
-    p = reuse.parallels(line_words(spark, sf_dir, SQL_BOOKS)).where((F.col("len") >= 8) & (F.col("a").between(0, 200_000) | F.col("b").between(0, 200_000)))
+    p = reuse.parallels(line_sequences(spark, sf_dir)).where((F.col("len") >= 8) & (F.col("a").between(0, 200_000_000) | F.col("b").between(0, 200_000_000)))
     return p.orderBy(F.desc("len"), "a", "b").limit(15).select("a", "b", "len")
 
 
 @query()
 def parallels_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent merge of neighbouring pairs; tests compare it with hand-made chains."""
-    p = reuse.parallels(line_words(spark, sf_dir))
-    book = lambda c: ((F.floor(F.col(c) / 1000)) % 20 + 1).cast("int")
-    return reuse.chains(p.select(book("a").alias("book_a"), book("b").alias("book_b"), F.col("a").alias("oa"), F.col("b").alias("ob"), "len"))
+    """Order-dependent merge of neighbouring pairs; tests compare it with a plain fold."""
+    p = reuse.parallels(line_sequences(spark, sf_dir))
+    books = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.min(book_of("source")).alias("book"))
+    for side in "ab":
+        one = books.select(F.col("doc_id").alias(f"doc_{side}"), F.col("book").alias(f"book_{side}"))
+        p = p.withColumn(f"doc_{side}", F.expr(f"{side} div {LINES}")).join(one, f"doc_{side}")
+    return reuse.chains(p.select("book_a", "book_b", F.col("a").alias("oa"), F.col("b").alias("ob"), "len"))

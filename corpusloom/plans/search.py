@@ -50,9 +50,9 @@ def search_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir, "NEAR(thing are, 4)").select("verse_id")
 
 
-@query(TOKENS_SQL + " SELECT count(DISTINCT verse_id)::BIGINT AS matching_verses, count(*)::BIGINT AS hits FROM t WHERE list_contains(k, 'qui') AND lang IN ('fr', 'es') AND (verse_id BETWEEN 0 AND 400000)", "verses")
+@query(TOKENS_SQL + " SELECT count(DISTINCT verse_id)::BIGINT AS matching_verses, count(*)::BIGINT AS hits FROM t WHERE list_contains(k, 'qui') AND lang IN ('fr', 'es') AND (verse_id BETWEEN 0 AND 400000000)", "verses")
 def search_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits(spark, sf_dir, "qui").where(F.col("lang").isin("fr", "es") & retrieval.in_scope("verse_id", [(0, 400_000)]))
+    found = hits(spark, sf_dir, "qui").where(F.col("lang").isin("fr", "es") & retrieval.in_scope("verse_id", [(0, 400_000_000)]))
     return found.agg(F.countDistinct("verse_id").alias("matching_verses"), F.count("*").alias("hits"))
 
 

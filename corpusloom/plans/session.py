@@ -12,13 +12,13 @@ from corpusloom.tables import table, verses, words
 
 @query(
     """c AS (SELECT doc_id, min(verse_id) AS s, max(verse_id) AS e FROM verses GROUP BY doc_id),
-w(lo, hi) AS (VALUES (2003, 9999), (40000, 42004))
+w(lo, hi) AS (VALUES (2000003, 9999999), (40000000, 42000004))
 SELECT (row_number() OVER (ORDER BY greatest(s, lo), least(e, hi)) - 1)::INT AS unit, greatest(s, lo) AS start, least(e, hi) AS "end" FROM c, w WHERE s <= hi AND e >= lo""",
     "verses",
 )
 def study_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     chapters = verses(spark, sf_dir).groupBy("doc_id").agg(F.min("verse_id").alias("start"), F.max("verse_id").alias("end"))
-    return session.units(chapters, [(2_003, 9_999), (40_000, 42_004)])
+    return session.units(chapters, [(2_000_003, 9_999_999), (40_000_000, 42_000_004)])
 
 
 @query(
@@ -37,21 +37,21 @@ def study_coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.coverage(units, reads, ["user_id"])
 
 
-NOTES = [(1, 11_002), (1, 11_003), (2, 6_004), (3, 12_002), (3, 13_002), (4, 20_001)]
+NOTES = [(1, 11_000_002), (1, 11_000_003), (2, 6_000_004), (3, 12_000_002), (3, 13_000_002), (4, 20_000_001)]
 
 
 @query(
-    """notes(note_id, ref) AS (VALUES (1, 11002), (1, 11003), (2, 6004), (3, 12002), (3, 13002), (4, 20001)),
-n AS (SELECT * FROM notes WHERE note_id NOT IN (SELECT note_id FROM notes WHERE ref BETWEEN 6001 AND 6012)),
+    """notes(note_id, ref) AS (VALUES (1, 11000002), (1, 11000003), (2, 6000004), (3, 12000002), (3, 13000002), (4, 20000001)),
+n AS (SELECT * FROM notes WHERE note_id NOT IN (SELECT note_id FROM notes WHERE ref BETWEEN 6000001 AND 6000012)),
 l AS (SELECT DISTINCT note_id, lemma FROM n JOIN words ON verse_id = ref),
 f AS (SELECT lemma, count(*) AS freq FROM words GROUP BY lemma HAVING count(*) <= 300),
 k AS (SELECT note_id, lemma FROM l JOIN f USING (lemma) QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY freq, lemma) <= 64),
-h AS (SELECT DISTINCT verse_id, lemma FROM words WHERE verse_id BETWEEN 6001 AND 6012)
+h AS (SELECT DISTINCT verse_id, lemma FROM words WHERE verse_id BETWEEN 6000001 AND 6000012)
 SELECT note_id, count(DISTINCT lemma)::BIGINT AS shared, array_to_string(list_sort(list(DISTINCT verse_id)), ',') AS locations FROM k JOIN h USING (lemma) GROUP BY note_id HAVING count(DISTINCT lemma) >= 2""",
     "words",
 )
 def study_recurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session.recurrences(spark.createDataFrame(NOTES, "note_id int, ref long"), words(spark, sf_dir), 6_001, 6_012)
+    return session.recurrences(spark.createDataFrame(NOTES, "note_id int, ref long"), words(spark, sf_dir), 6_000_001, 6_000_012)
 
 
 @query(

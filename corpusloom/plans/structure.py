@@ -59,11 +59,17 @@ def variants_disputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.crossJoin(F.broadcast(every)).where("mask <> 0 and bit_count(mask) < bit_count(every)").select("user_id", "mask")  # one row
 
 
-@query(MASK_SQL + " SELECT user_id, CASE WHEN (mask & 1) <> 0 THEN 'click,' ELSE '' END || CASE WHEN (mask & 8) <> 0 THEN 'purchase,' ELSE '' END AS names FROM m WHERE (mask & 9) <> 0 AND n >= 3")
+@query(MASK_SQL + " SELECT user_id, rtrim(CASE WHEN (mask & 1) <> 0 THEN 'click,' ELSE '' END || CASE WHEN (mask & 8) <> 0 THEN 'purchase,' ELSE '' END, ',') AS names FROM m WHERE (mask & 9) <> 0 AND n >= 3")
 def edition_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = masks(spark, sf_dir).where(structure.in_edition("mask", 9) & (F.col("n") >= 3))
-    named = structure.edition_names("mask", ["click", "", "", "purchase"])
-    return m.select("user_id", F.concat(*[F.when(structure.in_edition("mask", b), n + ",").otherwise("") for b, n in ((1, "click"), (8, "purchase"))]).alias("names"), named.alias("all_")).drop("all_")
+    return m.select("user_id", structure.edition_names("mask", ["click", None, None, "purchase"]).alias("names"))
+
+
+@query(MASK_SQL + " SELECT user_id, CASE WHEN mask & 31 = 0 AND n > 1 THEN 31 ELSE mask & 31 END AS mask FROM m")
+def edition_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users without any named kind count as in all of them, if they are busy."""
+    m = masks(spark, sf_dir).select("user_id", F.col("mask").bitwiseAND(31).alias("mask"), (F.col("n") > 1).alias("busy"))
+    return m.select("user_id", structure.effective_mask("mask", "busy", 31).alias("mask"))
 
 
 PARTS_SQL = r"""p AS (SELECT doc_id, word_num, unnest(range(1, len(s) + 1)) AS part_num, unnest(s) AS surface, lang
@@ -92,7 +98,8 @@ def original_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT doc_id, word_num, lemma || 'x', 5 FROM words WHERE verse = 1 AND word_num % 5 = 0),
 x AS (SELECT doc_id, word_num, surface, i::INT AS edition, editions FROM e, (SELECT unnest([0, 1, 2]) AS i) WHERE (editions >> i) & 1 = 1),
 r AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY doc_id, word_num, edition ORDER BY bit_count(editions), surface) = 1),
-t AS (SELECT doc_id, edition, string_agg(surface, ' ' ORDER BY word_num) AS text FROM r GROUP BY ALL)
+s AS (SELECT doc_id, edition, string_agg(surface, ' ' ORDER BY word_num) AS text FROM r GROUP BY ALL),
+t AS (SELECT d.doc_id, n.i AS edition, coalesce(s.text, '') AS text FROM (SELECT DISTINCT doc_id FROM e) d CROSS JOIN (SELECT unnest([0, 1, 2])::INT AS i) n LEFT JOIN s ON s.doc_id = d.doc_id AND s.edition = n.i)
 SELECT doc_id, text, string_agg(edition::VARCHAR, ',' ORDER BY edition) AS editions FROM t GROUP BY doc_id, text""",
     "words",
 )

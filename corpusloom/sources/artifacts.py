@@ -23,9 +23,9 @@ def open_artifact(spark: SparkSession, path: str, tables: list[str], prefix: str
 
 
 def attach_optional(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
-    """A user's own table; if it is missing or unreadable, an empty one of that schema."""
+    """A user's own table; if it is missing, an empty one of that schema. Files that can't be read count as empty."""
     try:
-        return spark.read.schema(schema).parquet(f"{path}/{table}")
+        return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(f"{path}/{table}")
     except AnalysisException:
         return spark.createDataFrame([], schema)
 

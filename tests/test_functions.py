@@ -69,6 +69,11 @@ def test_usfm():
     assert book == "GEN" and [(v.chapter, v.verse, v.end_verse, v.text) for v in verses] == [(1, 0, None, "A song"), (1, 1, None, "one two"), (1, 2, 3, "three"), (1, 4, None, "four"), (2, 1, None, "five")]
 
 
+def test_usfm_parts_and_punctuation():
+    _, verses = markup.parse_usfm("\\id GEN\n\\c 1\n\\v 3a In the beginning , yes\n\\v 4 a start (or so )\n\\v 5-6b end\n\\v 7 amen ; .")
+    assert [(v.verse, v.end_verse, v.text) for v in verses] == [(3, None, "In the beginning, yes"), (4, None, "a start (or so)"), (5, 6, "end"), (7, None, "amen;.")]
+
+
 @pytest.mark.parametrize(("word", "stem"), [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflat"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("triplicate", "triplic"), ("revival", "reviv"), ("adoption", "adopt"), ("probate", "probat"), ("controll", "control"), ("rate", "rate"), ("été", "été")])
 def test_porter(word, stem):
     assert search.stem(word) == stem

@@ -62,7 +62,7 @@ def brute_runs(left, right, n, cap):
 
 
 def units_df(spark, texts):
-    return spark.createDataFrame([(u, i, w) for u, ws in texts.items() for i, w in enumerate(ws)], "unit long, pos long, w string")
+    return spark.createDataFrame(list(texts.items()), "unit long, ws array<string>")
 
 
 def test_cross_runs_equal_direct_extension(spark):
@@ -83,13 +83,55 @@ def test_tiers_replace_each_other(spark):
 def test_parallels_gate(spark):
     rare, common = "p q r s".split(), "x y z".split()
     texts = {1: rare + common, 2: ["k"] + rare, 5: common + ["m"], 1001: rare[:3]}
-    rows = [(u, u // 1000, u % 1000, i, w) for u, ws in texts.items() for i, w in enumerate(ws)]
-    df = spark.createDataFrame(rows, "unit long, chapter long, line long, pos long, w string")
+    df = spark.createDataFrame([(u, u // 1000, u % 1000, ws) for u, ws in texts.items()], "unit long, chapter long, line long, ws array<string>")
     got = {(r.a, r.b): (r.len, r.tier) for r in reuse.parallels(df, rare=2, phrase=1, echo=1).collect()}
     assert got == {(1, 5): (3, "echo")}
     assert reuse.parallels(df, rare=3).where("a = 1 and b = 1001").first().tier == "echo" and (1, 2) not in got
 
 
+def brute_parallels(texts, near, distinctive, cap, rare, phrase, echo):
+    """All diagonals of all pairs, run by run; texts has (chapter, line) -> words."""
+    units = list(texts)
+    grams = lambda ws: [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
+    df, gdf = {}, {}
+    for ws in texts.values():
+        for w in set(ws):
+            df[w] = df.get(w, 0) + 1
+        for g in set(grams(ws)):
+            gdf[g] = gdf.get(g, 0) + 1
+    out = {}
+    for a, b in itertools.combinations(units, 2):
+        if a[0] == b[0] and abs(a[1] - b[1]) <= near:
+            continue
+        x, y, best = texts[a], texts[b], None
+        for diag in range(-len(x), len(y)):
+            i = 0
+            while i < len(x):
+                n = 0
+                while i + n < len(x) and 0 <= i + n + diag < len(y) and x[i + n] == y[i + n + diag]:
+                    n += 1
+                if n >= 3:
+                    words, inside = [df[w] for w in x[i : i + n]], [gdf[g] for g in grams(x[i : i + n])]
+                    if min(inside) <= cap:
+                        widest = min(max(inside), cap + 1)
+                        fits = (n >= 4 and (min(words) <= distinctive or min(words) <= 2 * distinctive and widest <= phrase)) or (n == 3 and (max(words) <= rare or min(words) <= rare and widest <= echo))
+                        if fits and (best is None or (-n, i, diag) < best):
+                            best = (-n, i, diag)
+                i += max(n, 1)
+        if best:
+            out[a, b] = (best[1] + 1, best[1] + 1 + best[2], -best[0])
+    return out
+
+
+def test_parallels_equal_a_search_of_all_diagonals(spark):
+    r = random.Random(13)
+    for limits in ({"near": 1, "distinctive": 6, "cap": 4, "rare": 5, "phrase": 3, "echo": 2}, {"near": 0, "distinctive": 12, "cap": 2, "rare": 8, "phrase": 2, "echo": 1}):
+        texts = {(c, line): [r.choice("abcde") for _ in range(r.randint(0, 14))] for c in range(3) for line in range(5)}
+        rows = [(1000 * c + line, c, line, ws) for (c, line), ws in texts.items()]
+        got = {((x.a // 1000, x.a % 1000), (x.b // 1000, x.b % 1000)): (x.start_a, x.start_b, x.len) for x in reuse.parallels(spark.createDataFrame(rows, "unit long, chapter long, line long, ws array<string>"), **limits).collect()}
+        assert got == brute_parallels(texts, **limits) and got
+
+
 def test_chains_query_covers_every_source(spark):
     from corpusloom import plans
     from corpusloom.tables import words
@@ -103,7 +145,23 @@ def test_chains_query_covers_every_source(spark):
 def test_chains(spark):
     rows = [(1, 2, 10, 50, 5), (1, 2, 11, 51, 7), (1, 2, 13, 52, 4), (1, 2, 16, 60, 3), (1, 3, 14, 53, 9)]
     got = reuse.chains(spark.createDataFrame(rows, "book_a int, book_b int, oa long, ob long, len long")).collect()
-    assert {(r.book_b, r.a_start, r.a_end, r.b_start, r.b_end, r["len"], r.n_pairs) for r in got} == {(2, 10, 13, 50, 52, 7, 3), (2, 16, 16, 60, 60, 3, 1), (3, 14, 14, 53, 53, 9, 1)}
+    assert {(r.book_b, r.a_start, r.a_end, r.b_start, r.b_end, r["len"], r.n_pairs, r.tier) for r in got} == {(2, 10, 13, 50, 52, 7, 3, "parallel"), (2, 16, 16, 60, 60, 3, 1, "echo"), (3, 14, 14, 53, 53, 9, 1, "parallel")}
+
+
+def test_chains_equal_a_plain_fold(spark):
+    r = random.Random(4)
+    rows = sorted({(1, r.randint(1, 3), r.randint(0, 15), r.randint(0, 15)) for _ in range(160)})
+    rows = [(*x, r.randint(3, 9)) for x in rows]
+    chains = []
+    for a, b, oa, ob, n in rows:
+        for i, j in ((1, 1), (1, 2), (2, 1), (2, 2)):
+            if found := [c for c in chains if c[:2] == [a, b] and (c[3], c[5]) == (oa - i, ob - j)]:
+                found[0][3], found[0][5], found[0][6], found[0][7] = oa, ob, max(found[0][6], n), found[0][7] + 1
+                break
+        else:
+            chains.append([a, b, oa, oa, ob, ob, n, 1])
+    got = reuse.chains(spark.createDataFrame(r.sample(rows, len(rows)), "book_a int, book_b int, oa long, ob long, len long")).drop("tier").collect()
+    assert sorted(map(list, got)) == sorted(chains) and any(c[7] > 3 for c in chains)
 
 
 def test_session_folds(spark):
@@ -126,6 +184,9 @@ def test_structure(spark):
     assert structure.reconstruct(words, "v").first().text == "abcd x"
     ed = spark.createDataFrame([(1, 1, "a", 3), (1, 2, "b", 1), (1, 2, "c", 3)], "v long, word_num long, surface string, editions int")
     assert {(r.text, r.editions) for r in structure.edition_texts(ed, "v", 2).collect()} == {("a b", "0"), ("a c", "1")}
+    assert {(r.text, r.editions) for r in structure.edition_texts(ed, "v", 3).collect()} == {("a b", "0"), ("a c", "1"), ("", "2")}
+    none = spark.createDataFrame([(1, 1, "a", 0)], "v long, word_num long, surface string, editions int")
+    assert [(r.text, r.editions) for r in structure.edition_texts(none, "v", 2).collect()] == [("", "0,1")]
     roles = spark.createDataFrame([(1, "s", 0, "w"), (1, "s", 1, "e"), (1, "o", 1, "f")], "c int, role string, embedded int, word string")
     assert {r.word for r in structure.display_roles(roles, "c", "role").collect()} == {"w", "f"}
     with pytest.raises(AssertionError, match="orphans"):
@@ -174,6 +235,12 @@ def test_artifacts(spark, tmp_path):
         artifacts.write_artifact(spark, path, {"verses": verses}, {"verses": ["verse_id"]})
     assert artifacts.open_artifact(spark, path, ["verses"], "core_")["verses"].count() == 2 and spark.table("core_verses").count() == 2
     assert artifacts.attach_optional(spark, path, "none", "x int").count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"PAR1 this is no table PAR1")
+    spark.createDataFrame([(7,)], "x int").write.mode("append").parquet(f"file://{tmp_path}/bad")
+    own = artifacts.attach_optional(spark, f"file://{tmp_path}", "bad", "x int")
+    assert [r.x for r in own.collect()] == [7]
+    assert {(r.x, r.y) for r in artifacts.union_texts(own, spark.createDataFrame([(1, 2)], "x int, y int")).collect()} == {(7, None), (1, 2)}
     artifacts.write_artifact(spark, path, {"verses": verses}, meta={"schema_version": "99"})
     with pytest.raises(ValueError, match="newer"):
         artifacts.open_artifact(spark, path, ["verses"])
@@ -189,13 +256,33 @@ def test_streamed_coverage(spark, tmp_path):
     from corpusloom.streaming.session_log import coverage_stream, read_log
 
     rows = [("s", i, None, "read", u, *[None] * 6) for i, u in enumerate([0, 1, 1, 5])]
-    spark.createDataFrame(rows, session.LOG_SCHEMA).withColumn("ts", F.current_timestamp()).write.parquet(f"{tmp_path}/log")
+    log = spark.createDataFrame(rows, session.LOG_SCHEMA)
+    log.withColumn("ts", F.current_timestamp()).write.parquet(f"{tmp_path}/log")
+    log.withColumn("ts", F.current_timestamp() - F.expr("interval 3 days")).write.mode("append").parquet(f"{tmp_path}/log")  # the same units, much later
     q = coverage_stream(read_log(spark, f"{tmp_path}/log"), 10).writeStream.outputMode("update").format("memory").queryName("cov").start()
     q.processAllAvailable()
     q.stop()
     assert spark.table("cov").first().percent == 30
 
 
+def test_documents_of_too_many_lines_are_refused(spark, monkeypatch):
+    from corpusloom import tables
+
+    monkeypatch.setattr(tables, "LINES", 4)
+    docs = lambda n: spark.createDataFrame([(1, "src001", "en", "\n".join("abcdefg"[:n]))], "doc_id long, source string, lang string, text string")
+    assert [r.verse_id for r in tables.lines_of(docs(3)).collect()] == [5, 6, 7]
+    with pytest.raises(Exception, match="4 lines or more"):
+        tables.lines_of(docs(4)).collect()
+
+
+def test_scopes_prune_documents(spark):
+    from corpusloom import plans
+
+    for name in ("passage_range", "passage_scopes", "interlinear_rows", "morph_parse"):
+        plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+        assert "GreaterThanOrEqual(doc_id," in plan and "LessThanOrEqual(doc_id," in plan
+
+
 def test_combined_filters(spark):
     df = spark.createDataFrame(list(itertools.product(range(3), "ab")), "n int, s string")
     assert df.where(lexical.conjunction([])).count() == 6 and df.where(lexical.conjunction([F.col("n") == 1, F.col("s") == "a"])).count() == 1
