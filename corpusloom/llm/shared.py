@@ -2,67 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.staging import cut, discard, scratch, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees (spark.checkpoint.dir); on a local master without one, a new temporary one."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if path is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
-    return path
-
-
-#: Folders that the innermost open scratch() will delete.
-_SCRATCH: list[list[str]] = []
-
-
-def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write df once to the shared folder and read it back: its lineage ends there and survives lost executors.
-
-    An open scratch deletes it at its end, unless it is to be kept.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if _SCRATCH and not keep:
-        _SCRATCH[-1].append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.cut_at = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def discard(*cuts: DataFrame) -> None:
-    """Delete tables that cut wrote, once everything that reads them has been written or collected itself."""
-    for df in cuts:
-        _delete(df.sparkSession, df.cut_at)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end what is cut inside; the last result must be cut outside, or written, by then."""
-    _SCRATCH.append([])
-    try:
-        yield
-    finally:
-        for path in _SCRATCH.pop():
-            _delete(spark, path)
+__all__ = ["cut", "discard", "pick", "scratch", "seal", "shared_dir", "table"]
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

@@ -15,7 +15,8 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from corpusloom.llm import decontaminate, language_id, mixing, quality_classifier, queries, sharding, shared, simhash, token_counts
+from corpusloom import staging
+from corpusloom.llm import decontaminate, language_id, mixing, quality_classifier, queries, sharding, simhash, token_counts
 from tests.llm.test_operators import greedy, groups_of
 
 SF = "/root/testdata/sf0.001"
@@ -263,7 +264,7 @@ def test_pipeline_against_brute_force(spark, docs):
 
 
 def test_pipeline_leaves_only_what_its_result_reads(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(staging, "shared_dir", lambda spark: f"file://{tmp_path}")
     out = corpus_pipeline.run(spark, SF)
     assert [p.name.rpartition("-")[0] for p in (tmp_path / "corpusloom").iterdir()] == ["mixing-to-target-weights"]
     assert out.count() > 0
