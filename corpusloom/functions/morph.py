@@ -137,3 +137,23 @@ def _read_codes(codes: pd.Series, langs: pd.Series) -> pd.DataFrame:
         except MorphError as e:
             known[pair] = {"error": str(e)}
     return pd.DataFrame([known[p] for p in zip(codes, langs)], columns=[*FIELDS, "error"]).astype(object).where(lambda d: d.notna(), None)
+
+
+ROLES = frozenset("s v vc o io o2 p pp adv aux".split())
+
+
+def clause_role(text: str | None) -> str | None:
+    """A role code of a treebank; error notes and unknown codes are none."""
+    return text if text in ROLES else None
+
+
+def negator(lang: str, type_: str | None = None, code: str | None = None, class_: str | None = None) -> str | None:
+    """How a treebank word negates: a 'particle' its own clause from the predicate's places, a 'nominal' from any place.
+
+    Semitic words are marked by type; Greek ones by a code that ends in -N, names and what stands for them being nominal.
+    """
+    if lang != "G":
+        return "particle" if type_ == "negative" else None
+    if not (code or "").endswith("-N"):
+        return None
+    return "nominal" if class_ in ("adj", "pron", "noun", "det") else "particle"

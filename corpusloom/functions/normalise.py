@@ -55,6 +55,13 @@ def strongs(text: str) -> tuple[str, int, str | None] | None:
     return f"{letter}{int(digits):04d}{suffix}", int(digits), suffix or None
 
 
+def treebank_strongs(text: str | None, lang: str) -> tuple[str, int, bool] | None:
+    """('H1886a', 1886, True) of '1886a|0725': the first of several numbers, and whether there were several."""
+    first = re.split(r"[|+]", text or "")[0].strip()
+    code = strongs(f"{lang}{first}") if first else None
+    return code and (code[0], code[1], text != first)
+
+
 def strongs_number(col: str) -> Column:
     return F.nullif(F.regexp_extract(col, "^[HG]([0-9]{1,4})[A-Za-z]?$", 1), F.lit("")).cast("int")
 

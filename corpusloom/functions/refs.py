@@ -151,6 +151,13 @@ def parse_reference(text: str) -> Reference:
     return Reference(book, start, end, "range" if three else "chapter" if verse is None else "verse")
 
 
+def parse_word_reference(text: str) -> tuple[int, int, int, int] | None:
+    """(book, chapter, verse, word) of 'GEN 1:1!5'; None for anything else."""
+    m = re.fullmatch(r"([1-9A-Z]{3}) ([0-9]+):([0-9]+)!([0-9]+)", text)
+    book = book_named(m[1]) if m else None
+    return (book.num, *map(int, m.groups()[1:])) if book else None
+
+
 def parse_scope(text: str) -> list[tuple[int, int]]:
     """Intervals of 'ot', 'nt', 'Gen-Deu' or any reference."""
     low = text.strip().lower()

@@ -89,6 +89,54 @@ def cascade(stages: list[DataFrame]) -> DataFrame:
     return every.join(F.broadcast(every.agg(F.min("stage").alias("stage"))), "stage", "left_semi")  # one row
 
 
+def folded(col: str | Column) -> Column:
+    """The letters a to z of a transliteration, in lower case."""
+    return F.regexp_replace(F.lower(col), "[^a-z]", "")
+
+
+def word_keys(entries: DataFrame, tokens: DataFrame, query: str, few: int = 8, many: int = 12, least: int = 3, top: int = 6, share: float = 0.5) -> DataFrame:
+    """(key, stage): the entries that a query means, by the first stage that finds any.
+
+    entries has key, lemma, translit and gloss; tokens has unit, key and word, what a reader's text has beside an entry's
+    word. Stages: 1 the key itself, 2 the lemma, 3 the transliteration, 4 its letters alone, 5 a word of the gloss, 6 the
+    keys under a reader's word: of the `top` keys with `least` places or more, those with a `share` of the word's units.
+    """
+    low = query.lower()
+    cut = lambda test, n: entries.where(test).select("key").distinct().orderBy("key").limit(n)
+    word = F.concat(F.lit(" "), F.regexp_replace(F.lower("gloss"), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    units = tokens.where(F.col("word") == low).select("unit").distinct()
+    under = tokens.join(units, "unit", "left_semi").where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(top)
+    kept = under.crossJoin(units.agg(F.count("*").alias("total"))).where(F.col("n") >= F.greatest(F.lit(float(least)), share * F.col("total"))).select("key")  # one row
+    letters = re.sub("[^a-z]", "", low)
+    stages = [
+        cut(F.lower(F.col("key").cast("string")) == low, few), cut(F.col("lemma") == query, few), cut(F.lower("translit") == low, few),
+        cut((folded("translit") == letters) & F.lit(letters != ""), few), cut(F.contains(word, F.lit(f" {low} ")), many), kept,
+    ]
+    return cascade(stages)
+
+
+def dossier(words: DataFrame, lemma: str, half: int, books: int = 5, firsts: int = 8, forms: int = 5) -> DataFrame:
+    """One row on a lemma: uses, verses, uses up to and after the book `half`, its forms and books, most frequent first,
+    and its first places. One scan, from tallies by form and verse."""
+    tally = words.where(F.col("lemma") == lemma).groupBy("surface", "book_num", "verse_id").agg(F.count("*").alias("n"))
+
+    def most(by: str, n: int, name: str) -> DataFrame:
+        top = tally.groupBy(by).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), by).limit(n)
+        listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("back"), by)))
+        return top.agg(F.array_join(F.transform(listed, lambda r: F.concat(r[by].cast("string"), F.lit(":"), (-r["back"]).cast("string"))), ",").alias(name))
+
+    total = tally.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.countDistinct("verse_id").alias("verses"), F.coalesce(F.sum(F.when(F.col("book_num") <= half, F.col("n"))), F.lit(0)).alias("before"), F.coalesce(F.sum(F.when(F.col("book_num") > half, F.col("n"))), F.lit(0)).alias("after"))
+    first = tally.select("verse_id").distinct().orderBy("verse_id").limit(firsts).agg(F.array_join(F.array_sort(F.collect_list("verse_id")).cast("array<string>"), ",").alias("firsts"))
+    return total.crossJoin(most("surface", forms, "forms")).crossJoin(most("book_num", books, "books")).crossJoin(first)  # one row each
+
+
+def head_entries(entries: DataFrame, priority: list[str]) -> DataFrame:
+    """One entry for each key: that of the lexicon that comes first in the priority, then the least entry_id."""
+    place = F.array_position(F.array(*map(F.lit, priority)), F.col("lexicon"))
+    k = F.row_number().over(Window.partitionBy("key").orderBy(F.when(place > 0, place).otherwise(len(priority) + 1), "entry_id"))
+    return entries.withColumn("k", k).where("k = 1").drop("k")
+
+
 def majority(rows: DataFrame, key: str, value: str) -> DataFrame:
     """The most frequent value of each key; of equally frequent ones the smallest."""
     tally = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
@@ -98,7 +146,7 @@ def majority(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def name_usage(names: DataFrame, bridge: DataFrame, uses: DataFrame, query: str, limit: int = 12) -> DataFrame:
     """Entities whose name begins with the query in any case, with their keys and the total, first and last of their uses."""
-    found = names.where(F.like(F.lower("name"), F.concat(F.lower(F.lit(query)), F.lit("%")))).orderBy("name", "name_id").limit(limit)
+    found = names.where(F.startswith(F.lower("name"), F.lower(F.lit(query)))).orderBy("name", "name_id").limit(limit)
     joined = found.join(bridge, "name_id", "left").join(uses, "key", "left")
     return joined.groupBy("name_id", "name").agg(F.countDistinct("key").alias("keys"), F.count("place").alias("total"), F.min("place").alias("first"), F.max("place").alias("last"))
 

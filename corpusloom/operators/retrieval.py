@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.functions.scalar import first_words
+
 
 def in_scope(key: str, scope: list[tuple[int, int]]) -> Column:
     """OR of inclusive ranges; an empty scope is no restriction."""
@@ -51,29 +53,37 @@ def compare(texts: DataFrame, key: str, version: str, versions: list[str]) -> Da
     return out.where(reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in versions]))
 
 
+def pick(verses: DataFrame, seed: int, n: int = 1) -> DataFrame:
+    """n verses drawn by a seed: those with the least digest of seed and key, so that equal seeds draw alike."""
+    return verses.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("verse_id").cast("string"))), "verse_id").limit(n)
+
+
 def chunks(chapters: DataFrame, book: str, order: str, size: str, budget: int) -> DataFrame:
     """Greedy packing of each book's chapters in order: a chunk closes when the next chapter would exceed the budget.
 
-    A chapter above the budget is a chunk of its own. The fold runs inside one aggregate() per book, without Python.
+    A chapter above the budget is a chunk of its own. The fold over a book's sizes keeps the number of the first chapter of
+    each chunk only, and chapters are numbered and tallied by these afterwards.
     """
-    listed = chapters.groupBy(book).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("c"))
-    start = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<key:bigint,chunk:bigint,size:bigint>>").alias("out"))
+    listed = chapters.groupBy(book).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("key"), F.col(size).cast("long").alias("size")))).alias("c"))
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("heads"))
 
     def step(acc: Column, x: Column) -> Column:
-        key, n = x[order].cast("long"), x[size].cast("long")
-        new = (acc["chunk"] == 0) | (acc["held"] + n > budget)
-        chunk = F.when(new, acc["chunk"] + 1).otherwise(acc["chunk"])
-        row = F.struct(key.alias("key"), chunk.alias("chunk"), n.alias("size"))
-        return F.struct(chunk.alias("chunk"), F.when(new, n).otherwise(acc["held"] + n).alias("held"), F.concat(acc["out"], F.array(row)).alias("out"))
+        new = (acc["at"] == 0) | (acc["held"] + x["size"] > budget)
+        return F.struct(F.when(new, x["size"]).otherwise(acc["held"] + x["size"]).alias("held"), (acc["at"] + 1).alias("at"), F.when(new, F.concat(acc["heads"], F.array(acc["at"] + 1))).otherwise(acc["heads"]).alias("heads"))
 
-    packed = listed.select(book, F.explode(F.aggregate("c", start, step, lambda acc: acc["out"])).alias("r"))
-    return packed.groupBy(book, F.col("r.chunk").alias("chunk")).agg(F.min("r.key").alias("first"), F.max("r.key").alias("last"), F.count("*").alias("chapters"), F.sum("r.size").alias("chars"))
+    heads = listed.select(book, "c", F.aggregate("c", start, step, lambda acc: acc["heads"]).alias("heads"))
+    each = heads.select(book, "c", "heads", F.posexplode("heads").alias("nth", "low"))
+    part = F.slice("c", F.col("low"), F.coalesce(F.get("heads", F.col("nth") + 1), F.size("c") + 1) - F.col("low"))
+    return each.select(book, (F.col("nth") + 1).cast("long").alias("chunk"), part.alias("p")).select(
+        book, "chunk", F.get("p", F.lit(0))["key"].alias("first"), F.element_at("p", -1)["key"].alias("last"), F.size("p").cast("long").alias("chapters"),
+        F.aggregate(F.transform("p", lambda x: x["size"]), F.lit(0).cast("long"), lambda a, x: a + x).alias("chars"),
+    )
 
 
 def outline(verses: DataFrame, words: DataFrame, rare: int = 2, incipit: int = 9) -> DataFrame:
     """For each chapter: verses after the title, its first words, and its rarest lemmas by corpus frequency."""
     heads = verses.groupBy("doc_id").agg(F.count(F.when(F.col("verse") > 0, 1)).alias("n_verses"), F.min_by("text", "verse").alias("first"))
-    opening = F.array_join(F.slice(F.split(F.trim("first"), r"\s+"), 1, incipit), " ")
+    opening = first_words("first", incipit)
     freq = words.groupBy("lemma").agg(F.count("*").alias("freq"))
     here = words.select("doc_id", "lemma").distinct().join(freq, "lemma")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("freq", "lemma"))

@@ -52,7 +52,6 @@ def near(tokens: Column, a: list[str], b: list[str], gap: int = 10) -> Column:
 
 def compile_query(text: str, tokens: Column, as_phrase: bool = False) -> Column:
     """The query as a Boolean column over a column of token text. Bad syntax raises ValueError."""
-    text = text.replace("'", "’") if False else text
     if as_phrase:
         return phrase(tokens, parse_words(text))
     if not _OPERATORS.search(text):
@@ -109,23 +108,51 @@ def _one(parts: list[str], tokens: Column) -> tuple[Column, list[str]]:
     return phrase(tokens, parse_words(head), prefix=head.endswith("*"), first=head.startswith("^")), rest
 
 
-def search(verses: DataFrame, text: str, as_phrase: bool = False, stemmed: bool = False) -> DataFrame:
-    """Verses that the query matches, by exact tokens or by stems."""
+def search(verses: DataFrame, text: str, as_phrase: bool = False, stemmed: bool = False, column: str = "text") -> DataFrame:
+    """Verses that the query matches in one column, by exact tokens or by stems."""
     if not stemmed:
-        return verses.where(F.exists(F.array(token_text("text")), lambda tokens: compile_query(text, tokens, as_phrase)))
+        return verses.where(F.exists(F.array(token_text(column)), lambda tokens: compile_query(text, tokens, as_phrase)))
     words = [stem(w) for w in parse_words(text)]
-    rows = verses.withColumn("stems", stem_arrays(token_array("text")))
+    # stemming changes no more than the end of a word and the last letter of its stem, so few rows get to it
+    likely = F.exists(F.array(token_text(column)), lambda tokens: reduce(lambda a, b: a & b, [F.contains(tokens, F.lit(" " + w[:-1])) for w in words] or [F.lit(False)]))
+    rows = verses.where(likely).withColumn("stems", stem_arrays(token_array(column)))
     return rows.where(reduce(lambda a, b: a & b, [F.array_contains("stems", w) for w in words] or [F.lit(False)])).drop("stems")
 
 
-def snippet(text: str, word: str, around: int = 8) -> Column:
-    """The tokens around the first match of a word, which is marked >>so<<; '…' stands for what is left out."""
+def snippet(text: str, words: str, around: int | None = None, size: int = 32, prefix: bool = False) -> Column:
+    """The text around the first match of a word or phrase; every match shown is marked >>so<<, and '…' stands for what is
+    left out.
+
+    The last word may be a prefix. With `around` as many tokens are shown on either side of the first match and only that
+    one is marked; else `size` tokens that begin with it, or earlier if the text ends before.
+    """
+    wanted = parse_words(words)
+    n = len(wanted)
     t = F.split(F.trim(text), r"\s+")
     clean = F.transform(t, lambda x: F.regexp_replace(F.lower(x), r"^[^\p{L}\p{N}'\-]+|[^\p{L}\p{N}'\-]+$", ""))
-    at = F.array_position(clean, word).cast("int")
-    low, high = F.greatest(at - around, F.lit(1)), F.least(at + around, F.size(t))
-    shown = F.transform(F.slice(t, low, high - low + 1), lambda x, i: F.when(i + low == at, F.concat(F.lit(">>"), x, F.lit("<<"))).otherwise(x))
-    return F.when(at > 0, F.concat(F.when(low > 1, F.lit("…")).otherwise(""), F.array_join(shown, " "), F.when(high < F.size(t), F.lit("…")).otherwise("")))
+
+    def starts(c: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1)))
+        last = (lambda x: F.startswith(x, F.lit(wanted[-1]))) if prefix else (lambda x: x == wanted[-1])
+        every = lambda i: reduce(lambda a, b: a & b, [F.get(c, i + (k - 1)) == w for k, w in enumerate(wanted[:-1])] + [last(F.get(c, i + (n - 2)))])
+        return F.filter(at, lambda i: F.coalesce(every(i), F.lit(False)))
+
+    def shown(x: Column) -> Column:
+        tokens, hits = x["t"], x["hits"]
+        first, end = F.get(hits, F.lit(0)), F.size(tokens)
+        if around is not None:
+            low, high, marked = F.greatest(first - around, F.lit(1)), F.least(first + n - 1 + around, end), F.slice(hits, 1, 1)
+        else:
+            low = F.greatest(F.least(first, end - size + 1), F.lit(1))
+            high, marked = F.least(low + size - 1, end), hits
+        opened = lambda w, i: F.when(F.array_contains(marked, i), F.concat(F.lit(">>"), w)).otherwise(w)
+        closed = lambda w, i: F.when(F.array_contains(marked, i - (n - 1)), F.concat(w, F.lit("<<"))).otherwise(w)
+        part = F.transform(F.slice(tokens, low, high - low + 1), lambda w, i: closed(opened(w, i + low), i + low))
+        return F.concat(F.when(low > 1, F.lit("…")).otherwise(""), F.array_join(part, " "), F.when(high < end, F.lit("…")).otherwise(""))
+
+    # tokens and matches are found once, as the fields of one lambda's argument
+    found = F.transform(F.array(F.struct(t.alias("t"), starts(clean).alias("hits"))), lambda x: F.when(F.size(x["hits"]) > 0, shown(x)))
+    return F.get(found, F.lit(0))
 
 
 def _measure(w: str) -> int:

@@ -26,6 +26,23 @@ def units(chapters: DataFrame, scope: list[tuple[int, int]]) -> DataFrame:
     return clamped.withColumn("unit", F.row_number().over(Window.orderBy("start", "end")) - 1).select("unit", "start", "end")
 
 
+def chunk_units(chunks: DataFrame, book: str) -> DataFrame:
+    """(unit, start, end): one unit for each greedy chunk of chapters, in order of books and chunks from 0."""
+    order = Window.orderBy(book, "chunk")  # a row for each chunk of one session's scope
+    return chunks.withColumn("unit", F.row_number().over(order) - 1).select("unit", F.col("first").alias("start"), F.col("last").alias("end"))
+
+
+def exported(log: DataFrame, session: str) -> DataFrame:
+    """The events of one session in order, each as JSON."""
+    own = log.where(F.col("session") == session)
+    return own.select("seq", F.to_json(F.struct(*[c for c in log.columns if c != "session"])).alias("event")).orderBy("seq")
+
+
+def deleted(log: DataFrame, session: str) -> DataFrame:
+    """The log without one session, to be written in its place."""
+    return log.where(~F.col("session").eqNullSafe(session))
+
+
 def cursor(log: DataFrame, n_units: Column | int) -> DataFrame:
     """(session, cursor): next shows units[cursor] and steps on, prev goes to the one before, goto n to the one after n."""
     moves = log.where(F.col("kind").isin("next", "prev", "goto"))

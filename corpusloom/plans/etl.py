@@ -32,7 +32,14 @@ SELECT body, doc_id, lang FROM d QUALIFY row_number() OVER (PARTITION BY body OR
 )
 def import_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("body"), "lang")
-    return structure.first_wins(rows.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"), "body", "doc_id").select("body", "doc_id", "lang")
+    on_spine = rows.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return structure.first_wins(on_spine, "body", "doc_id").select("body", "doc_id", "lang")
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents SEMI JOIN labels USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n_chars) = 1")
+def import_on_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose key is on the spine, the first of each key."""
+    return structure.import_rows(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "n_chars")
 
 
 @query("SELECT quality, toxic, doc_id FROM labels QUALIFY row_number() OVER (PARTITION BY quality, toxic ORDER BY doc_id DESC) = 1")

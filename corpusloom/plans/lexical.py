@@ -263,3 +263,65 @@ def bare_column_of_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = words(spark, sf_dir).where("book_num = 1")
     order = F.concat("surface", F.lpad(F.col("verse_id").cast("string"), 20, "0"))
     return w.groupBy("lemma").agg(F.min("surface").alias("gloss"), F.min_by("verse_id", order).alias("verse_id"))
+
+
+#: Parts stand for dictionary entries, line items for the words of a text beside them; an order is a verse.
+KEYS_SQL = """WITH e AS (SELECT p_partkey AS key, p_type AS lemma, p_brand AS translit, p_name AS gloss FROM part),
+t AS (SELECT l_orderkey AS unit, l_linenumber AS key, lower(l_returnflag) AS word FROM lineitem),
+u AS (SELECT DISTINCT unit FROM t WHERE word = '{low}'),
+n AS (SELECT key, count(*) AS n FROM t WHERE unit IN (SELECT unit FROM u) GROUP BY key HAVING count(*) >= 3 ORDER BY n DESC, key LIMIT 6),
+s AS ((SELECT DISTINCT key, 1 AS stage FROM e WHERE lower(key::VARCHAR) = '{low}' ORDER BY key LIMIT 8)
+  UNION ALL (SELECT DISTINCT key, 2 FROM e WHERE lemma = '{word}' ORDER BY key LIMIT 8) UNION ALL (SELECT DISTINCT key, 3 FROM e WHERE lower(translit) = '{low}' ORDER BY key LIMIT 8)
+  UNION ALL (SELECT DISTINCT key, 4 FROM e WHERE regexp_replace(lower(translit), '[^a-z]', '', 'g') = '{letters}' AND '{letters}' <> '' ORDER BY key LIMIT 8)
+  UNION ALL (SELECT DISTINCT key, 5 FROM e WHERE contains(' ' || regexp_replace(lower(gloss), '[^a-z0-9]+', ' ', 'g') || ' ', ' {low} ') ORDER BY key LIMIT 12)
+  UNION ALL (SELECT key, 6 FROM n WHERE n >= greatest(3.0, 0.5 * (SELECT count(*) FROM u))))
+SELECT key::BIGINT AS key, stage::INT AS stage FROM s WHERE stage = (SELECT min(stage) FROM s)"""
+
+
+def keys_sql(word: str) -> str:
+    return KEYS_SQL.replace("{low}", word.lower()).replace("{word}", word).replace("{letters}", "".join(c for c in word.lower() if "a" <= c <= "z"))
+
+
+def word_keys(spark: SparkSession, sf_dir: str, word: str) -> DataFrame:
+    entries = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_type").alias("lemma"), F.col("p_brand").alias("translit"), F.col("p_name").alias("gloss"))
+    tokens = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit"), F.col("l_linenumber").cast("long").alias("key"), F.lower("l_returnflag").alias("word"))
+    return lexical.word_keys(entries, tokens, word)
+
+
+@query(keys_sql("Bra.nd"))
+def word_keys_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found by the letters of the transliteration alone."""
+    return word_keys(spark, sf_dir, "Bra.nd")
+
+
+@query(keys_sql("widget"))
+def word_keys_gloss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_keys(spark, sf_dir, "widget")
+
+
+@query(keys_sql("R"))
+def word_keys_underlying(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No entry has the word; the keys beside it in the text are tried."""
+    return word_keys(spark, sf_dir, "R")
+
+
+@query(
+    """t AS (SELECT surface, book_num, verse_id, count(*) AS n FROM words WHERE lemma = 'that' GROUP BY ALL),
+f AS (SELECT string_agg(surface || ':' || n, ',' ORDER BY n DESC, surface) AS forms FROM (SELECT surface, sum(n)::BIGINT AS n FROM t GROUP BY surface ORDER BY n DESC, surface LIMIT 5)),
+b AS (SELECT string_agg(book_num || ':' || n, ',' ORDER BY n DESC, book_num) AS books FROM (SELECT book_num, sum(n)::BIGINT AS n FROM t GROUP BY book_num ORDER BY n DESC, book_num LIMIT 5)),
+i AS (SELECT string_agg(verse_id, ',' ORDER BY verse_id) AS firsts FROM (SELECT DISTINCT verse_id FROM t ORDER BY verse_id LIMIT 8))
+SELECT (SELECT coalesce(sum(n), 0)::BIGINT FROM t) AS total, (SELECT count(DISTINCT verse_id)::BIGINT FROM t) AS verses, (SELECT coalesce(sum(n) FILTER (book_num <= 10), 0)::BIGINT FROM t) AS before,
+  (SELECT coalesce(sum(n) FILTER (book_num > 10), 0)::BIGINT FROM t) AS after, forms, books, firsts FROM f, b, i""",
+    "words",
+)
+def survey_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.dossier(words(spark, sf_dir), "that", 10)
+
+
+@query(
+    """WITH e AS (SELECT o_custkey AS key, o_orderpriority AS lexicon, o_orderkey AS entry_id FROM orders)
+SELECT key, lexicon, entry_id FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY CASE lexicon WHEN '1-URGENT' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END, entry_id) = 1"""
+)
+def head_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("lexicon"), F.col("o_orderkey").alias("entry_id"))
+    return lexical.head_entries(entries, ["1-URGENT", "3-MEDIUM"])

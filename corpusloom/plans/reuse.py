@@ -12,9 +12,19 @@ from corpusloom.plans.registry import query
 from corpusloom.tables import LINES, book_of, sequences, table, verses, words
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(verse_id, book_num, slots): the lemmas of every line, in order."""
+    return sequences(verses(spark, sf_dir).select("verse_id", "book_num", "text")).withColumnRenamed("ws", "slots")
+
+
+def starts_of(lines: DataFrame, items: list[str], slack: int = 0) -> DataFrame:
+    # cheap tests of the whole text come first
+    return positional.pattern_starts(lines.where(F.forall(F.array(*map(F.lit, set(items))), lambda w: F.array_contains("slots", w))), [positional.word_is(w) for w in items], slack)
+
+
 @query("SELECT a.verse_id, a.book_num, a.word_num AS start FROM words a JOIN words b ON a.verse_id = b.verse_id AND b.word_num = a.word_num + 1 WHERE a.lemma = 'of' AND b.lemma = 'the'", "words")
 def pattern_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positional.pattern_starts(words(spark, sf_dir), ["of", "the"])
+    return starts_of(lines(spark, sf_dir), ["of", "the"]).drop("end")
 
 
 SLACK_SQL = """s AS (SELECT DISTINCT a.verse_id, a.book_num, a.word_num AS start FROM words a
@@ -25,7 +35,7 @@ SLACK_SQL = """s AS (SELECT DISTINCT a.verse_id, a.book_num, a.word_num AS start
 
 @query(SLACK_SQL + " SELECT verse_id, book_num, start FROM s", "words")
 def pattern_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positional.pattern_starts(words(spark, sf_dir), ["the", "of", "and"], slack=3)
+    return starts_of(lines(spark, sf_dir), ["the", "of", "and"], slack=3).drop("end")
 
 
 @query(
@@ -36,8 +46,32 @@ SELECT book_num, observed, floor(x * 10 + 0.5) / 10 AS expected, CASE WHEN x > 0
     "words",
 )
 def pattern_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = words(spark, sf_dir)
-    return positional.concentration(positional.pattern_starts(w, ["the", "of", "and"], slack=3), w)
+    rows = lines(spark, sf_dir)
+    return positional.concentration(starts_of(rows, ["the", "of", "and"], slack=3), rows.select("book_num", F.size("slots").alias("slots")))
+
+
+FORMULA_SQL = r"""p AS (SELECT verse_id, doc_id, word_num, unnest([1, 2]) AS part_num, unnest(['H', 'G']) AS lang, unnest([length(surface), word_num % 9]) AS num,
+    unnest([CASE WHEN length(surface) % 2 = 1 THEN 'a' END, NULL]) AS suffix, unnest([lemma, '']) AS lemma, unnest([surface, '+']) AS surface FROM words WHERE doc_id BETWEEN 2 AND 30),
+i AS (SELECT verse_id, word_num, bool_or(lang = 'H' AND num = 3 AND suffix = 'a') AS x, bool_or(lang = 'G' AND num = 4) AS y FROM p GROUP BY ALL)"""
+
+
+@query(
+    FORMULA_SQL + """, t AS (SELECT verse_id, word_num, string_agg(surface, '' ORDER BY part_num) AS w FROM p GROUP BY ALL),
+s AS (SELECT a.verse_id, a.word_num AS start, min(b.word_num) AS "end" FROM i a JOIN i b ON a.verse_id = b.verse_id AND b.word_num BETWEEN a.word_num + 1 AND a.word_num + 3 WHERE a.x AND b.y GROUP BY ALL)
+SELECT s.verse_id, start, "end", (SELECT string_agg(w, ' ' ORDER BY word_num) FROM t WHERE t.verse_id = s.verse_id AND word_num BETWEEN start AND "end") AS text FROM s""",
+    "words",
+)
+def pattern_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A formula of numbers over slots of two parts, with slack, inside a scope; shown with its text."""
+    w = words(spark, sf_dir, [(2_000_000, 30_999_999)])
+    both = F.posexplode(F.array(
+        F.struct(F.lit("H").alias("lang"), F.length("surface").cast("long").alias("n"), F.when(F.length("surface") % 2 == 1, "a").alias("x"), F.col("lemma").alias("l"), F.col("surface").alias("s")),
+        F.struct(F.lit("G").alias("lang"), (F.col("word_num") % 9).alias("n"), F.lit(None).cast("string").alias("x"), F.lit("").alias("l"), F.lit("+").alias("s")),
+    )).alias("at", "p")
+    parts = w.select("verse_id", "word_num", both).select("verse_id", "word_num", (F.col("at") + 1).alias("part_num"), "p.lang", F.col("p.n").alias("strongs_num"), F.col("p.x").alias("strongs_suffix"), F.col("p.l").alias("lemma"), F.col("p.l").alias("lemma_norm"), F.col("p.s").alias("surface"))
+    rows = positional.slots_of(parts).withColumn("all_", F.col("slots"))
+    found = positional.pattern_starts(rows, [i.test for i in positional.parse_formula("H3a G4")], slack=2)
+    return found.select("verse_id", "start", "end", positional.matched_text("all_", "start", "end").alias("text"))
 
 
 def units(df: DataFrame, key: str) -> DataFrame:

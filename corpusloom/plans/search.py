@@ -61,7 +61,7 @@ def search_by_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir, "that").groupBy("book_num").agg(F.count("*").alias("verses"))
 
 
-@query()
+@query(TOKENS_SQL + " SELECT verse_id FROM t WHERE len(list_filter(k, lambda x: regexp_full_match(x, 'thing(s|es|ed|ing)?'))) > 0", "verses")
 def search_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir, "things", stemmed=True).select("verse_id")
 
@@ -75,7 +75,31 @@ SELECT verse_id, (CASE WHEN low > 1 THEN '…' ELSE '' END) || array_to_string(l
 )
 def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = verses(spark, sf_dir).where(F.contains(F.lower("text"), F.lit("pathetic")))
-    return rows.select("verse_id", search.snippet("text", "pathetic").alias("shown")).where("shown is not null")
+    return rows.select("verse_id", search.snippet("text", "pathetic", around=8).alias("shown")).where("shown is not null")
+
+
+PHRASE_SQL = r"""w AS (SELECT verse_id, regexp_split_to_array(trim(text), '\s+') AS t FROM verses),
+c AS (SELECT *, list_transform(t, lambda x: regexp_replace(lower(x), '^[^\p{L}\p{N}''\-]+|[^\p{L}\p{N}''\-]+$', '', 'g')) AS k FROM w),
+h AS (SELECT *, list_filter(range(1, len(k)), lambda i: k[i] = 'of' AND starts_with(k[i + 1], 'th')) AS hits FROM c),
+b AS (SELECT *, greatest(least(hits[1], len(t) - 31), 1) AS low FROM h WHERE len(hits) > 0),
+s AS (SELECT *, least(low + 31, len(t)) AS high FROM b)"""
+
+
+@query(
+    PHRASE_SQL + """ SELECT verse_id, (CASE WHEN low > 1 THEN '…' ELSE '' END) || array_to_string(list_transform(t[low:high], lambda x, i:
+  (CASE WHEN list_contains(hits, i + low - 1) THEN '>>' ELSE '' END) || x || (CASE WHEN list_contains(hits, i + low - 2) THEN '<<' ELSE '' END)), ' ') || (CASE WHEN high < len(t) THEN '…' ELSE '' END) AS shown FROM s""",
+    "verses",
+)
+def search_snippet_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase whose last word is a prefix, every match in a window of 32 tokens marked."""
+    rows = verses(spark, sf_dir).where(F.contains(F.lower("text"), F.lit("of")))
+    return rows.select("verse_id", search.snippet("text", "of th", prefix=True).alias("shown")).where("shown is not null")
+
+
+@query(r"SELECT page_id FROM pages WHERE ' ' || array_to_string(regexp_extract_all(lower(url), '[\p{L}\p{N}''\-]+'), ' ') || ' ' LIKE '% example com %' AND NOT ' ' || array_to_string(regexp_extract_all(lower(url), '[\p{L}\p{N}''\-]+'), ' ') || ' ' LIKE '% www%'")
+def search_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query limited to one column of several."""
+    return search.search(table(spark, sf_dir, "pages"), '"example com" NOT www*', column="url").select("page_id")
 
 
 @query(

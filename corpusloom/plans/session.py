@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import session
+from corpusloom.operators import retrieval, session
 from corpusloom.plans.registry import query
 from corpusloom.tables import table, verses, words
 
@@ -81,3 +81,28 @@ def study_previous_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, max(ts) AS updated, count(*)::BIGINT AS events FROM events GROUP BY user_id ORDER BY updated DESC, user_id LIMIT 20")
 def study_list_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("updated"), F.count("*").alias("events")).orderBy(F.desc("updated"), "user_id").limit(20)
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT source, doc_id, coalesce(n_chars, 0) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source IN ('src1', 'src2')),
+p AS (SELECT source, doc_id, n, k, 1::BIGINT AS chunk, n AS held FROM c WHERE k = 1
+  UNION ALL SELECT c.source, c.doc_id, c.n, c.k, CASE WHEN p.held + c.n > 9000 THEN p.chunk + 1 ELSE p.chunk END, CASE WHEN p.held + c.n > 9000 THEN c.n ELSE p.held + c.n END
+  FROM p JOIN c ON c.source = p.source AND c.k = p.k + 1),
+g AS (SELECT source, chunk, min(doc_id) AS s, max(doc_id) AS e FROM p GROUP BY source, chunk)
+SELECT (row_number() OVER (ORDER BY source, chunk) - 1)::INT AS unit, s AS start, e AS "end" FROM g"""
+)
+def study_chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chapters = table(spark, sf_dir, "documents").where("source in ('src1', 'src2')").select("source", "doc_id", F.coalesce("n_chars", F.lit(0)).alias("n"))
+    return session.chunk_units(retrieval.chunks(chapters, "source", "doc_id", "n", 9_000), "source")
+
+
+@query("SELECT event_id AS seq, '{\"kind\":\"' || event_type || '\",\"unit\":' || event_id % 40 || '}' AS event FROM events WHERE user_id = 7")
+def study_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), (F.col("event_id") % 40).alias("unit"))
+    return session.exported(log, "7").select("seq", F.regexp_replace("event", '"seq":[0-9]+,', "").alias("event"))
+
+
+@query("SELECT user_id, count(*)::BIGINT AS events FROM events WHERE user_id <> 7 GROUP BY user_id")
+def study_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").withColumn("session", F.col("user_id").cast("string"))
+    return session.deleted(log, "7").groupBy("user_id").agg(F.count("*").alias("events"))

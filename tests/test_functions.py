@@ -89,3 +89,14 @@ def test_query_grammar(spark):
     for bad in ("AND", "(a OR b", "a OR"):
         with pytest.raises(ValueError, match="missing|closed"):
             found(bad)
+
+
+def test_treebank_codes():
+    assert refs.parse_word_reference("GEN 1:1!5") == (1, 1, 1, 5) and refs.parse_word_reference("2CH 36:23!10") == (14, 36, 23, 10) and refs.parse_word_reference("1SA 17:4!1")[0] == 9
+    assert all(refs.parse_word_reference(t) is None for t in ("GEN 1:1", "XYZ 1:1!1", ""))
+    assert normalise.treebank_strongs("430", "H") == ("H0430", 430, False) and normalise.treebank_strongs("0871a", "H") == ("H0871a", 871, False)
+    assert normalise.treebank_strongs("1886a|0725", "H") == ("H1886a", 1886, True) and normalise.treebank_strongs("1537+4053", "G") == ("G1537", 1537, True)
+    assert normalise.treebank_strongs(None, "H") is None and normalise.treebank_strongs("abc", "G") is None
+    assert morph.clause_role("io") == "io" and morph.clause_role("err__x") is None and morph.clause_role(None) is None
+    assert morph.negator("H", "negative", "Tn") == "particle" and morph.negator("H", "affirmation") is None
+    assert [morph.negator("G", None, c, k) for c, k in (("PRT-N", "adv"), ("CONJ-N", "conj"), ("A-NSM-N", "adj"), ("N-NSM", "noun"), ("V-PAI-3S", "verb"), (None, None))] == ["particle", "particle", "nominal", None, None, None]

@@ -14,21 +14,32 @@ from corpusloom.sources import artifacts, readers
 SF = "/root/testdata/sf0.001"
 
 
-def words_df(spark, verses):
-    rows = [(v, 1, i + 1, w) for v, ws in verses.items() for i, w in enumerate(ws.split())]
-    return spark.createDataFrame(rows, "verse_id long, book_num int, word_num long, lemma string")
-
-
 def test_pattern_cases(spark):
-    starts = lambda ws, items, slack: sorted(r.start for r in positional.pattern_starts(words_df(spark, {1: ws}), items, slack).collect())
-    assert starts("a b a x b", ["a", "b"], 0) == [1] and starts("a x b", ["a", "b"], 1) == [1] and starts("a x b", ["a", "b"], 0) == []
-    assert starts("a b b x c", ["a", "b", "c"], 1) == [1] and starts("b a", ["a", "b"], 5) == []
+    lines = lambda ws: spark.createDataFrame([(1, ws.split())], "verse_id long, slots array<string>")
+    found = lambda ws, items, slack: sorted((r.start, r.end) for r in positional.pattern_starts(lines(ws), [positional.word_is(i) for i in items], slack).collect())
+    assert found("a b a x b", ["a", "b"], 0) == [(1, 2)] and found("a x b", ["a", "b"], 1) == [(1, 3)] and found("a x b", ["a", "b"], 0) == []
+    assert found("a b b x c", ["a", "b", "c"], 1) == [(1, 5)] and found("b a", ["a", "b"], 5) == [] and found("a a a", ["a", "a"], 1) == [(1, 2), (2, 3)]
+
+
+def test_formulas(spark):
+    one = positional.parse_formula("h2142 G0026 H2617a ἀγάπης בְּרִית")
+    assert [(i.lang, i.number, i.suffix) for i in one[:3]] == [("H", 2142, None), ("G", 26, None), ("H", 2617, "a")] and [i.lemma for i in one[3:]] == ["αγαπησ", "ברית"]
+    for bad in ("remember covenant", "H2142", ""):
+        with pytest.raises(ValueError, match="English|two"):
+            positional.parse_formula(bad)
+    kind = "verse_id long, word_num int, part_num int, lang string, strongs_num int, strongs_suffix string, lemma string, lemma_norm string, surface string"
+    words = spark.createDataFrame([(1, 1, 1, "H", 9, None, "w", "w", "u"), (1, 1, 2, "A", 2617, "a", "x", "x", "x"), (1, 2, 1, "H", 1, None, "y", "y", "y"), (1, 3, 1, "G", 26, None, "ἀγάπης", "αγαπησ", "A"), (1, 3, 2, "G", 26, None, "z", "z", "B")], kind)
+    rows = positional.slots_of(words).withColumn("all_", F.col("slots"))
+    for formula in ("H2617a ἀγάπης", "H2617 G26"):
+        got = positional.pattern_starts(rows, [i.test for i in positional.parse_formula(formula)], 1)
+        assert [(r.start, r.end, r.text) for r in got.withColumn("text", positional.matched_text("all_", "start", "end")).collect()] == [(1, 3, "ux y A")]
+    assert positional.pattern_starts(rows, [i.test for i in positional.parse_formula("H2617b G26")], 1).count() == 0
 
 
 def test_concentration_golden(spark):
-    words = spark.createDataFrame([(b, b, i) for b, n in ((1, 100), (19, 300), (23, 600)) for i in range(n)], "verse_id int, book_num int, word_num int")
+    slots = spark.createDataFrame([(1, 100), (19, 300), (23, 600)], "book_num int, slots int")
     starts = spark.createDataFrame([(1,)] * 8 + [(19,)] * 2, "book_num int")
-    assert {(r.book_num, r.observed, r.expected, r.ratio) for r in positional.concentration(starts, words).collect()} == {(1, 8, 1.0, 8.0), (19, 2, 3.0, 0.7)}
+    assert {(r.book_num, r.observed, r.expected, r.ratio) for r in positional.concentration(starts, slots).collect()} == {(1, 8, 1.0, 8.0), (19, 2, 3.0, 0.7)}
 
 
 def test_chunks_pack_greedily(spark):
@@ -179,6 +190,23 @@ def test_session_folds(spark):
             session.add_note(spark, "s", 1, 1, bad[0], "t", bad[1], bad[2])
 
 
+def test_session_export_delete_and_chunk_units(spark):
+    log = spark.createDataFrame([("s", 2, None, "read", 1, *[None] * 6), ("s", 1, None, "next", None, *[None] * 6), ("t", 1, None, "read", 0, *[None] * 6)], session.LOG_SCHEMA)
+    assert [(r.seq, r.event) for r in session.exported(log, "s").collect()] == [(1, '{"seq":1,"kind":"next"}'), (2, '{"seq":2,"kind":"read","unit":1}')]
+    assert [r.session for r in session.deleted(log, "s").collect()] == ["t"]
+    chunks = spark.createDataFrame([("b", 1, 9, 9), ("a", 2, 4, 6), ("a", 1, 1, 3)], "book string, chunk long, first long, last long")
+    assert [(r.unit, r.start, r.end) for r in session.chunk_units(chunks, "book").orderBy("unit").collect()] == [(0, 1, 3), (1, 4, 6), (2, 9, 9)]
+
+
+def test_snippets(spark):
+    from corpusloom.operators.search import snippet
+
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(50)) + " of The, end of them",), ("of the",), ("nothing",)], "text string")
+    shown = [r.s for r in df.select(snippet("text", "of the", size=6, prefix=True).alias("s")).collect()]
+    assert shown == ["…w49 >>of The,<< end >>of them<<", ">>of the<<", None]
+    assert [r.s for r in df.select(snippet("text", "of the", size=5).alias("s")).collect()][0] == "…>>of The,<< end of them"
+
+
 def test_structure(spark):
     words = spark.createDataFrame([(1, 1, 1, "ab", "H", 7), (1, 1, 2, "cd", "H", 7), (1, 2, 1, "x", "G", 7), (1, 2, 2, "y", "G", 7)], "v long, word_num long, part_num int, surface string, lang string, editions int")
     assert structure.reconstruct(words, "v").first().text == "abcd x"
