@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.scalar import tier_of
+from corpusloom.operators.lexical import majority
 from corpusloom.staging import cut
 
 
@@ -96,6 +97,15 @@ def rarest_of(runs: DataFrame, left: DataFrame, freq: DataFrame) -> DataFrame:
     return held.join(freq, "w").groupBy("a", "b").agg(F.min("freq").alias("least"))
 
 
+def lemmatised(seqs: DataFrame, tagged: DataFrame) -> DataFrame:
+    """seqs (unit, ws) with each word replaced by the lemma that tagged (surface, lemma) has for it most often; of equally
+    frequent lemmas the first by name. Words that no row tags stay."""
+    known = majority(tagged, "surface", "lemma").select(F.col("surface").alias("w"), "lemma")
+    each = seqs.select("unit", F.posexplode("ws").alias("pos", "w")).join(known, "w", "left")
+    rows = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "w").alias("l"))))
+    return each.groupBy("unit").agg(F.transform(rows, lambda x: x["l"]).alias("ws"))
+
+
 def quotes(left: DataFrame, right: DataFrame, cap: int = 40, common: int = 300) -> DataFrame:
     """(a, b, len, start, tier): best surface run of each pair, gated by word frequency over both corpora."""
     best = best_per_pair(cross_runs(left, right, 4, cap))

@@ -132,6 +132,22 @@ def quotes_lemma_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse.lemma_links(*sides(spark, sf_dir))
 
 
+LEMMAS_SQL = UNITS_SQL[: UNITS_SQL.index("freq AS")].replace("WITH d AS", "WITH d0 AS").replace("q AS (", "q0 AS (") + """
+votes AS (SELECT w, CASE WHEN pos % 3 = 0 THEN w ELSE rtrim(w, 's') END AS l, count(*) AS n FROM q0 GROUP BY ALL),
+dict AS (SELECT w, l FROM votes QUALIFY row_number() OVER (PARTITION BY w ORDER BY n DESC, l) = 1),
+d AS (SELECT unit, pos, coalesce(l, w) AS w FROM d0 LEFT JOIN dict USING (w)), q AS (SELECT unit, pos, coalesce(l, w) AS w FROM q0 LEFT JOIN dict USING (w)),
+freq AS (SELECT w, count(*) AS n FROM (SELECT w FROM d UNION ALL SELECT w FROM q) GROUP BY w)"""
+
+
+@query(LEMMAS_SQL + runs_sql(3, 12) + " SELECT a, b, len::BIGINT AS len, CASE WHEN len >= 4 THEN 'allusion' ELSE 'echo' END AS tier FROM best LEFT JOIN rare USING (a, b) WHERE len >= 4 OR least <= 150")
+def quotes_majority_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lemma pass over words that a tagged corpus, here the right side, turns into lemmas."""
+    left, right = sides(spark, sf_dir)
+    lemma = F.when(F.col("pos") % 3 == 0, F.col("surface")).otherwise(F.rtrim("surface", F.lit("s")))
+    tagged = right.select(F.posexplode("ws").alias("pos", "surface")).select("surface", lemma.alias("lemma"))
+    return reuse.lemma_links(reuse.lemmatised(left, tagged), reuse.lemmatised(right, tagged))
+
+
 def _renamed(sql: str, names: str, mark: str) -> str:
     """SQL with the names of its table expressions marked, so that two sets of them can stand side by side."""
     return re.sub(rf"\b({'|'.join(names.split())})\b", lambda m: m[1] + mark, sql)

@@ -35,7 +35,8 @@ def union_texts(shipped: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def write_artifact(spark: SparkSession, path: str, tables: dict[str, DataFrame], sort: dict[str, list[str]] | None = None, meta: dict[str, str] | None = None) -> None:
-    """Write all tables beside the artifact, then put them in its place by renames: readers never see half of it."""
+    """Write all tables beside the artifact, then put them in its place by renames: readers see the old
+    tables or the new ones, for a moment none, and never half of them."""
     fresh = f"{path}.{uuid.uuid4().hex}"
     for name, df in tables.items():
         keys = (sort or {}).get(name)
@@ -45,9 +46,19 @@ def write_artifact(spark: SparkSession, path: str, tables: dict[str, DataFrame],
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     old = f"{path}.old-{uuid.uuid4().hex}"
-    if fs.exists(hadoop(path)):
-        fs.rename(hadoop(path), hadoop(old))
-    fs.rename(hadoop(fresh), hadoop(path))
+
+    def move(a: str, b: str) -> None:
+        if not fs.rename(hadoop(a), hadoop(b)):
+            raise OSError(f"can't rename {a} to {b}")
+
+    if had := fs.exists(hadoop(path)):
+        move(path, old)
+    try:
+        move(fresh, path)
+    except Exception:
+        if had:
+            move(old, path)  # the old artifact stays
+        raise
     fs.delete(hadoop(old), True)
 
 

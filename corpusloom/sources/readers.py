@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import io
 import re
 import xml.etree.ElementTree as ET
@@ -85,7 +84,7 @@ def edges_tsv(spark: SparkSession, path: str, books: DataFrame) -> DataFrame:
     cells = F.split("value", "\t")
     to = F.split(F.get(cells, F.lit(1)), "-")
     rows = lines(spark, path).select(F.get(cells, F.lit(0)).alias("a"), F.get(to, F.lit(0)).alias("b"), F.coalesce(F.get(to, F.lit(1)), F.get(to, F.lit(0))).alias("c"), F.get(cells, F.lit(2)).try_cast("int").alias("votes"))
-    dim = F.broadcast(books.select(F.lower("code").alias("code"), "book_num"))  # 66 rows
+    dim = books.select(F.lower("code").alias("code"), "book_num")
     for name, key in (("a", "src"), ("b", "dst_start"), ("c", "dst_end")):
         bit = F.split(name, "[.]")
         key_of = (F.col("book_num").cast("long") * 1000 + F.get(bit, F.lit(1)).try_cast("int")) * 1000 + F.get(bit, F.lit(2)).try_cast("int")
@@ -185,17 +184,15 @@ def treebank(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInPandas(read, CLAUSE_COLUMNS)
 
 
-def zip_members(path: str, suffixes: tuple[str, ...] = (".usfm", ".sfm", ".tsv", ".txt"), depth: int = 3) -> dict[str, str]:
-    """Texts of an archive's members down to some depth, on the driver; write them to a shared folder for the readers above."""
-    with zipfile.ZipFile(path) as z:
-        fit = [n for n in z.namelist() if n.lower().endswith(suffixes) and n.count("/") <= depth and ".." not in Path(n).parts]
-        return {n: z.read(n).decode("utf-8-sig") for n in sorted(fit)}
+def zip_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".usfm", ".sfm", ".tsv", ".txt"), depth: int = 3) -> DataFrame:
+    """(archive, name, text) of the members, down to some depth, of all archives of a path; an archive is read in one task."""
 
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for archive, content in zip(part["path"], part["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for n in sorted(z.namelist()):  # a member at a time
+                        if n.lower().endswith(suffixes) and n.count("/") <= depth and ".." not in Path(n).parts:
+                            yield pd.DataFrame({"archive": [archive], "name": [n], "text": [z.read(n).decode("utf-8-sig")]})
 
-def csv_text(rows: list[dict]) -> str:
-    """A table as CSV text, for small exports."""
-    out = io.StringIO()
-    writer = csv.DictWriter(out, fieldnames=list(rows[0]) if rows else [])
-    writer.writeheader()
-    writer.writerows(rows)
-    return out.getvalue()
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "archive string, name string, text string")

@@ -168,9 +168,9 @@ def greek_on_spine(verses: DataFrame, spine: DataFrame, mapping: DataFrame) -> D
     to = F.when(F.col("book_num") == 19, ps).otherwise(F.struct(F.when(ezra, F.col("chapter") - 10).otherwise(F.col("chapter")).cast("int").alias("chapter"), F.col("verse").cast("int").alias("verse")))
     v = verses.withColumn("b", F.when(ezra, 16).otherwise(F.col("book_num"))).withColumn("to", to)
     ends = spine.where("book_num = 19").groupBy("chapter").agg(F.max("verse").alias("most")).select(F.col("chapter").alias("psalm"), "most")
-    own = verses.where("book_num = 19").withColumn("psalm", masoretic_psalm(F.col("chapter"), F.lit(1))["chapter"]).join(F.broadcast(ends), "psalm")  # 150 rows
+    own = verses.where("book_num = 19").withColumn("psalm", masoretic_psalm(F.col("chapter"), F.lit(1))["chapter"]).join(ends, "psalm")
     titled = own.where(F.col("verse") <= F.col("most") + 3).groupBy("chapter").agg((F.max("verse") > F.max("most")).alias("titled")).select(F.col("chapter").alias("lc"), "titled")
-    v = v.join(F.broadcast(titled), (F.col("book_num") == 19) & (F.col("chapter") == F.col("lc")), "left").drop("lc")
+    v = v.join(titled, (F.col("book_num") == 19) & (F.col("chapter") == F.col("lc")), "left").drop("lc")
     m = mapping.select(F.col("chapter").alias("mc"), F.col("verse").alias("mv"), F.col("spine_verse_id").alias("mapped"))
     v = v.join(m, (F.col("book_num") == 19) & F.col("titled") & (F.col("to.chapter") == F.col("mc")) & (F.col("to.verse") == F.col("mv")), "left")
     direct = (F.col("b").cast("long") * 1000 + F.col("to.chapter")) * 1000 + F.col("to.verse")
