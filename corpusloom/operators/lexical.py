@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.staging import cut
+
 
 def conjunction(tests: list[Column]) -> Column:
     """AND of any subset of tests; none is no restriction."""
@@ -48,30 +50,32 @@ def units_with_all(words: DataFrame, lemmas: list[str], unit: str) -> DataFrame:
     return hit.groupBy(unit).agg(F.countDistinct("lemma").alias("k")).where(F.col("k") == len(set(lemmas))).select(unit)
 
 
-def rarest_in(words: DataFrame, scope: Column, limit: int) -> DataFrame:
-    """Vocabulary of a passage, rarest in the corpus first. The passage's lemmas are few, so the corpus side is only filtered."""
-    inside = words.where(scope).groupBy("lemma").agg(F.count("*").alias("in_passage"))
+def rarest_in(words: DataFrame, passage: DataFrame, limit: int) -> DataFrame:
+    """Vocabulary of a passage, its words, rarest in the corpus first. The passage's lemmas are few, so the corpus side is only filtered."""
+    inside = passage.groupBy("lemma").agg(F.count("*").alias("in_passage"))
     corpus = words.join(inside, "lemma", "left_semi").groupBy("lemma").agg(F.count("*").alias("corpus"))
     return inside.join(corpus, "lemma").orderBy("corpus", F.desc("in_passage"), "lemma").limit(limit)
 
 
-def similar(words: DataFrame, start: int, end: int, most: int = 400, least: int = 2, limit: int = 15, terms: DataFrame | None = None) -> DataFrame:
-    """Verses that share at least `least` of the passage's terms of corpus frequency up to `most`, by summed 1/ln(freq+2)."""
-    terms = words.where(F.col("verse_id").between(start, end)).select("lemma").distinct() if terms is None else terms
-    freq = words.join(terms, "lemma", "left_semi").groupBy("lemma").agg(F.count("*").alias("freq")).where(F.col("freq").between(1, most))
-    pairs = words.select("verse_id", "lemma").join(freq, "lemma").where(~F.col("verse_id").between(start, end)).distinct()
+def similar(words: DataFrame, terms: DataFrame, start: int, end: int, most: int = 400, least: int = 2, limit: int = 15) -> DataFrame:
+    """Verses outside [start, end] that share at least `least` of the terms (lemma) of corpus frequency up to `most`, by
+    summed 1/ln(freq+2). The corpus is read once; what it has of the terms is tallied by verse and written."""
+    held = cut(words.join(terms, "lemma", "left_semi").groupBy("verse_id", "lemma").agg(F.count("*").alias("n")), "terms")
+    freq = held.groupBy("lemma").agg(F.sum("n").alias("freq")).where(F.col("freq").between(1, most))
+    pairs = held.where(~F.col("verse_id").between(start, end)).join(freq, "lemma")
     # decimal sums don't depend on the order of addition
     weight = F.round(1 / F.log(F.col("freq") + 2), 6).cast("decimal(18,6)")
     scored = pairs.groupBy("verse_id").agg(F.count("*").alias("shared"), F.sum(weight).cast("double").alias("score"))
     return scored.where(F.col("shared") >= least).orderBy(F.desc("score"), "verse_id").limit(limit)
 
 
-def collocates(words: DataFrame, lemma: str, least: int = 3, candidates: int = 60, most: int = 500, limit: int = 8) -> DataFrame:
-    """Lemmas that share at least `least` verses with a lemma: the first `candidates`, then those of corpus frequency up to `most`."""
-    there = words.where(F.col("lemma") == lemma).select("verse_id").distinct()
-    near = words.where(F.col("lemma") != lemma).join(there, "verse_id", "left_semi")
-    top = near.groupBy("lemma").agg(F.countDistinct("verse_id").alias("together")).where(F.col("together") >= least).orderBy(F.desc("together"), "lemma").limit(candidates)
-    corpus = words.join(F.broadcast(top), "lemma", "left_semi").groupBy("lemma").agg(F.count("*").alias("corpus"))  # top has at most `candidates` rows
+def collocates(seqs: DataFrame, lemma: str, least: int = 3, candidates: int = 60, most: int = 500, limit: int = 8) -> DataFrame:
+    """Lemmas that share at least `least` units of seqs (unit, ws) with a lemma: the first `candidates`, then those of corpus
+    frequency up to `most`. Only units that hold the lemma are taken apart for the first, and few words leave the second scan."""
+    near = seqs.where(F.array_contains("ws", lemma)).select(F.explode(F.array_distinct("ws")).alias("lemma")).where(F.col("lemma") != lemma)
+    top = near.groupBy("lemma").agg(F.count("*").alias("together")).where(F.col("together") >= least).orderBy(F.desc("together"), "lemma").limit(candidates)
+    every = seqs.select(F.explode("ws").alias("lemma"))
+    corpus = every.join(F.broadcast(top), "lemma", "left_semi").groupBy("lemma").agg(F.count("*").alias("corpus"))  # top has at most `candidates` rows
     return top.join(corpus, "lemma").where(F.col("corpus") <= most).orderBy(F.desc("together"), "lemma").limit(limit)
 
 

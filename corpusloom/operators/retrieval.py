@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.scalar import first_words
+from corpusloom.staging import cut
 
 
 def in_scope(key: str, scope: list[tuple[int, int]]) -> Column:
@@ -84,8 +85,8 @@ def outline(verses: DataFrame, words: DataFrame, rare: int = 2, incipit: int = 9
     """For each chapter: verses after the title, its first words, and its rarest lemmas by corpus frequency."""
     heads = verses.groupBy("doc_id").agg(F.count(F.when(F.col("verse") > 0, 1)).alias("n_verses"), F.min_by("text", "verse").alias("first"))
     opening = first_words("first", incipit)
-    freq = words.groupBy("lemma").agg(F.count("*").alias("freq"))
-    here = words.select("doc_id", "lemma").distinct().join(freq, "lemma")
+    held = cut(words.groupBy("doc_id", "lemma").agg(F.count("*").alias("n")), "vocabulary")  # the words are read once
+    here = held.join(held.groupBy("lemma").agg(F.sum("n").alias("freq")), "lemma")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("freq", "lemma"))
     top = here.withColumn("k", rank).where(F.col("k") <= rare).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "lemma"))), lambda x: x["lemma"]), ",").alias("rarest"))
     return heads.select("doc_id", "n_verses", opening.alias("incipit")).join(top, "doc_id", "left")

@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import lexical
 from corpusloom.plans.registry import query
-from corpusloom.tables import table, tokens, words
+from corpusloom.tables import sequences, table, tokens, verses, words
+
+#: The passage that vocabulary queries start from: lines 1 to 12 of document 6.
+PASSAGE = 6_000_001, 6_000_012
+
+
+def passage_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir, [PASSAGE]).where(F.col("verse_id").between(*PASSAGE))
+
 
 @query("SELECT surface, count(*)::BIGINT AS n, min(verse_id) AS first FROM words WHERE lemma = 'that' GROUP BY surface", "words")
 def lemma_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +76,7 @@ SELECT lemma, in_passage, corpus FROM p JOIN c USING (lemma) ORDER BY corpus, in
     "words",
 )
 def cooccur_profile_rarest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.rarest_in(words(spark, sf_dir), F.col("verse_id").between(6_000_001, 6_000_012), 30)
+    return lexical.rarest_in(words(spark, sf_dir), passage_words(spark, sf_dir), 30)
 
 
 SIMILAR_SQL = """f AS (SELECT lemma, count(*) AS freq FROM words WHERE lemma IN (SELECT lemma FROM terms) GROUP BY lemma HAVING count(*) BETWEEN 1 AND 400),
@@ -79,7 +87,7 @@ SELECT verse_id, shared, score FROM s WHERE shared >= 2 ORDER BY score DESC, ver
 
 @query("terms AS (SELECT DISTINCT lemma FROM words WHERE verse_id BETWEEN 6000001 AND 6000012), " + SIMILAR_SQL, "words")
 def similar_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.similar(words(spark, sf_dir), 6_000_001, 6_000_012)
+    return lexical.similar(words(spark, sf_dir), passage_words(spark, sf_dir).select("lemma").distinct(), *PASSAGE)
 
 
 @query(
@@ -91,10 +99,10 @@ terms AS (SELECT lemma FROM own UNION SELECT b FROM links JOIN own ON a = lemma
 )
 def similar_bridged(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = words(spark, sf_dir)
-    own = w.where(F.col("verse_id").between(6_000_001, 6_000_012)).select("lemma").distinct()
+    own = passage_words(spark, sf_dir).select("lemma").distinct()
     links = w.select(F.col("lemma").alias("a"), F.concat(F.lit("re"), "lemma").alias("b")).distinct()
     across = links.join(own, links["a"] == own["lemma"], "left_semi").select(F.col("b").alias("lemma")).union(links.join(own, links["b"] == own["lemma"], "left_semi").select("a"))
-    return lexical.similar(w, 6_000_001, 6_000_012, terms=own.union(across).distinct())
+    return lexical.similar(w, own.union(across).distinct(), *PASSAGE)
 
 
 @query(
@@ -105,7 +113,7 @@ SELECT lemma, together, corpus FROM t JOIN c USING (lemma) WHERE corpus <= 500 O
     "words",
 )
 def survey_collocates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.collocates(words(spark, sf_dir), "worthless")
+    return lexical.collocates(sequences(verses(spark, sf_dir).select("verse_id", "text")), "worthless")
 
 
 @query("SELECT count(*)::BIGINT AS total, count(DISTINCT verse_id)::BIGINT AS verses, count(DISTINCT book_num)::BIGINT AS books, min(verse_id) AS first, max(verse_id) AS last, count(CASE WHEN book_num <= 10 THEN 1 END)::BIGINT AS in_first_half FROM words WHERE lemma = 'worthless'", "words")
