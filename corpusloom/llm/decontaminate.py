@@ -68,7 +68,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows with their words and word offsets, in blocks of bounded size."""
-    for b in split_batches(batches, "words", 2 << 20):
+    for b in split_batches(batches, "words", 1 << 20):
         col = b.column("words")
         off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
         words = np.frombuffer(col.buffers()[2] or b"", np.uint8)[off[0] : off[-1]].view(np.uint32)

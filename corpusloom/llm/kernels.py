@@ -16,7 +16,7 @@ _WORD = np.zeros(256, bool)
 for _r in (range(48, 58), range(65, 91), range(97, 123), range(128, 256)):
     _WORD[_r.start : _r.stop] = True
 _WORD[95] = True
-_SPLIT_BYTES = 2 << 20
+_SPLIT_BYTES = 1 << 20
 
 
 @cache
