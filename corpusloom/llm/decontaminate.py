@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.kernels import doc_words, mix, segment_sum, split_batches
+from corpusloom.llm.kernels import doc_words, lean, mix, segment_sum, split_batches
 from corpusloom.llm.shared import cut, pick, seal
 
 #: Hash buckets of words, words of a TF-IDF passage, rows of the sketch, dimensions of the latent space.
@@ -63,7 +63,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column("doc_id"), b.column("digest"), blob.cast(pa.binary())], ["doc_id", "digest", "words"])
 
     known = pick(docs, doc_id="doc_id", text="text").where("text is not null").select("doc_id", _digest().alias("digest"), "text")
-    return known.mapInArrow(run, "doc_id long, digest long, words binary")
+    return known.mapInArrow(lean(run), "doc_id long, digest long, words binary")
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -101,7 +101,7 @@ def passage_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(held)
         yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(held[some], n))], ["bucket", "n"])
 
-    rows = tokens.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # a row for each bucket
+    rows = tokens.mapInArrow(lean(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # a row for each bucket
     held = np.zeros(BUCKETS + 1, np.int64)
     held[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return held[:-1], int(held[-1])
@@ -142,9 +142,9 @@ def sketch(tokens: DataFrame, idf: np.ndarray) -> np.ndarray:
                 sums[row] = sums.get(row, 0) + np.frombuffer(part.as_buffer(), kind).astype(np.float64)
         yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["row", "part"])
 
-    parts = tokens.mapInArrow(run, "branch long, row long, part binary").repartition("row", "branch")
-    some = parts.mapInArrow(lambda batches: add(batches, np.float32), "row long, part binary").repartition("row")
-    rows = some.mapInArrow(lambda batches: add(batches, np.float64), "row long, part binary").toArrow()  # SKETCH rows
+    parts = tokens.mapInArrow(lean(run), "branch long, row long, part binary").repartition("row", "branch")
+    some = parts.mapInArrow(lean(lambda batches: add(batches, np.float32)), "row long, part binary").repartition("row")
+    rows = some.mapInArrow(lean(lambda batches: add(batches, np.float64)), "row long, part binary").toArrow()  # SKETCH rows
     shared.destroy()
     out = np.zeros((SKETCH, BUCKETS))
     for row, part in zip(rows.column("row").to_pylist(), rows.column("part").to_pylist()):
@@ -373,7 +373,7 @@ def _found(tokens: DataFrame, space: Space, passages: list[Passage]) -> DataFram
             kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.record_batch([*ids, *(pa.array(c, k) for c, k in zip(rest, kinds))], ["doc_id", "digest", "item_id", "lcs", "answer", "cosine", "start"])
 
-    return tokens.mapInArrow(run, "doc_id long, digest long, item_id long, lcs double, answer double, cosine double, start long")
+    return tokens.mapInArrow(lean(run), "doc_id long, digest long, item_id long, lcs double, answer double, cosine double, start long")
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

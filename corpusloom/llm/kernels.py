@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -37,6 +37,16 @@ def give_back() -> None:
         heap.malloc_trim(0)
 
 
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`work`, and then, when its own variables are gone, what it has freed goes back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads entropy over all 64 bits."""
     x = x.astype(np.uint64, copy=True)
@@ -122,7 +132,6 @@ def split_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most:
             lo = hi
         del batch
         give_back()
-    give_back()
 
 
 def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.kernels import segment_sum, split_batches, text_bytes
+from corpusloom.llm.kernels import lean, segment_sum, split_batches, text_bytes
 from corpusloom.llm.shared import pick
 
 #: Most labelled documents to fit on, hash buckets, embedding width, steps, learning rate, documents in a step.
@@ -161,7 +161,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     known = pick(docs, doc_id="doc_id", text="text", lang="lang").where("doc_id is not null and text is not null and text != '' and lang is not null")
     ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = known.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.lang", "r.text")
-    rows = chosen.mapInArrow(count, "doc_id long, lang string, ids array<int>, times array<int>").toArrow().sort_by("doc_id")
+    rows = chosen.mapInArrow(lean(count), "doc_id long, lang string, ids array<int>, times array<int>").toArrow().sort_by("doc_id")
     bags = [(np.array(i, np.int64), np.array(t, np.int64)) for i, t in zip(rows.column("ids").to_pylist(), rows.column("times").to_pylist())]
     return fit_bags(bags, rows.column("lang").to_pylist())
 
@@ -188,4 +188,4 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             label = np.where(count > 0, names[p.argmax(1)], "und")
             yield pa.record_batch([b.column(0), pa.array(label.tolist(), pa.string()), pa.array(best), pa.array(ok)], ["doc_id", "predicted", "confidence", "accepted"])
 
-    return pick(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, predicted string, confidence double, accepted boolean")
+    return pick(docs, doc_id="doc_id", text="text").mapInArrow(lean(run), "doc_id long, predicted string, confidence double, accepted boolean")

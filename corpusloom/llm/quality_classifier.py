@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.kernels import mix, segment_sum, span_hashes, split_batches, text_bytes, word_spans
+from corpusloom.llm.kernels import lean, mix, segment_sum, span_hashes, split_batches, text_bytes, word_spans
 from corpusloom.llm.shared import pick, seal
 
 #: Most labelled documents to fit on; the sample is broadcast, so this bounds its size too.
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     known = pick(labels, doc_id="doc_id", quality="quality").where("doc_id is not null and quality is not null")
     chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = pick(docs, doc_id="doc_id", text="text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(_statistics_udf, "doc_id long, quality int, x array<double>")
+    rows = texts.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(lean(_statistics_udf), "doc_id long, quality int, x array<double>")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).select("doc_id", "r.quality", "r.x").toArrow().sort_by("doc_id")
     x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, rows.column("quality").to_numpy())

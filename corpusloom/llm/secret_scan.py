@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.kernels import split_batches, text_bytes
+from corpusloom.llm.kernels import lean, split_batches, text_bytes
 from corpusloom.llm.shared import pick
 
 #: Rule names and expressions, in the syntax that Python (with re.ASCII) and RE2 share.
@@ -176,7 +176,7 @@ def scan(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
             ids = b.column(0).take(pa.array(i, pa.int64()))
             yield pa.record_batch([ids, pa.array(name, pa.string()), pa.array(n, pa.int64()), pa.array(prefix, pa.string()), pa.array(length, pa.int64())], ["doc_id", "rule", "n_matches", "first_prefix", "first_length"])
 
-    return pick(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, rule string, n_matches long, first_prefix string, first_length long")
+    return pick(docs, doc_id="doc_id", text="text").mapInArrow(lean(run), "doc_id long, rule string, n_matches long, first_prefix string, first_length long")
 
 
 def oracle(rules: dict[str, str] | None = None) -> str:

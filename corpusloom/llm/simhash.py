@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.kernels import doc_words, give_back, mix, split_batches, text_bytes
+from corpusloom.llm.kernels import doc_words, give_back, lean, mix, split_batches, text_bytes
 from corpusloom.llm.shared import cut, discard, pick, seal
 
 BITS, SEGMENTS, MAX_DISTANCE = 512, 16, 80
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0), _binary(signatures_of(b.column(1)))], ["doc_id", "sig"])
 
     known = pick(docs, doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
-    return known.mapInArrow(run, "doc_id long, sig binary")
+    return known.mapInArrow(lean(run), "doc_id long, sig binary")
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -231,7 +231,6 @@ def _by_group(batches: Iterator[pa.RecordBatch], done: Callable[[pa.RecordBatch]
             give_back()
     if kept:
         yield done(pa.concat_batches(kept))
-    give_back()
 
 
 def _pairs(edges: np.ndarray, *names: str) -> pa.RecordBatch:
@@ -263,9 +262,9 @@ def candidates(reps: DataFrame) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _by_group(batches, done)
 
-    spreading = reps.select("doc_id", "sig").mapInArrow(rows, "bucket int, doc long, c0 long, c1 long")
+    spreading = reps.select("doc_id", "sig").mapInArrow(lean(rows), "bucket int, doc long, c0 long, c1 long")
     together = spreading.repartition("bucket").sortWithinPartitions("bucket", "doc")
-    return together.mapInArrow(join, "root long, member long").repartition("member").dropDuplicates(["root", "member"])
+    return together.mapInArrow(lean(join), "root long, member long").repartition("member").dropDuplicates(["root", "member"])
 
 
 def verified(groups: DataFrame, reps: DataFrame) -> DataFrame:
@@ -280,7 +279,7 @@ def verified(groups: DataFrame, reps: DataFrame) -> DataFrame:
         return _by_group(batches, done)
 
     rows = groups.join(reps.select(F.col("doc_id").alias("member"), "sig"), "member").select("root", "member", "sig")
-    return rows.repartition("root").sortWithinPartitions("root", "member").mapInArrow(run, "a long, b long")
+    return rows.repartition("root").sortWithinPartitions("root", "member").mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm.kernels import segment_sum, span_hashes, split_batches, text_bytes, word_spans
+from corpusloom.llm.kernels import lean, segment_sum, span_hashes, split_batches, text_bytes, word_spans
 from corpusloom.llm.shared import pick
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -197,4 +197,4 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             words, tokens = count_texts(own, b.column(1))
             yield pa.record_batch([b.column(0), pa.array(words, mask=null), pa.array(tokens, mask=null)], ["doc_id", "n_words", "n_tokens"])
 
-    return pick(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return pick(docs, doc_id="doc_id", text="text").mapInArrow(lean(run), "doc_id long, n_words long, n_tokens long")

@@ -20,6 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.kernels import lean
 from corpusloom.llm.shared import pick, shared_dir
 
 BLOCKED = tuple(f"{name}.example.{end}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org"))
@@ -144,7 +145,7 @@ def filter_urls(pages: DataFrame, blocked: Iterable[str] | DataFrame = BLOCKED)
             found = pa.array(matched, pa.string())
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), found, found.is_valid()], ["page_id", "url", "host", "matched", "blocked"])
 
-    return keyed.mapInArrow(probe, "page_id long, url string, host string, matched string, blocked boolean")
+    return keyed.mapInArrow(lean(probe), "page_id long, url string, host string, matched string, blocked boolean")
 
 
 def oracle(blocked: Iterable[str] = BLOCKED) -> str:
