@@ -15,7 +15,7 @@ def slug(col: str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(col), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def summary(*parts: str) -> Column:
+def summary(*parts: str | Column) -> Column:
     """The parts that are there, joined by blanks."""
     return F.concat_ws(" ", *parts)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import retrieval
+from corpusloom.functions import scalar
+from corpusloom.operators import lexical, retrieval
 from corpusloom.plans.registry import query
 from corpusloom.tables import LINES, documents, lines_of, table, verses, words
 
@@ -71,3 +72,19 @@ SELECT doc_id, n_verses, array_to_string(regexp_split_to_array(trim(first), '\s+
 )
 def outline_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.outline(verses(spark, sf_dir), words(spark, sf_dir))
+
+
+@query(
+    """f AS (SELECT lemma, surface, count(*) AS n FROM words GROUP BY ALL), g AS (SELECT lemma, surface AS gloss FROM f QUALIFY row_number() OVER (PARTITION BY lemma ORDER BY n DESC, surface) = 1)
+SELECT verse_id, word_num, left(surface, 3) || CASE WHEN length(surface) > 3 THEN '+' || substr(surface, 4) ELSE '' END AS parts, gloss,
+  concat_ws(' ', CASE WHEN regexp_matches(surface, '^\\p{Lu}') THEN 'upper' ELSE 'lower' END, right(lemma, 2)) AS morph
+FROM words JOIN g USING (lemma) WHERE verse_id BETWEEN 8000008 AND 8000037""".replace("\\\\p", "\\p"),
+    "words",
+)
+def interlinear_glossed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word of a passage with its parts, its usual form as gloss, and its attributes. Only lemmas of the passage are tallied."""
+    here = words(spark, sf_dir, [(8_000_008, 8_000_037)]).where(F.col("verse_id").between(8_000_008, 8_000_037))
+    gloss = lexical.majority(words(spark, sf_dir).join(here.select("lemma").distinct(), "lemma", "left_semi"), "lemma", "surface").select("lemma", F.col("surface").alias("gloss"))
+    parts = F.concat(F.left("surface", F.lit(3)), F.when(F.length("surface") > 3, F.concat(F.lit("+"), F.substring("surface", 4, 1 << 30))).otherwise(""))
+    shape = F.when(F.col("surface").rlike(r"^\p{Lu}"), "upper").otherwise("lower")
+    return here.join(gloss, "lemma").select("verse_id", "word_num", parts.alias("parts"), "gloss", scalar.summary(shape, F.right(F.col("lemma"), F.lit(2))).alias("morph"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import normalise, refs, scalar
 from corpusloom.operators import retrieval
 from corpusloom.plans.registry import query
-from corpusloom.session import describe
+from corpusloom.session import TABLES, describe
 from corpusloom.tables import table, verses, words
 
 #: A verse reference for each line item: book, chapter and verse are remainders.
@@ -113,6 +115,13 @@ def schema_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(spark, sf_dir).select("table", "column")
 
 
+@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*)::BIGINT AS rows FROM {t}" for t in TABLES))
+def doctor_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables that can be read, with their rows."""
+    each = [table(spark, sf_dir, t).agg(F.count("*").alias("rows")).select(F.lit(t).alias("table"), "rows") for t in TABLES]
+    return reduce(DataFrame.union, each)
+
+
 @query("WITH e AS (SELECT user_id, nullif(event_type, 'view') AS kind, event_id FROM events WHERE user_id < 300), n AS (SELECT user_id, kind, min(event_id) AS first FROM e GROUP BY ALL) SELECT e.event_id, n.first FROM e JOIN n ON e.user_id = n.user_id AND e.kind IS NOT DISTINCT FROM n.kind")
 def null_safe_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of two columns, one of which may be null on both sides."""

@@ -106,3 +106,20 @@ def study_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def study_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "events").withColumn("session", F.col("user_id").cast("string"))
     return session.deleted(log, "7").groupBy("user_id").agg(F.count("*").alias("events"))
+
+
+@query(
+    """WITH log AS (SELECT user_id % 5 AS session, event_id AS seq, event_id % 60 AS note_id, event_type AS kind, CASE WHEN value > 50 THEN 'supported' ELSE 'refuted' END AS status FROM events),
+n AS (SELECT session, note_id, seq FROM log WHERE kind = 'error'), r AS (SELECT session, note_id, arg_max(status, seq) AS newest FROM log WHERE kind = 'signup' GROUP BY ALL)
+SELECT session::VARCHAR AS session, note_id::INT AS note_id, seq::VARCHAR AS text, coalesce(newest, 'open') AS status FROM n LEFT JOIN r USING (session, note_id)"""
+)
+def study_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes with the status of the last event that resolves them."""
+    e = table(spark, sf_dir, "events")
+    note = F.col("event_type") == "error"
+    status = F.when(note, "open").when(F.col("value") > 50, "supported").otherwise("refuted")
+    log = e.where(F.col("event_type").isin("error", "signup")).select(
+        (F.col("user_id") % 5).cast("string").alias("session"), F.col("event_id").alias("seq"), F.when(note, "note").otherwise("resolve").alias("kind"), (F.col("event_id") % 60).cast("int").alias("note_id"),
+        F.lit("question").alias("type"), F.col("event_id").cast("string").alias("text"), F.array("event_id").alias("refs"), F.lit(None).cast("int").alias("against"), status.alias("status"),
+    )
+    return session.notes(log).select("session", "note_id", "text", "status")

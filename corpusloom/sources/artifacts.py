@@ -62,6 +62,26 @@ def write_artifact(spark: SparkSession, path: str, tables: dict[str, DataFrame],
     fs.delete(hadoop(old), True)
 
 
+def rebuild_tables(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> None:
+    """Replace some tables of an artifact, each by a rename once it is written; the others stay as they are.
+
+    The new tables may be made from the old ones.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/_new-{mark}/{name}")
+    for name in tables:
+        old, new, at = hadoop(f"{path}/_old-{mark}/{name}"), hadoop(f"{path}/_new-{mark}/{name}"), hadoop(f"{path}/{name}")
+        fs.mkdirs(old.getParent())
+        if fs.exists(at) and not fs.rename(at, old) or not fs.rename(new, at):
+            raise OSError(f"can't replace {name}")
+        spark.catalog.refreshByPath(f"{path}/{name}")
+    for part in ("new", "old"):
+        fs.delete(hadoop(f"{path}/_{part}-{mark}"), True)
+
+
 def replace_by_id(existing: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """The rows of one imported id replaced by new ones."""
     return existing.where(F.col(key) != value).unionByName(new.withColumn(key, F.lit(value)), allowMissingColumns=True)

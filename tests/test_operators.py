@@ -269,6 +269,10 @@ def test_artifacts(spark, tmp_path):
     own = artifacts.attach_optional(spark, f"file://{tmp_path}", "bad", "x int")
     assert [r.x for r in own.collect()] == [7]
     assert {(r.x, r.y) for r in artifacts.union_texts(own, spark.createDataFrame([(1, 2)], "x int, y int")).collect()} == {(7, None), (1, 2)}
+    artifacts.write_artifact(spark, path, {"verses": verses, "words": spark.range(4)})
+    artifacts.rebuild_tables(spark, path, {"verses": spark.read.parquet(f"{path}/verses").where("verse_id = 2")})
+    again = artifacts.open_artifact(spark, path, ["verses", "words"])
+    assert [r.text for r in again["verses"].collect()] == ["b"] and again["words"].count() == 4 and sorted(p.name for p in (tmp_path / "core").iterdir()) == ["meta", "verses", "words"]
     artifacts.write_artifact(spark, path, {"verses": verses}, meta={"schema_version": "99"})
     with pytest.raises(ValueError, match="newer"):
         artifacts.open_artifact(spark, path, ["verses"])
