@@ -52,10 +52,11 @@ QUERIES = {
     f.__name__: f
     for f in (op1_language_id, op2_simhash_near_dedup, op3_url_filter, op4_quality_rules, op5_quality_classifier, op6_secret_scan, op7_mix_sources, op8_decontaminate, op9_token_counts, op10_shard)
 }
-#: The others rest on models, hashes or tries that SQL can't express; tests/llm compares them with brute-force versions.
+#: The others rest on models or hashes that SQL can't express; tests/llm compares them with brute-force versions.
 ORACLES = {
     "op3_url_filter": url_filter.oracle(),
     "op4_quality_rules": quality_rules.oracle(),
     "op6_secret_scan": secret_scan.oracle(),
     "op7_mix_sources": mixing.oracle(),
+    "op9_token_counts": token_counts.oracle(),
 }

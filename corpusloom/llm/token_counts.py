@@ -183,7 +183,8 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_words, n_tokens) for each row of docs, over the whole lower-cased text.
 
     Words are runs of letters, digits, underscores and non-ASCII characters; every other character but white space is a
-    word of its own. A word that the vocabulary cannot spell is one token. A null text has null counts, an empty one 0. A
+    word of its own. Where the pieces matched don't end in a word-final one, the end mark is a token of its own: the
+    vocabulary's newline, which no word holds, stands for it. A word that the vocabulary cannot spell is one token. A null text has null counts, an empty one 0. A
     very long text without blanks is one word, read to its end; its time is in proportion to its length.
     Rows with a null doc_id and repeated rows are counted row by row. Only doc_id and text are read.
     """
@@ -198,3 +199,24 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(words, mask=null), pa.array(tokens, mask=null)], ["doc_id", "n_words", "n_tokens"])
 
     return pick(docs, doc_id="doc_id", text="text").mapInArrow(lean(run), "doc_id long, n_words long, n_tokens long")
+
+
+def oracle(tokenizer: str = TOKENIZER) -> str:
+    """The same rows in DuckDB SQL: the longest piece at every place of every distinct word, then a walk from piece to piece."""
+    return f"""
+WITH RECURSIVE alphabet AS (SELECT b, CASE WHEN b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174 THEN chr(b) ELSE chr((256 + count(*) FILTER (WHERE NOT (b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174)) OVER (ORDER BY b) - 1)::INT) END AS c
+  FROM (SELECT unnest(range(256))::INT AS b)),
+stand AS (SELECT map(list(printf('%02X', b) ORDER BY b), list(c ORDER BY b)) AS m, string_agg(c, '' ORDER BY b) AS letters FROM alphabet),
+pieces AS (SELECT unnest(json_keys(content, '$.model.vocab')) AS piece FROM read_text('{tokenizer}')),
+vocabulary AS (SELECT DISTINCT CASE WHEN ends_with(piece, '</w>') THEN left(piece, length(piece) - 4) || chr(10) ELSE piece END AS whole, replace(whole, 'Ċ', chr(10)) AS v FROM pieces, stand
+  WHERE piece <> '</w>' AND translate(CASE WHEN ends_with(piece, '</w>') THEN left(piece, length(piece) - 4) ELSE piece END, letters, '') = ''),
+d AS (SELECT row_number() OVER () AS row, doc_id, text IS NULL AS bare, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\\x{{80}}-\\x{{10FFFF}}]+|[^ \\t\\n\\r\\x0B\\x0C]') AS k FROM documents),
+each AS (SELECT row, unnest(k) AS w FROM d),
+words AS (SELECT w, list_reduce(list_transform(range(octet_length(encode(w))), lambda i: m[substr(hex(encode(w)), 2 * i + 1, 2)]), lambda a, b: a || b) || chr(10) AS s FROM (SELECT DISTINCT w FROM each), stand),
+places AS (SELECT w, p, length(s) AS n, substr(s, p, (SELECT max(length(v)) FROM vocabulary)) AS rest FROM (SELECT w, s, unnest(range(1, length(s) + 1)) AS p FROM words)),
+tails AS (SELECT w, p, l, left(rest, l) AS v FROM (SELECT w, p, rest, unnest(range(1, length(rest) + 1)) AS l FROM places)),
+longest AS (SELECT w, p, max(l) AS l FROM tails SEMI JOIN vocabulary USING (v) GROUP BY w, p),
+walk AS (SELECT w, 1::BIGINT AS p, 0 AS n FROM words UNION ALL SELECT w, p + l, n + 1 FROM walk JOIN longest USING (w, p)),
+counts AS (SELECT w, CASE WHEN max(p) = (SELECT length(s) + 1 FROM words o WHERE o.w = walk.w) THEN max(n) ELSE 1 END AS n FROM walk GROUP BY w),
+sums AS (SELECT row, count(*) AS n_words, sum(n) AS n_tokens FROM each JOIN counts USING (w) GROUP BY row)
+SELECT doc_id, CASE WHEN NOT bare THEN coalesce(n_words, 0) END::BIGINT AS n_words, CASE WHEN NOT bare THEN coalesce(n_tokens, 0) END::BIGINT AS n_tokens FROM d LEFT JOIN sums USING (row)"""
