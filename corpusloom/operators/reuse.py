@@ -183,7 +183,8 @@ def parallels(lines: DataFrame, near: int = 2, distinctive: int = 300, cap: int
     kept = F.filter(F.filter("runs", lambda r: r["len"] >= 3), fits)
     # the longest; of equal ones the first, then that on the lowest diagonal
     best = F.array_max(F.transform(kept, lambda r: F.struct(r["len"].alias("len"), (-r["start"]).alias("back"), (-r["diag"]).alias("turn"))))
-    found = both.select("a", "b", best.alias("r")).where("r is not null").select("a", "b", F.col("r.len").cast("long").alias("len"), (1 - F.col("r.back")).cast("long").alias("start_a"), (-F.col("r.turn")).alias("diag"))
+    # exploded, as a filter on it would be pushed down and find the runs a second time
+    found = both.select("a", "b", F.explode(F.array_compact(F.array(best))).alias("r")).select("a", "b", F.col("r.len").cast("long").alias("len"), (1 - F.col("r.back")).cast("long").alias("start_a"), (-F.col("r.turn")).alias("diag"))
     return found.select("a", "b", "start_a", (F.col("start_a") + F.col("diag")).alias("start_b"), "len", tier_of("len").alias("tier"))
 
 
