@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,8 +41,9 @@ RULES = (
 METRICS = ("n_chars", "n_words", "mean_word_length", "symbol_ratio", "bar_ratio", "bang_ratio", "upper_ratio", "stop_word_ratio", "mean_line_words", "copied_line_ratio")
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+def _count(text: Column, chars: str) -> Column:
+    """How many of the characters a text has; one scan by a character class is far cheaper than a translation table."""
+    return F.regexp_count(text, F.lit("[" + re.sub(r"([\\\[\]^&-])", r"\\\1", chars) + "]"))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -55,10 +57,10 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     text = F.col("text")
     base = pick(docs, doc_id="doc_id", text="text").select(
         "doc_id", "text", F.length(text).cast("long").alias("n_chars"),
-        F.filter(F.split(text, "[ \t\r\n]+"), lambda w: w != "").alias("w"),
+        F.filter(F.split(F.lower(text), "[ \t\r\n]+"), lambda w: w != "").alias("w"),
         F.filter(F.split(text, "\n"), lambda x: F.length(x) > 0).alias("x"),
     )
-    stop_count = F.size(F.filter("w", lambda w: F.lower(w).isin(STOP_WORDS)))
+    stop_count = F.size(F.filter("w", lambda w: w.isin(STOP_WORDS)))
 
     def ratio(a: Column, b: Column) -> Column:
         return F.when(text.isNotNull(), F.when(b > 0, a.cast("double") / b.cast("double")).otherwise(F.lit(0.0)))
@@ -66,11 +68,11 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     n_words, n_lines = F.size("w"), F.size("x")
     metrics = {
         "n_words": F.when(text.isNotNull(), n_words.cast("long")),
-        "mean_word_length": ratio(_without(text, " \t\r\n"), n_words),
-        "symbol_ratio": ratio(F.col("n_chars") - _without(text, SYMBOLS), F.col("n_chars")),
-        "bar_ratio": ratio(F.col("n_chars") - _without(text, "|"), n_words),
-        "bang_ratio": ratio(F.col("n_chars") - _without(text, "!"), n_words),
-        "upper_ratio": ratio(F.col("n_chars") - _without(text, UPPER), F.col("n_chars")),
+        "mean_word_length": ratio(F.col("n_chars") - _count(text, " \t\r\n"), n_words),
+        "symbol_ratio": ratio(_count(text, SYMBOLS), F.col("n_chars")),
+        "bar_ratio": ratio(_count(text, "|"), n_words),
+        "bang_ratio": ratio(_count(text, "!"), n_words),
+        "upper_ratio": ratio(_count(text, UPPER), F.col("n_chars")),
         "stop_word_ratio": ratio(stop_count, n_words),
         "mean_line_words": ratio(n_words, n_lines),
         "copied_line_ratio": ratio(n_lines - F.size(F.array_distinct("x")), n_lines),
