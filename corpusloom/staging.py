@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,15 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees (spark.checkpoint.dir); on a local master without one, a new temporary one."""
+    """The folder that every executor sees (spark.checkpoint.dir); on a local master without one, a new temporary one,
+    which goes when Python ends."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        own = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = f"file://{own}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
+    if "://" not in path:  # of the session's default file system; readers outside Spark must know which
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        path = at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toString()
+        path = path.replace("file:/", "file:///", 1) if path.startswith("file:/") else path
     return path
 
 
