@@ -143,6 +143,37 @@ def test_parallels_equal_a_search_of_all_diagonals(spark):
         assert got == brute_parallels(texts, **limits) and got
 
 
+def test_parallels_of_copies_and_long_lines(spark):
+    r = random.Random(5)
+    base = [[f"w{r.randrange(60)}" for _ in range(r.randint(20, 45))] for _ in range(4)]
+    texts = {}
+    for c in range(3):
+        for line in range(4):
+            ws = list(base[(c + line) % 4])
+            if c and line % 2:
+                ws[r.randrange(len(ws))] = "z"
+            texts[c, line] = ws
+    rows = [(1000 * c + line, c, line, ws) for (c, line), ws in texts.items()]
+    for limits in ({"near": 1, "distinctive": 6, "cap": 3, "rare": 5, "phrase": 3, "echo": 2}, {"near": 0, "distinctive": 5, "cap": 4, "rare": 5, "phrase": 2, "echo": 2}, {"near": 0, "distinctive": 11, "cap": 4, "rare": 5, "phrase": 4, "echo": 3}):
+        got = {((x.a // 1000, x.a % 1000), (x.b // 1000, x.b % 1000)): (x.start_a, x.start_b, x.len) for x in reuse.parallels(spark.createDataFrame(rows, "unit long, chapter long, line long, ws array<string>"), **limits).collect()}
+        assert got == brute_parallels(texts, **limits) and got
+
+
+def test_parallels_meet_at_grams_with_a_rare_word_only(spark):
+    """Lines that share only grams of common words were paired, with the words of both, before the gate refused them all."""
+    rows = [(u, u, 1, ["x", "y", "z", f"w{u}"]) for u in range(40)] + [(100 + u, 100 + u, 1, ["p", "q", "r", "s"]) for u in range(2)]
+    df = spark.createDataFrame(rows, "unit long, chapter long, line long, ws array<string>")
+    met = []
+    plain = reuse.cut
+    try:
+        reuse.cut = lambda d, name: (met.append((name, plain(d, name))), met[-1][1])[1]
+        found = reuse.parallels(df, distinctive=5, rare=5).select("a", "b", "len").collect()
+    finally:
+        reuse.cut = plain
+    assert list(map(tuple, found)) == [(100, 101, 4)]
+    assert sum(d.count() for name, d in met if name in ("grams", "met")) == 0  # the two copies are one class
+
+
 def test_chains_query_covers_every_source(spark):
     from corpusloom import plans
     from corpusloom.tables import words
