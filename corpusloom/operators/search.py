@@ -128,8 +128,7 @@ def snippet(text: str, words: str, around: int | None = None, size: int = 32, pr
     """
     wanted = parse_words(words)
     n = len(wanted)
-    t = F.split(F.trim(text), r"\s+")
-    clean = F.transform(t, lambda x: F.regexp_replace(F.lower(x), r"^[^\p{L}\p{N}'\-]+|[^\p{L}\p{N}'\-]+$", ""))
+    clean = lambda x: F.regexp_replace(F.lower(x), r"^[^\p{L}\p{N}'\-]+|[^\p{L}\p{N}'\-]+$", "")
 
     def starts(c: Column) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1)))
@@ -150,9 +149,15 @@ def snippet(text: str, words: str, around: int | None = None, size: int = 32, pr
         part = F.transform(F.slice(tokens, low, high - low + 1), lambda w, i: closed(opened(w, i + low), i + low))
         return F.concat(F.when(low > 1, F.lit("…")).otherwise(""), F.array_join(part, " "), F.when(high < end, F.lit("…")).otherwise(""))
 
-    # tokens and matches are found once, as the fields of one lambda's argument
-    found = F.transform(F.array(F.struct(t.alias("t"), starts(clean).alias("hits"))), lambda x: F.when(F.size(x["hits"]) > 0, shown(x)))
-    return F.get(found, F.lit(0))
+    # tokens, their clean forms and the matches are found once each, as the argument of the next lambda
+    rows = F.transform(F.array(F.split(F.trim(text), r"\s+")), lambda t: F.struct(t.alias("t"), F.transform(t, clean).alias("k")))
+    found = F.transform(rows, lambda x: F.struct(x["t"].alias("t"), starts(x["k"]).alias("hits")))
+    return F.get(F.transform(found, lambda x: F.when(F.size(x["hits"]) > 0, shown(x))), F.lit(0))
+
+
+def snippets(rows: DataFrame, key: str, text: str, words: str, **how: int | bool | None) -> DataFrame:
+    """(key, shown): the snippets of the rows that have one. Exploded, as a filter on it would be pushed down and find it twice."""
+    return rows.select(key, F.explode(F.array(snippet(text, words, **how))).alias("shown")).where("shown is not null")
 
 
 def _measure(w: str) -> int:

@@ -75,7 +75,7 @@ SELECT verse_id, (CASE WHEN low > 1 THEN '…' ELSE '' END) || array_to_string(l
 )
 def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = verses(spark, sf_dir).where(F.contains(F.lower("text"), F.lit("pathetic")))
-    return rows.select("verse_id", search.snippet("text", "pathetic", around=8).alias("shown")).where("shown is not null")
+    return search.snippets(rows, "verse_id", "text", "pathetic", around=8)
 
 
 PHRASE_SQL = r"""w AS (SELECT verse_id, regexp_split_to_array(trim(text), '\s+') AS t FROM verses),
@@ -93,7 +93,7 @@ s AS (SELECT *, least(low + 31, len(t)) AS high FROM b)"""
 def search_snippet_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase whose last word is a prefix, every match in a window of 32 tokens marked."""
     rows = verses(spark, sf_dir).where(F.contains(F.lower("text"), F.lit("of")))
-    return rows.select("verse_id", search.snippet("text", "of th", prefix=True).alias("shown")).where("shown is not null")
+    return search.snippets(rows, "verse_id", "text", "of th", prefix=True)
 
 
 @query(r"SELECT page_id FROM pages WHERE ' ' || array_to_string(regexp_extract_all(lower(url), '[\p{L}\p{N}''\-]+'), ' ') || ' ' LIKE '% example com %' AND NOT ' ' || array_to_string(regexp_extract_all(lower(url), '[\p{L}\p{N}''\-]+'), ' ') || ' ' LIKE '% www%'")

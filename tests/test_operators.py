@@ -238,6 +238,21 @@ def test_snippets(spark):
     assert [r.s for r in df.select(snippet("text", "of the", size=5).alias("s")).collect()][0] == "…>>of The,<< end of them"
 
 
+def test_snippets_of_long_lines_take_linear_time(spark):
+    """Each place of a phrase was tried on the tokens of the whole line, made anew for each."""
+    import time
+
+    from corpusloom.operators.search import snippets
+
+    df = spark.createDataFrame([(i, " ".join(["a"] * 20_000) + f" of the, w{i}") for i in range(8)], "id long, text string")
+    found = snippets(df, "id", "text", "of th", size=4, prefix=True)
+    began = time.time()
+    assert [r.shown for r in found.orderBy("id").collect()] == [f"…a >>of the,<< w{i}" for i in range(8)]
+    assert time.time() - began < 60
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+
+
 def test_structure(spark):
     words = spark.createDataFrame([(1, 1, 1, "ab", "H", 7), (1, 1, 2, "cd", "H", 7), (1, 2, 1, "x", "G", 7), (1, 2, 2, "y", "G", 7)], "v long, word_num long, part_num int, surface string, lang string, editions int")
     assert structure.reconstruct(words, "v").first().text == "abcd x"
