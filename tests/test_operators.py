@@ -84,6 +84,22 @@ def test_cross_runs_equal_direct_extension(spark):
         assert got == brute_runs(left, right, 3, cap)
 
 
+def test_lemmas_without_a_shuffle(spark):
+    """Every word went through two shuffles; with a long dictionary they still do, to the same end."""
+    seqs = spark.createDataFrame([(1, ["as", "b", "as", "cs"]), (2, []), (3, ["x"]), (4, None)], "unit long, ws array<string>")
+    tagged = spark.createDataFrame([("as", "a"), ("as", "a"), ("as", "as"), ("b", "b"), ("cs", "d"), ("cs", "c")], "surface string, lemma string")
+    want = [(1, ["a", "b", "a", "c"]), (3, ["x"])]
+    made = reuse.lemmatised(seqs, tagged)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.unit, r.ws) for r in made.collect()) == want
+    most = reuse.LEMMAS
+    try:
+        reuse.LEMMAS = 1
+        assert sorted((r.unit, r.ws) for r in reuse.lemmatised(seqs, tagged).collect()) == want
+    finally:
+        reuse.LEMMAS = most
+
+
 def test_tiers_replace_each_other(spark):
     kind = "a int, b int, len long, tier string"
     first = spark.createDataFrame([(1, 1, 5, "quotation"), (1, 2, 0, "echo"), (1, 3, 4, "allusion")], kind)
