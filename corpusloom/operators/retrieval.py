@@ -81,14 +81,21 @@ def chunks(chapters: DataFrame, book: str, order: str, size: str, budget: int) -
     )
 
 
-def outline(verses: DataFrame, words: DataFrame, rare: int = 2, incipit: int = 9) -> DataFrame:
-    """For each chapter: verses after the title, its first words, and its rarest lemmas by corpus frequency."""
+def outline(verses: DataFrame, words: DataFrame, rare: int = 2, incipit: int = 9, most: int = 20_000) -> DataFrame:
+    """For each chapter: verses after the title, its first words, and its rarest lemmas by corpus frequency.
+
+    The frequencies of the `most` commonest lemmas, which make up the bulk of a text, go to the tasks, where each chapter keeps
+    its rarest; only the other lemmas are joined to theirs.
+    """
     heads = verses.groupBy("doc_id").agg(F.count(F.when(F.col("verse") > 0, 1)).alias("n_verses"), F.min_by("text", "verse").alias("first"))
     opening = first_words("first", incipit)
-    held = cut(words.groupBy("doc_id", "lemma").agg(F.count("*").alias("n")), "vocabulary")  # the words are read once
-    here = held.join(held.groupBy("lemma").agg(F.sum("n").alias("freq")), "lemma")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("freq", "lemma"))
-    top = here.withColumn("k", rank).where(F.col("k") <= rare).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "lemma"))), lambda x: x["lemma"]), ",").alias("rarest"))
+    said = cut(words.select("doc_id", "lemma"), "vocabulary")  # the words are read once
+    freq = cut(said.groupBy("lemma").agg(F.count("*").alias("freq")), "frequencies")
+    named = said.join(F.broadcast(freq.orderBy(F.desc("freq"), "lemma").limit(most)), "lemma", "left").select("doc_id", "lemma", "freq")
+    others = named.where("freq is null").select("doc_id", "lemma").distinct().join(freq, "lemma").select("doc_id", "lemma", "freq")
+    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("freq", "lemma"))  # repeated lemmas count once; limited before the shuffle
+    top = named.where("freq is not null").union(others).withColumn("k", rank).where(F.col("k") <= rare)
+    top = top.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("k", "lemma"))), lambda x: x["lemma"]), ",").alias("rarest"))
     return heads.select("doc_id", "n_verses", opening.alias("incipit")).join(top, "doc_id", "left")
 
 

@@ -269,6 +269,17 @@ def test_snippets_of_long_lines_take_linear_time(spark):
     assert plan.count("regexp_replace") == 1
 
 
+def test_outline_joins_uncommon_lemmas_only(spark):
+    """All lemmas of all chapters were joined to their frequencies and ranked after a shuffle."""
+    said = [(1, w) for w in "a a a b b c".split()] + [(2, w) for w in "a b b d".split()] + [(3, "a"), (3, "a")]
+    words = spark.createDataFrame(said, "doc_id long, lemma string")
+    verses = spark.createDataFrame([(d, 1, "x y") for d in (1, 2, 3, 4)], "doc_id long, verse long, text string")
+    for most in (0, 2, 9):
+        made = retrieval.outline(verses, words, most=most)
+        assert {r.doc_id: r.rarest for r in made.collect()} == {1: "c,b", 2: "d,b", 3: "a", 4: None}
+    assert "WindowGroupLimit" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_structure(spark):
     words = spark.createDataFrame([(1, 1, 1, "ab", "H", 7), (1, 1, 2, "cd", "H", 7), (1, 2, 1, "x", "G", 7), (1, 2, 2, "y", "G", 7)], "v long, word_num long, part_num int, surface string, lang string, editions int")
     assert structure.reconstruct(words, "v").first().text == "abcd x"
