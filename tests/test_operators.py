@@ -1,5 +1,6 @@
 """Operators on hand-made tables, and the readers on small files."""
 
+import collections
 import itertools
 import random
 import zipfile
@@ -7,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import plans
 from corpusloom.operators import lexical, positional, retrieval, reuse, session, structure
 from corpusloom.session import read_only_sql, truncated
 from corpusloom.sources import artifacts, readers
@@ -84,6 +86,56 @@ def test_cross_runs_equal_direct_extension(spark):
         assert got == brute_runs(left, right, 3, cap)
 
 
+def plain_best_runs(left, right, n, cap, freq):
+    """(a, b): (diag, start, len, least) by trying every diagonal of every pair."""
+    places = collections.Counter(tuple(ws[j : j + n]) for ws in right.values() for j in range(len(ws) - n + 1))
+    best = {}
+    for (a, x), (b, y) in itertools.product(left.items(), right.items()):
+        for diag in range(-len(x), len(y)):
+            same = [i for i in range(len(x)) if 0 <= i + diag < len(y) and x[i] == y[i + diag]]
+            for _, isle in itertools.groupby(enumerate(same), lambda e: e[1] - e[0]):
+                isle = [i for _, i in isle]
+                live = [i for i in isle[: max(0, len(isle) - n + 1)] if places[tuple(x[i : i + n])] <= cap]
+                if live:
+                    size = isle[-1] + 1 - live[0]
+                    best[a, b] = min(best.get((a, b), (0, 0, 0)), (-size, live[0], diag))
+    return {k: (diag, start, -size, min(freq[w] for w in left[k[0]][start : start + n]) if size == -n else None) for k, (size, start, diag) in best.items()}
+
+
+@pytest.mark.parametrize("held", [reuse.HELD, 0])
+def test_best_runs_equal_all_diagonals(spark, monkeypatch, held):
+    """The left corpus is read once for all kinds of runs, in parts; a long right corpus is joined, to the same end."""
+    monkeypatch.setattr(reuse, "HELD", held)
+    r = random.Random(5)
+    text = lambda letters, least: [r.choice(letters) for _ in range(r.randrange(least, 30))]
+    left, right = {u: text("abcx", 0) for u in range(12)} | {90: ["a"]}, {u: text("abcy", 0) for u in range(9)} | {91: []}
+    left[7][3:3] = right[2][:9] = list("abcabcabc")
+    freq = collections.Counter(w for ws in [*left.values(), *right.values()] for w in ws)
+    kinds = [(4, 1), (3, 2), (2, 30)]
+    extra = spark.createDataFrame([(99, None)], "unit long, ws array<string>")
+    for (n, cap), made in zip(kinds, reuse.best_runs(units_df(spark, left).union(extra), units_df(spark, right).union(extra), *kinds)):
+        got = {(x.a, x.b): (x.diag, x.start, x.len, x.least) for x in made.collect()}
+        assert got == plain_best_runs(left, right, n, cap, freq) and len(got) > 5
+
+
+def test_best_runs_without_a_right_side(spark):
+    none = spark.createDataFrame([(1, [])], "unit long, ws array<string>")
+    assert [d.count() for d in reuse.best_runs(units_df(spark, {1: list("abc")}), none, (4, 9), (3, 9))] == [0, 0]
+
+
+def written_by(spark, monkeypatch, name):
+    """The rows of a query, and the tables that it writes on the way."""
+    met, plain = [], reuse.cut
+    monkeypatch.setattr(reuse, "cut", lambda d, name: (met.append(d), plain(d, name))[1])
+    return plans.QUERIES[name](spark, SF).count(), met
+
+
+def test_merged_quotes_move_no_text(spark, monkeypatch):
+    """Every document went through a shuffle for each kind of run, and its words through another count."""
+    rows, met = written_by(spark, monkeypatch, "quotes_merged")
+    assert rows and len(met) == 1 and not any("Exchange" in d._jdf.queryExecution().executedPlan().toString() for d in met)
+
+
 def test_lemmas_without_a_shuffle(spark):
     """Every word went through two shuffles; with a long dictionary they still do, to the same end."""
     seqs = spark.createDataFrame([(1, ["as", "b", "as", "cs"]), (2, []), (3, ["x"]), (4, None)], "unit long, ws array<string>")
