@@ -136,6 +136,14 @@ def test_merged_quotes_move_no_text(spark, monkeypatch):
     assert rows and len(met) == 1 and not any("Exchange" in d._jdf.queryExecution().executedPlan().toString() for d in met)
 
 
+@pytest.mark.parametrize("name", ["quotes_lemma_pass", "quotes_majority_lemmas", "quotes_runs", "quotes_tiers"])
+def test_quotes_write_only_runs(spark, monkeypatch, name):
+    """The words of all documents were written, and went through a shuffle to those of the runs."""
+    rows, met = written_by(spark, monkeypatch, name)
+    assert rows and [d.columns for d in met] == [["n", "a", "b", "diag", "start", "len", "words"]]
+    assert "Exchange" not in met[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lemmas_without_a_shuffle(spark):
     """Every word went through two shuffles; with a long dictionary they still do, to the same end."""
     seqs = spark.createDataFrame([(1, ["as", "b", "as", "cs"]), (2, []), (3, ["x"]), (4, None)], "unit long, ws array<string>")
